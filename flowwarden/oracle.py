@@ -53,3 +53,22 @@ def with_scored(sql: str) -> str:
 
 def with_alerts(sql: str) -> str:
     return f"WITH {ALERTS_CTE}\n{sql}"
+
+
+def label_sql(x: str) -> str:
+    from .schemas import LABEL_MAP, UNKNOWN_LABEL
+    key = f"lower(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'))"
+    cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in LABEL_MAP.items())
+    return f"CAST(COALESCE(CASE {key} {cases} END, {UNKNOWN_LABEL}) AS INTEGER)"
+
+
+def ip_int_sql(x: str) -> str:
+    parts = [f"TRY_CAST(split_part({x}, '.', {i}) AS BIGINT)" for i in range(1, 5)]
+    ok = f"len(string_split({x}, '.')) = 4 AND " + " AND ".join(f"{p} IS NOT NULL" for p in parts)
+    val = f"{parts[0]} * 16777216 + {parts[1]} * 65536 + {parts[2]} * 256 + {parts[3]}"
+    return f"CAST(CASE WHEN {x} IS NULL OR {x} = '0.0.0.0' THEN 0 WHEN {ok} THEN {val} ELSE 0 END AS BIGINT)"
+
+
+def with_gaps(sql: str) -> str:
+    from .sources.tables import FLOWS_GAPS_SQL
+    return f"WITH flows AS ({FLOWS_SQL}), gaps AS ({FLOWS_GAPS_SQL})\n{sql}"

@@ -74,3 +74,27 @@ SELECT event_id AS flow_id, ts,
  CAST(event_id % 101 AS DOUBLE) / 100 AS lstm_score
 FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events) e
 """
+
+
+def flows_with_gaps(flows: DataFrame) -> DataFrame:
+    """``flows`` with missing, infinite and blank values injected from the
+    event content (every row is kept): duration is null for error events,
+    src_ip is null for signup events with k >= 50, src_bytes is +Inf where
+    the recon error exceeds 190, and label_raw is null where k = 0."""
+    return flows.withColumns({
+        "duration": F.when(F.col("protocol_type") == "icmp", F.lit(None).cast("double")).otherwise(F.col("duration")),
+        "src_ip": F.when((F.col("protocol_type") == "udp") & (F.col("rf_score") >= 0.5), F.lit(None).cast("string"))
+                   .otherwise(F.col("src_ip")),
+        "src_bytes": F.when(F.col("recon_error") > 190, F.lit(float("inf"))).otherwise(F.col("src_bytes")),
+        "label_raw": F.when(F.col("rf_score") == 0, F.lit(None).cast("string")).otherwise(F.col("label_raw")),
+    })
+
+
+FLOWS_GAPS_SQL = """
+SELECT * REPLACE (
+  CASE WHEN protocol_type = 'icmp' THEN CAST(NULL AS DOUBLE) ELSE duration END AS duration,
+  CASE WHEN protocol_type = 'udp' AND rf_score >= 0.5 THEN CAST(NULL AS VARCHAR) ELSE src_ip END AS src_ip,
+  CASE WHEN recon_error > 190 THEN CAST('inf' AS DOUBLE) ELSE src_bytes END AS src_bytes,
+  CASE WHEN rf_score = 0 THEN CAST(NULL AS VARCHAR) ELSE label_raw END AS label_raw)
+FROM flows
+"""
