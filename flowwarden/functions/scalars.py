@@ -19,7 +19,7 @@ __all__ = [
     "bytes_to_mb", "mb_to_bytes", "format_number_", "format_timestamp",
     "epoch_to_timestamp", "timestamp_to_epoch", "as_ltz", "time_ago",
     "is_suspicious_port", "protocol_risk", "standardize_label", "severity",
-    "clip01", "strip_ws",
+    "clip01", "strip_ws", "round_half_up",
 ]
 
 
@@ -157,3 +157,10 @@ def severity(score, thresholds: dict | None = None) -> Column:
 
 def clip01(c) -> Column:
     return F.least(F.greatest(col_(c), F.lit(0.0)), F.lit(1.0))
+
+
+def round_half_up(c, digits: int = 4) -> Column:
+    """floor(x * 10^d + 0.5) / 10^d: the same IEEE steps in any engine, so
+    equal inputs give equal outputs (``round`` rounds the decimal string)."""
+    s = float(10 ** digits)
+    return F.floor(col_(c) * F.lit(s) + F.lit(0.5)) / F.lit(s)

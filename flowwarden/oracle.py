@@ -72,3 +72,9 @@ def ip_int_sql(x: str) -> str:
 def with_gaps(sql: str) -> str:
     from .sources.tables import FLOWS_GAPS_SQL
     return f"WITH flows AS ({FLOWS_SQL}), gaps AS ({FLOWS_GAPS_SQL})\n{sql}"
+
+
+def rnd(x: str, digits: int = 4) -> str:
+    """DuckDB twin of ``functions.scalars.round_half_up``."""
+    s = f"{10 ** digits}.0"
+    return f"(floor(({x}) * {s} + 0.5) / {s})"
