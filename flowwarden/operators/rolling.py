@@ -176,3 +176,51 @@ def importance_summary(df: DataFrame, name_col: str = "feature", score_col: str
     return df.select(F.col(name_col).alias("feature"), F.col(score_col).alias("importance"),
                      F.sum(score_col).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cumulative_importance"),
                      F.row_number().over(w).alias("rank"))
+
+
+def prefix_sums(df: DataFrame, key, cols, partition_by=(), inclusive: bool = True,
+                num_partitions: int | None = None, suffix: str = "_cum") -> DataFrame:
+    """Running sums of ``cols`` in ``key`` order (within ``partition_by``
+    groups), computed without a single-partition exchange: range-partition
+    and checkpoint, sum each partition (P rows per group), turn the partition
+    sums into offsets, add the within-partition running sum. ``inclusive``
+    False gives the sum over strictly earlier rows."""
+    key = [key] if isinstance(key, str) else list(key)
+    partition_by = [partition_by] if isinstance(partition_by, str) else list(partition_by)
+    spark = df.sparkSession
+    p = int(num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = [_q(c) for c in partition_by + key]
+    s = cut_lineage(df.repartitionByRange(p, *order).sortWithinPartitions(*order)
+                      .withColumn("_pid", F.spark_partition_id()))
+    tot = s.groupBy("_pid", *[_q(c) for c in partition_by]).agg(*[F.sum(_q(c)).alias(f"_t{i}") for i, c in enumerate(cols)])
+    wo = Window.partitionBy(*[_q(c) for c in partition_by]).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # (partitions x groups) rows: bounded by P times the group count
+    off = tot.select("_pid", *[_q(c) for c in partition_by],
+                     *[F.coalesce(F.sum(f"_t{i}").over(wo), F.lit(0)).alias(f"_o{i}") for i in range(len(cols))])
+    wi = (Window.partitionBy("_pid", *[_q(c) for c in partition_by]).orderBy(*[_q(k) for k in key])
+                .rowsBetween(Window.unboundedPreceding, 0))
+    out = s.join(off, ["_pid", *partition_by])
+    out = out.withColumns({f"{c}{suffix}": F.col(f"_o{i}") + F.sum(_q(c)).over(wi) - (F.lit(0) if inclusive else _q(c))
+                           for i, c in enumerate(cols)})
+    return out.drop("_pid", *[f"_o{i}" for i in range(len(cols))])
+
+
+def exact_percentile(df: DataFrame, col: str, q: float, tiebreak: str | None = None) -> DataFrame:
+    """Exact quantile with linear interpolation (position q * (n - 1)),
+    distributed: global positions come from ``global_index``; only the two
+    neighbouring rows are aggregated."""
+    x = df.where(_q(col).isNotNull()).select(_q(col).cast("double").alias("_x"),
+                                             *([_q(tiebreak)] if tiebreak else []))
+    n = x.count()
+    if n == 0:
+        return df.sparkSession.createDataFrame([(None,)], "percentile double")
+    if tiebreak is None:
+        x = x.withColumn("_t", F.monotonically_increasing_id())
+        tiebreak = "_t"
+    pos = q * (n - 1)
+    lo, hi = int(math.floor(pos)), int(math.ceil(pos))
+    frac = pos - lo
+    idx = global_index(x, ["_x", tiebreak])
+    pair = idx.where(F.col("_idx").isin(lo, hi))
+    return pair.agg((F.max(F.when(F.col("_idx") == lo, F.col("_x"))) * F.lit(1.0 - frac)
+                     + F.max(F.when(F.col("_idx") == hi, F.col("_x"))) * F.lit(frac)).alias("percentile"))
