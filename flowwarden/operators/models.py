@@ -191,3 +191,23 @@ def evaluate_models(long: DataFrame) -> DataFrame:
     m = classification_metrics(long, "label", "prediction", by=["model"])
     a = roc_auc(long, "label", "score", by=["model"])
     return m.join(a, "model", "left")
+
+
+def save_models(spark, models: dict, path: str, side_info: dict | None = None) -> None:
+    """One MLlib artefact per model under ``path/<name>`` and the side
+    information (thresholds, sequence length, feature lists) as one JSON row."""
+    import json
+    import os
+    for name, m in models.items():
+        m.write().overwrite().save(os.path.join(path, name))
+    spark.createDataFrame([(json.dumps(side_info or {}, sort_keys=True),)], "info string") \
+         .coalesce(1).write.mode("overwrite").text(os.path.join(path, "_side_info"))
+
+
+def load_models(spark, path: str, names: list[str]):
+    import json
+    import os
+    from pyspark.ml import PipelineModel
+    models = {n: PipelineModel.load(os.path.join(path, n)) for n in names}
+    info = json.loads(spark.read.text(os.path.join(path, "_side_info")).first()[0])
+    return models, info
