@@ -163,9 +163,17 @@ def _priv_sql(x):
             f"OR ({p[0]} = 192 AND {p[1]} = 168)) ELSE false END, false)")
 
 
-_MIXED_SPARK = F.concat(F.lit("172."), (F.col("src_port") % 40).cast("string"), F.lit(".1.1"))
+def _mixed_spark():
+    return F.concat(F.lit("172."), (F.col("src_port") % 40).cast("string"), F.lit(".1.1"))
+
+
+
 _MIXED_SQL = "concat('172.', CAST(src_port % 40 AS VARCHAR), '.1.1')"
-_BAD_SPARK = F.concat(F.col("src_ip"), F.when(F.col("protocol_type") == "udp", F.lit(".7")).otherwise(F.lit("")))
+def _bad_spark():
+    return F.concat(F.col("src_ip"), F.when(F.col("protocol_type") == "udp", F.lit(".7")).otherwise(F.lit("")))
+
+
+
 _BAD_SQL = "concat(src_ip, CASE WHEN protocol_type = 'udp' THEN '.7' ELSE '' END)"
 
 
@@ -178,10 +186,10 @@ FROM flows"""))
 def ip_helpers(spark, sf):
     f = read_flows(spark, sf)
     return f.select("flow_id", L.ip_to_int("src_ip").alias("src_ip_int"), L.ip_to_int("dst_ip").alias("dst_ip_int"),
-                    L.ip_to_int(_BAD_SPARK).alias("odd_ip_int"),
+                    L.ip_to_int(_bad_spark()).alias("odd_ip_int"),
                     L.normalize_ip(F.concat(F.lit("00"), F.col("dst_ip"))).alias("dst_ip_norm"),
-                    L.normalize_ip(_BAD_SPARK).alias("odd_ip_norm"),
-                    L.is_private_ip("src_ip").alias("src_private"), L.is_private_ip(_MIXED_SPARK).alias("mixed_private"))
+                    L.normalize_ip(_bad_spark()).alias("odd_ip_norm"),
+                    L.is_private_ip("src_ip").alias("src_private"), L.is_private_ip(_mixed_spark()).alias("mixed_private"))
 
 
 @register("unit_conversions", with_flows("""
