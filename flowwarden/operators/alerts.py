@@ -73,15 +73,21 @@ def attack_type_counts(alerts: DataFrame, type_col: str = "alert_type") -> DataF
 
 def alert_statistics(alerts: DataFrame, as_of, hours: float = 24) -> DataFrame:
     """Last-24h totals, severity distribution (zero-filled) and attack-type
-    distribution as one long table (section, name, value)."""
+    distribution as one long table (section, name, value). One scan: a
+    grouping-sets aggregate, each grouping set projected to its section, and
+    the zero rows of the fixed sections added before a final tiny sum."""
     recent = recent_alerts(alerts, as_of, hours)
-    total = recent.agg(F.count(F.lit(1)).cast("bigint").alias("value")).select(
-        F.lit("total_alerts").alias("section"), F.lit("all").alias("name"), "value")
-    sev = severity_counts(recent).select(F.lit("severity").alias("section"), F.col("severity").alias("name"),
-                                         F.col("alert_count").alias("value"))
-    typ = attack_type_counts(recent).select(F.lit("attack_type").alias("section"),
-                                            F.col("alert_type").alias("name"), F.col("alert_count").alias("value"))
-    return total.unionByName(sev).unionByName(typ)
+    g = (recent.groupingSets([[], [F.col("severity")], [F.col("alert_type")]], "severity", "alert_type")
+               .agg(F.count(F.lit(1)).cast("bigint").alias("value"), F.grouping_id().alias("_gid")))
+    gid = F.col("_gid")
+    rows = g.select(F.when(gid == 3, "total_alerts").when(gid == 1, "severity").otherwise("attack_type").alias("section"),
+                    F.when(gid == 3, "all").when(gid == 1, F.col("severity")).otherwise(F.col("alert_type")).alias("name"),
+                    "value")
+    zeros = alerts.sparkSession.createDataFrame(
+        [("total_alerts", "all", 0)] + [("severity", lv, 0) for lv in SEVERITY_LEVELS],
+        "section string, name string, value bigint")
+    return (rows.unionByName(zeros).groupBy("section", "name")
+                .agg(F.sum("value").cast("bigint").alias("value")))
 
 
 def latest_alerts(alerts: DataFrame, k: int = 10, ts: str = "timestamp") -> DataFrame:
