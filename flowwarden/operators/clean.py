@@ -9,7 +9,7 @@ join (with skew splitting) when it is not.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,10 +46,13 @@ def replace_infinite(df: DataFrame) -> DataFrame:
 
 
 def code_table(df: DataFrame, col: str) -> DataFrame:
-    """Sorted distinct values of ``col`` with their 0-based code. The window
-    runs over the distinct values only (bounded by the column's cardinality)."""
-    vals = df.select(_q(col).alias("_v")).where(F.col("_v").isNotNull()).distinct()
-    return vals.withColumn("_code", (F.row_number().over(Window.orderBy("_v")) - 1).cast("int"))
+    """Sorted distinct values of ``col`` with their 0-based code. The codes
+    are global positions in value order (``global_index``: range partitions
+    plus partition offsets), so a column with millions of distinct values is
+    still coded in parallel, never in one task."""
+    from .rolling import global_index
+    vals = df.select(_q(col).cast("string").alias("_v")).where(F.col("_v").isNotNull()).distinct()
+    return global_index(vals, ["_v"]).select("_v", F.col("_idx").cast("int").alias("_code"))
 
 
 def category_codes(df: DataFrame, cols=None, exclude=("label",)) -> DataFrame:

@@ -126,8 +126,9 @@ def feature_pipeline(spark, sf):
     """Fit the full feature pipeline on the labelled flows and transform them
     (rows-only check: the output is the model input matrix)."""
     f = _labelled(spark, sf).drop("label_raw")
-    model = FlowFeaturePipeline(label="label", key=("ts", "flow_id"), id_cols=("flow_id",), k=20).fit(f)
-    return model.transform(f, keep=["flow_id", "label"])
+    pipe = FlowFeaturePipeline(label="label", key=("ts", "flow_id"), id_cols=("flow_id",), k=20)
+    _, out = pipe.fit_transform(f, keep=["flow_id", "label"])
+    return out
 
 
 # --- G: models and evaluation -------------------------------------------------------
