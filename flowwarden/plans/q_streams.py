@@ -162,7 +162,7 @@ def stream_alerts(spark, sf):
 
 
 @register("stream_flow_events", with_flows("""
-SELECT flow_id, 0.0 AS duration, CAST(packet_size AS DOUBLE) AS src_bytes, 0.0 AS dst_bytes,
+SELECT flow_id, CAST(0 AS DOUBLE) AS duration, CAST(packet_size AS DOUBLE) AS src_bytes, CAST(0 AS DOUBLE) AS dst_bytes,
  CASE WHEN protocol_type = 'icmp' THEN 'unknown' ELSE protocol_type END AS protocol_type,
  CASE WHEN protocol_type = 'icmp' THEN 0 ELSE src_port END AS src_port,
  CASE WHEN protocol_type = 'icmp' THEN 0 ELSE dst_port END AS dst_port,

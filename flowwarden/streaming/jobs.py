@@ -160,15 +160,16 @@ def rolling_state_per_host(stream: DataFrame, cols: list[str], key: str = "src_i
         new = new.assign(_t=new[order[0]].astype("int64") if new[order[0]].dtype.kind == "i"
                          else pd.to_datetime(new[order[0]]).astype("int64"))
         new = new.sort_values(["_t", order[1]]).reset_index(drop=True)
+        new["_new"] = True
+        allr = new[["_t", order[1], *cols, "_new"]]
         if state.exists:
             st = state.get
             old = pd.DataFrame({"_t": list(st[0]), order[1]: list(st[1]),
                                 **{c: list(st[2 + i]) for i, c in enumerate(cols)}})
             old["_new"] = False
-        else:
-            old = pd.DataFrame(columns=["_t", order[1], *cols, "_new"])
-        new["_new"] = True
-        allr = pd.concat([old, new[["_t", order[1], *cols, "_new"]]], ignore_index=True)
+            if len(old):
+                allr = pd.concat([old, allr], ignore_index=True)
+        allr = allr.reset_index(drop=True)
         res = {key: k[0], "flow_id": allr[order[1]].astype("int64")}
         for c in cols:
             x = allr[c].astype("float64")
