@@ -74,3 +74,9 @@ def test_pipeline_save_load_same_output(spark):
     b = again.transform(f, keep=["flow_id"])
     assert a.columns == b.columns and len(a.columns) == 11
     assert a.exceptAll(b).count() == 0
+
+
+def test_tune_forest_small_grid(spark):
+    d = _frame(spark)
+    cv = G.tune_forest(d, FEATS, "label", grid={"numTrees": [5, 10], "maxDepth": [3]}, folds=2, parallelism=2)
+    assert len(cv.avgMetrics) == 2 and max(cv.avgMetrics) > 0.8
