@@ -112,19 +112,18 @@ def preprocess_q(spark, sf):
     return B.preprocess(g, label="label_raw")
 
 
-@register("coerce_numeric", with_flows("""
-SELECT flow_id, TRY_CAST(regexp_extract(e.props, ':\\s*([0-9]+)', 1) AS DOUBLE) AS k_value,
- TRY_CAST(f.label_raw AS DOUBLE) AS label_value
-FROM flows f JOIN events e ON e.event_id = f.flow_id"""))
+@register("coerce_numeric", """
+SELECT event_id AS flow_id, TRY_CAST(regexp_extract(props, ':\\s*([0-9]+)', 1) AS DOUBLE) AS k_value,
+ TRY_CAST(CASE event_type WHEN 'error' THEN ' DoS ' WHEN 'signup' THEN 'zero_day' ELSE 'Normal' END AS DOUBLE)
+   AS label_value
+FROM events""")
 def coerce_numeric_q(spark, sf):
-    from ..sources.tables import read_table
-    e = read_table(spark, sf, "events")
-    f = read_flows(spark, sf)
-    # both sides come from the same events scan; this is a key-preserving self join
-    x = f.join(e.select(F.col("event_id").alias("flow_id"),
-                        F.regexp_extract("props", r":\s*([0-9]+)", 1).alias("k_value")), "flow_id")
-    x = x.withColumn("label_value", F.col("label_raw"))
-    return B.coerce_numeric(x, ["k_value", "label_value"]).select("flow_id", "k_value", "label_value")
+    from ..sources.tables import flows_from_events, read_table
+    # the raw props text rides along in the same projection (no self join)
+    f = flows_from_events(read_table(spark, sf, "events"), keep=("props",))
+    x = f.select("flow_id", F.regexp_extract("props", r":\s*([0-9]+)", 1).alias("k_value"),
+                 F.col("label_raw").alias("label_value"))
+    return B.coerce_numeric(x, ["k_value", "label_value"])
 
 
 @register("coerce_timestamp", with_flows("""

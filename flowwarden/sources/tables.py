@@ -19,7 +19,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def flows_from_events(events: DataFrame) -> DataFrame:
+def flows_from_events(events: DataFrame, keep=()) -> DataFrame:
+    """The flow view of event rows; ``keep`` carries extra event columns."""
     e = events.withColumn("_k", F.regexp_extract("props", r"([0-9]+)", 1).try_cast("int"))
     eid, k, et, v = F.col("event_id"), F.col("_k"), F.col("event_type"), F.col("value")
     return e.select(
@@ -44,6 +45,7 @@ def flows_from_events(events: DataFrame) -> DataFrame:
         (k.cast("double") / 100).alias("rf_score"),
         v.alias("recon_error"),
         ((eid % 101).cast("double") / 100).alias("lstm_score"),
+        *[F.col(c) for c in keep],
     )
 
 
