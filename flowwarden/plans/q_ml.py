@@ -270,6 +270,16 @@ def forest_scores_q(spark, sf):
     return G.forest_scores(model, d).select("flow_id", "label", "rf_score")
 
 
+@register("train_and_score")
+def train_and_score(spark, sf):
+    """Train all three models on the split, score every flow, raise alerts,
+    count them per attack type (rows-only: model outputs)."""
+    from ..operators.alerts import attack_type_counts
+    from .training import train_and_alert
+    lab = _labelled(spark, sf).drop("rf_score", "recon_error", "lstm_score")
+    return attack_type_counts(train_and_alert(lab))
+
+
 @register("tune_forest")
 def tune_forest_q(spark, sf):
     """Grid search with 3-fold cross-validation on F1 of class 1 (rows-only).
