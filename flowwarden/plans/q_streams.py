@@ -230,3 +230,23 @@ def stream_processing_summary(spark, sf):
     q = J.score_stream(stream, alerts_from_flows, sink, ck, trigger={"availableNow": True})
     _await(q)
     return J.processing_time_summary(spark, q)
+
+
+@register("stream_model_alerts")
+def stream_model_alerts(spark, sf):
+    """Train on the table, save, load (as a separate scoring job would), then
+    score the event stream with the loaded forest and reconstruction models
+    (rows-only: model outputs). Returns alerts per attack type and severity."""
+    from ..operators import clean as B
+    from ..sources.tables import flows_from_events
+    from .training import load_detector, save_detector, stream_scorer, train_detector
+    lab = B.standardize_labels(read_flows(spark, sf), "label_raw", out="label").drop(
+        "rf_score", "recon_error", "lstm_score")
+    path = J.scratch_path(spark, "detector")
+    save_detector(spark, train_detector(lab, forest_params={"numTrees": 50, "maxDepth": 10}), path)
+    models = load_detector(spark, path)
+    stream = flows_from_events(_events_stream(spark, sf)).drop("rf_score", "recon_error", "lstm_score")
+    sink, ck = J.scratch_path(spark, "model-alerts"), J.scratch_path(spark, "model-alerts-ckpt")
+    _await(J.score_stream(stream, stream_scorer(models), sink, ck, trigger={"availableNow": True}))
+    a = spark.read.parquet(sink)
+    return a.groupBy("alert_type", "severity").agg(F.count(F.lit(1)).cast("bigint").alias("alert_count"))

@@ -104,3 +104,26 @@ def test_late_rows_are_dropped_from_windows(spark):
                               windows={"h": "1 hour"}, bytes_cols=())
     want = {r.window_start.replace(tzinfo=None): r.flows for r in batch.collect()}
     assert all(want[k] == v for k, v in got.items()) and len(got) >= len(want) - 1
+
+
+def test_stream_scoring_with_loaded_models_equals_batch(spark):
+    from flowwarden.operators import clean as B
+    from flowwarden.plans.training import load_detector, save_detector, stream_scorer, train_detector
+    from flowwarden.sources.tables import flows_from_events
+    lab = B.standardize_labels(read_flows(spark, MEDIUM), "label_raw", out="label").drop(
+        "rf_score", "recon_error", "lstm_score")
+    path = J.scratch_path(spark, "det")
+    save_detector(spark, train_detector(lab, forest_params={"numTrees": 10, "maxDepth": 5}), path)
+    models = load_detector(spark, path)
+    schema, land = _land_events(spark, 3)
+    s = flows_from_events(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(land))
+    s = s.drop("rf_score", "recon_error", "lstm_score")
+    sink, ck = J.scratch_path(spark, "ms"), J.scratch_path(spark, "msck")
+    q = J.score_stream(s, stream_scorer(models), sink, ck, trigger={"availableNow": True})
+    q.processAllAvailable()
+    q.stop()
+    got = spark.read.parquet(sink).select("alert_id", "severity", "alert_type")
+    want = stream_scorer(models)(read_flows(spark, MEDIUM).drop("rf_score", "recon_error", "lstm_score")) \
+        .select("alert_id", "severity", "alert_type")
+    assert got.count() == want.count() > 0
+    assert got.exceptAll(want).count() == 0
