@@ -123,23 +123,24 @@ def top_endpoints(alerts: DataFrame, col: str = "source_ip", k: int = 10) -> Dat
 
 def confidence_histogram(alerts: DataFrame, bins: int = 20, col: str = "confidence") -> DataFrame:
     """Equal-width bins between min and max confidence (max falls in the last
-    bin). min/max come from a one-row aggregate joined as a broadcast."""
+    bin)."""
     return numeric_histogram(alerts, col, bins)
 
 
 def numeric_histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
-    mm = df.agg(F.min(col).cast("double").alias("_lo"), F.max(col).cast("double").alias("_hi"))
+    """Equal-width bin counts between min and max (max in the last bin).
+    min/max are one aggregate, used as literals in the binning expression."""
     x = F.col(col).cast("double")
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
-        F.least(F.floor((x - F.col("_lo")) / width), F.lit(bins - 1))).cast("int")
-    return (df.where(x.isNotNull()).crossJoin(F.broadcast(mm))
-              .groupBy(b.alias("bin"), "_lo", "_hi")
+    lo, hi = df.agg(F.min(x), F.max(x)).first()
+    if lo is None:
+        return df.sparkSession.createDataFrame([], "bin int, bin_start double, bin_end double, bin_count bigint")
+    lo, hi = float(lo), float(hi)
+    width = (hi - lo) / bins
+    b = (F.lit(0) if hi == lo else F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))).cast("int")
+    return (df.where(x.isNotNull()).groupBy(b.alias("bin"))
               .agg(F.count(F.lit(1)).cast("bigint").alias("bin_count"))
-              .select("bin",
-                      (F.col("_lo") + F.col("bin") * (F.col("_hi") - F.col("_lo")) / bins).alias("bin_start"),
-                      (F.col("_lo") + (F.col("bin") + 1) * (F.col("_hi") - F.col("_lo")) / bins).alias("bin_end"),
-                      "bin_count"))
+              .select("bin", (F.lit(lo) + F.col("bin") * F.lit(hi - lo) / bins).alias("bin_start"),
+                      (F.lit(lo) + (F.col("bin") + 1) * F.lit(hi - lo) / bins).alias("bin_end"), "bin_count"))
 
 
 def alerts_by_hour(alerts: DataFrame, ts: str = "timestamp") -> DataFrame:

@@ -46,11 +46,12 @@ def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataF
 
 
 def balanced_class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
-    """weight = n / (classes * n_class); the class table has one row per class."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    tot = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    w = counts.crossJoin(tot).select(label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(out))
-    return df.join(F.broadcast(w), label, "left")
+    """weight = n / (classes * n_class). The class counts (one row per class)
+    come back as a small literal map."""
+    counts = {r[0]: r[1] for r in df.groupBy(label).agg(F.count(F.lit(1))).collect()}
+    n, k = sum(counts.values()), len(counts)
+    m = F.create_map(*[x for c, nc in counts.items() if c is not None for x in (F.lit(c), F.lit(n / (k * nc)))])
+    return df.withColumn(out, F.try_element_at(m, F.col(label)) if counts else F.lit(None).cast("double"))
 
 
 def train_forest(df: DataFrame, features: list[str], label: str = "label", **params):

@@ -1,7 +1,7 @@
 """Model-score combination: per-model score columns -> ensemble score,
 prediction, severity and anomaly records. Pure projections, except the
 max-normalised reconstruction score, which needs one global max (a one-row
-aggregate joined back as a broadcast: its size is fixed at one row)."""
+aggregate, used as a literal)."""
 
 from __future__ import annotations
 
@@ -20,13 +20,12 @@ def reconstruction_score(err, threshold: float) -> Column:
 
 def reconstruction_score_maxnorm(df: DataFrame, err_col: str, threshold: float,
                                  score_col: str = "recon_score", flag_col: str = "recon_flag") -> DataFrame:
-    """err / max(err) over the whole table, and the flag err > threshold."""
-    mx = df.agg(F.max(err_col).alias("_max_err"))
+    """err / max(err) over the whole table, and the flag err > threshold.
+    The maximum is one aggregate; it enters the projection as a literal."""
+    mx = df.agg(F.max(F.col(err_col).cast("double"))).first()[0]
     e = F.col(err_col).cast("double")
-    return (df.crossJoin(F.broadcast(mx))
-              .withColumn(score_col, F.when(F.col("_max_err") != 0, e / F.col("_max_err")).otherwise(F.lit(0.0)))
-              .withColumn(flag_col, (e > F.lit(float(threshold))).cast("int"))
-              .drop("_max_err"))
+    score = e / F.lit(float(mx)) if mx else F.lit(0.0)
+    return df.withColumns({score_col: score, flag_col: (e > F.lit(float(threshold))).cast("int")})
 
 
 def ensemble_score(score_cols: list[str], weights: dict | None = None) -> Column:

@@ -260,10 +260,10 @@ def update_thresholds_q(spark, sf):
     cfg = spark.createDataFrame([("critical", 0.9), ("high", 0.7), ("medium", 0.5), ("low", 0.3)], "name string, value double")
     new = spark.createDataFrame([("high", 0.65), ("medium", 0.55)], "name string, value double")
     th = A.update_thresholds(cfg, new)
-    # one-row pivot of the (bounded, 4-row) threshold table joined to the scorer
-    p = th.agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in ("critical", "high", "medium")])
-    a = _alerts(spark, sf).crossJoin(F.broadcast(p))
+    # the threshold table is bounded (one row per level): its values feed the
+    # severity expression as literals
+    t = {r["name"]: r["value"] for r in th.collect()}
     c = F.col("confidence")
-    sev = (F.when(c >= F.col("critical"), "critical").when(c >= F.col("high"), "high")
-           .when(c >= F.col("medium"), "medium").otherwise("low"))
-    return a.groupBy(sev.alias("severity")).agg(F.count(F.lit(1)).cast("bigint").alias("alert_count"))
+    sev = (F.when(c >= t["critical"], "critical").when(c >= t["high"], "high")
+           .when(c >= t["medium"], "medium").otherwise("low"))
+    return _alerts(spark, sf).groupBy(sev.alias("severity")).agg(F.count(F.lit(1)).cast("bigint").alias("alert_count"))

@@ -214,8 +214,7 @@ _LONG_MODELS = f"""long AS (
 
 def _long_models(spark, sf):
     s = with_model_scores(_labelled(spark, sf))
-    mx = s.agg(F.max("recon_error").alias("_mx"))
-    s = s.crossJoin(F.broadcast(mx))
+    s = s.withColumn("_mx", F.lit(float(s.agg(F.max("recon_error")).first()[0])))
     parts = [s.select(F.lit("random_forest").alias("model"), "label", (F.col("rf_score") > 0.5).cast("int").alias("prediction"),
                       F.col("rf_score").alias("score")),
              s.select(F.lit("reconstruction"), "label", (F.col("recon_error") > 110.0).cast("int"),
