@@ -38,6 +38,19 @@ from .features import numeric_columns
 
 _POS_BITS = 33
 _POS_MASK = (1 << _POS_BITS) - 1
+ROWS_PER_PARTITION = 2_000_000
+
+
+def range_partitions(spark, n_rows: int | None = None, rows_per_partition: int = ROWS_PER_PARTITION) -> int:
+    """Range partitions for an ordered operator: at least the session's
+    shuffle partitions, and enough that each holds about
+    ``rows_per_partition`` rows (explicit repartitions are not resized by
+    AQE, so the count must follow the data). The offsets table broadcast by
+    ``global_index`` has one row per partition: n / rows_per_partition."""
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if n_rows is None:
+        return base
+    return max(base, math.ceil(n_rows / rows_per_partition))
 
 
 def _q(c):
@@ -48,7 +61,7 @@ def global_index(df: DataFrame, key, num_partitions: int | None = None, idx_col:
     """Add the 0-based position of each row in the total order ``key``."""
     key = [key] if isinstance(key, str) else list(key)
     spark = df.sparkSession
-    p = int(num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    p = int(num_partitions or range_partitions(spark))
     s = (df.repartitionByRange(p, *[_q(k) for k in key]).sortWithinPartitions(*[_q(k) for k in key])
            .withColumn("_mid", F.monotonically_increasing_id()))
     s = cut_lineage(s)
@@ -64,10 +77,13 @@ def global_index(df: DataFrame, key, num_partitions: int | None = None, idx_col:
              .drop("_mid", "_pid", "_pos", "_start"))
 
 
-def choose_block_size(n_rows: int, lookback: int, num_partitions: int, min_block: int = 1024) -> int:
-    """Rows per block: about one block per partition, never below the
-    look-back (B >= w-1 is required for single-block halos)."""
-    return max(lookback, min_block if n_rows > min_block else lookback, math.ceil(max(n_rows, 1) / max(num_partitions, 1)))
+def choose_block_size(n_rows: int, lookback: int, num_partitions: int, min_block: int = 1024,
+                      blocks_per_partition: int = 4) -> int:
+    """Rows per block: about ``blocks_per_partition`` blocks per partition
+    (hash placement of several blocks per partition evens out the load),
+    never below the look-back (B >= w-1 is required for single-block halos)."""
+    target = math.ceil(max(n_rows, 1) / max(num_partitions * blocks_per_partition, 1))
+    return max(lookback, min(min_block, max(n_rows, 1)), target)
 
 
 def halo_blocks(indexed: DataFrame, lookback: int, block_size: int, idx_col: str = "_idx") -> DataFrame:
@@ -97,12 +113,15 @@ def rolling_features(df: DataFrame, key=("ts", "flow_id"), window: int = 100, ma
     if cols is None:
         cols = [c for c in numeric_columns(df, exclude) if c not in key and c not in partition_by][:max_cols]
     spark = df.sparkSession
-    p = int(num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
     lookback = max(window - 1, 0)
+    n = df.count() if (block_size is None or num_partitions is None) else None
+    p = int(num_partitions or range_partitions(spark, n))
     if block_size is None:
-        block_size = choose_block_size(df.count(), lookback, p)
+        block_size = choose_block_size(n, lookback, p)
     idx = global_index(df, partition_by + key, p)
-    blocks = halo_blocks(idx, lookback, block_size)
+    # explicit block shuffle sized like the range partitions (the window's
+    # own exchange would use the session default, which AQE cannot split)
+    blocks = halo_blocks(idx, lookback, block_size).repartition(p, "_block")
     w = _block_frame(partition_by, lookback)
     out = {}
     for c in cols:
@@ -154,11 +173,11 @@ def sequence_windows(df: DataFrame, feature_cols, label: str = "label", key=("ts
     if n < 2 * length:
         length = max(1, n // 3)
     spark = df.sparkSession
-    p = int(num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    p = int(num_partitions or range_partitions(spark, n))
     if block_size is None:
         block_size = choose_block_size(n, length, p)
     idx = global_index(df, key, p)
-    blocks = halo_blocks(idx, length, block_size)
+    blocks = halo_blocks(idx, length, block_size).repartition(p, "_block")
     w = Window.partitionBy("_block").orderBy("_idx").rowsBetween(-length, -1)
     vec = F.array(*[_q(c).cast("double") for c in feature_cols])
     res = (blocks.withColumn("_vec", vec)
@@ -188,7 +207,7 @@ def prefix_sums(df: DataFrame, key, cols, partition_by=(), inclusive: bool = Tru
     key = [key] if isinstance(key, str) else list(key)
     partition_by = [partition_by] if isinstance(partition_by, str) else list(partition_by)
     spark = df.sparkSession
-    p = int(num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    p = int(num_partitions or range_partitions(spark))
     order = [_q(c) for c in partition_by + key]
     s = cut_lineage(df.repartitionByRange(p, *order).sortWithinPartitions(*order)
                       .withColumn("_pid", F.spark_partition_id()))
@@ -220,7 +239,7 @@ def exact_percentile(df: DataFrame, col: str, q: float, tiebreak: str | None = N
     pos = q * (n - 1)
     lo, hi = int(math.floor(pos)), int(math.ceil(pos))
     frac = pos - lo
-    idx = global_index(x, ["_x", tiebreak])
+    idx = global_index(x, ["_x", tiebreak], range_partitions(df.sparkSession, n))
     pair = idx.where(F.col("_idx").isin(lo, hi))
     return pair.agg((F.max(F.when(F.col("_idx") == lo, F.col("_x"))) * F.lit(1.0 - frac)
                      + F.max(F.when(F.col("_idx") == hi, F.col("_x"))) * F.lit(frac)).alias("percentile"))
