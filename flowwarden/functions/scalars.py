@@ -6,8 +6,6 @@ expressions stay inside whole-stage codegen.
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -140,9 +138,14 @@ def standardize_label(c, numeric: bool = False, label_map: dict | None = None) -
     if numeric:
         return F.when(c == 0, 0).otherwise(1).cast("int")
     m = label_map or LABEL_MAP
-    lookup = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in m.items()))
     key = F.lower(strip_ws(c))
-    return F.coalesce(F.try_element_at(lookup, key), F.lit(UNKNOWN_LABEL)).cast("int")
+    # one set-membership test per output value (``isin`` over more than a few
+    # literals is a hash-set lookup; a literal map would scan all its keys)
+    expr = None
+    for v in sorted(set(m.values())):
+        keys = [k for k, x in m.items() if x == v]
+        expr = F.when(key.isin(keys), F.lit(v)) if expr is None else expr.when(key.isin(keys), F.lit(v))
+    return (expr.otherwise(F.lit(UNKNOWN_LABEL)) if expr is not None else F.lit(UNKNOWN_LABEL)).cast("int")
 
 
 def severity(score, thresholds: dict | None = None) -> Column:
