@@ -33,11 +33,35 @@ def get_spark(master: str | None = None, app: str = "flowwarden",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     # session-level settings also apply when the session already existed
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``flowwarden`` importable in the Python workers (pandas-backed
+    operators pickle references to its functions): zip the package once per
+    SparkContext and add it with ``addPyFile``, which also ships it to every
+    executor of a cluster."""
+    sc = spark.sparkContext
+    if getattr(sc, "_flowwarden_shipped", False):
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(prefix="flowwarden-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    sc._flowwarden_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
