@@ -135,19 +135,25 @@ def rolling_features(df: DataFrame, key=("ts", "flow_id"), window: int = 100, ma
 
 
 def frequency_encode(df: DataFrame, cols=("src_ip", "dst_ip"), suffix: str = "_frequency",
-                     table: DataFrame | None = None) -> DataFrame:
+                     table: DataFrame | None = None, table_rows: dict | None = None,
+                     broadcast_rows: int = 1_000_000) -> DataFrame:
     """Rows per value over the table (or over a fitted frequency table),
-    joined back; null values get null. Counts are combined map-side; AQE
-    broadcasts the count table when its measured size is small and splits
-    skewed join partitions otherwise. Each column is handled on its own."""
+    joined back; null values get null. Counts are combined map-side. A
+    fitted table whose per-column size is known (``table_rows``) and at most
+    ``broadcast_rows`` is broadcast; otherwise AQE measures the count table
+    and broadcasts it when small, else keeps a shuffle join with skewed
+    partitions split. Each column is handled on its own."""
     out = df
     for c in cols:
         if c not in df.columns:
             continue
-        counts = (table.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("n").alias("_f"))
-                  if table is not None else
-                  df.where(_q(c).isNotNull()).groupBy(_q(c).alias("_v")).agg(F.count(F.lit(1)).alias("_f")))
-        out = (out.join(counts, _q(c) == F.col("_v"), "left")
+        if table is not None:
+            counts = table.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("n").alias("_f"))
+            if table_rows is not None and table_rows.get(c, broadcast_rows + 1) <= broadcast_rows:
+                counts = F.broadcast(counts)
+        else:
+            counts = df.where(_q(c).isNotNull()).groupBy(_q(c).alias("_v")).agg(F.count(F.lit(1)).alias("_f"))
+        out = (out.join(counts, _q(c).cast("string") == F.col("_v"), "left")
                   .withColumn(f"{c}{suffix}", F.col("_f").cast("bigint")).drop("_v", "_f"))
     return out
 

@@ -213,14 +213,17 @@ _LONG_MODELS = f"""long AS (
 
 
 def _long_models(spark, sf):
+    """(model, label, prediction, score) rows for the three models from one
+    scan: each flow row explodes into one row per model."""
     s = with_model_scores(_labelled(spark, sf))
-    s = s.withColumn("_mx", F.lit(float(s.agg(F.max("recon_error")).first()[0])))
-    parts = [s.select(F.lit("random_forest").alias("model"), "label", (F.col("rf_score") > 0.5).cast("int").alias("prediction"),
-                      F.col("rf_score").alias("score")),
-             s.select(F.lit("reconstruction"), "label", (F.col("recon_error") > 110.0).cast("int"),
-                      F.col("recon_error") / F.col("_mx")),
-             s.select(F.lit("sequence"), "label", (F.col("lstm_score") > 0.5).cast("int"), F.col("lstm_score"))]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+    mx = float(s.agg(F.max("recon_error")).first()[0])
+    def entry(name, pred, score):
+        return F.struct(F.lit(name).alias("model"), pred.cast("int").alias("prediction"), score.alias("score"))
+
+    per_model = F.array(entry("random_forest", F.col("rf_score") > 0.5, F.col("rf_score")),
+                        entry("reconstruction", F.col("recon_error") > 110.0, F.col("recon_error") / F.lit(mx)),
+                        entry("sequence", F.col("lstm_score") > 0.5, F.col("lstm_score")))
+    return s.select("label", F.explode(per_model).alias("m")).select("m.model", "label", "m.prediction", "m.score")
 
 
 @register("evaluate_models", with_scored(f"""
