@@ -10,7 +10,8 @@
   ``batch_id`` partition with dynamic overwrite (a retried batch replaces its
   own output: exactly-once files), then runs the user hooks;
 * keyed state: per-host rolling statistics with ``applyInPandasWithState``
-  keep only the last w-1 rows per host.
+  keep only the last w-1 rows per host and evict idle hosts on an
+  event-time timeout.
 """
 
 from __future__ import annotations
@@ -138,14 +139,19 @@ def write_windows(agg: DataFrame, path: str, checkpoint: str, trigger: dict | No
 # --- keyed state: per-host rolling statistics ----------------------------------------
 
 def rolling_state_per_host(stream: DataFrame, cols: list[str], key: str = "src_ip", order=("event_time", "flow_id"),
-                           window: int = 20) -> DataFrame:
+                           window: int = 20, idle_ms: int = 6 * 3_600_000,
+                           watermark_delay: str | None = "1 hour") -> DataFrame:
     """Trailing-``window`` mean / sample std (one observation -> 0) of
     ``cols`` per host, across micro-batches. State per host is the last
-    window-1 rows, so it is bounded by hosts x window. (A processing-time
-    timeout would keep an ``availableNow`` run scheduling timer batches, so
-    no timer is set.)"""
+    window-1 rows; a host idle for ``idle_ms`` of event time is evicted when
+    the watermark passes (event-time timeout), so state is bounded by the
+    active hosts, not by every host ever seen. Rows older than the watermark
+    are dropped by Spark before they reach the state. Pass
+    ``watermark_delay=None`` when the stream already has a watermark."""
     order = list(order)
     keep = window - 1
+    if watermark_delay is not None:
+        stream = stream.withWatermark(order[0], watermark_delay)
     out_fields = [T.StructField(key, T.StringType()), T.StructField("flow_id", T.LongType())]
     for c in cols:
         out_fields += [T.StructField(f"{c}_rolling_mean", T.DoubleType()),
@@ -156,6 +162,9 @@ def rolling_state_per_host(stream: DataFrame, cols: list[str], key: str = "src_i
                                 + [T.StructField(f"v{i}", T.ArrayType(T.DoubleType())) for i in range(len(cols))])
 
     def step(k, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         new = pd.concat(list(pdfs), ignore_index=True)
         new = new.assign(_t=new[order[0]].astype("int64") if new[order[0]].dtype.kind == "i"
                          else pd.to_datetime(new[order[0]]).astype("int64"))
@@ -179,13 +188,12 @@ def rolling_state_per_host(stream: DataFrame, cols: list[str], key: str = "src_i
         tail = allr.tail(keep)
         state.update((tail["_t"].astype("int64").tolist(), tail[order[1]].astype("int64").tolist(),
                       *[tail[c].astype("float64").tolist() for c in cols]))
+        last_ms = int(allr["_t"].max()) // 1_000_000  # event time is nanoseconds in pandas
+        state.setTimeoutTimestamp(max(last_ms + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield out
 
-    def step_wrapped(k, pdfs, state):
-        yield from step(k, pdfs, state)
-
     return stream.groupBy(key).applyInPandasWithState(
-        step_wrapped, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+        step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # --- progress --------------------------------------------------------------------------
