@@ -103,11 +103,58 @@ def _block_frame(partition_by, lookback, idx_col="_idx"):
                   .rowsBetween(-lookback, 0))
 
 
+def _frame_stats(blocks: DataFrame, cols, partition_by, lookback: int) -> DataFrame:
+    """Mean and sample std per row by re-aggregating the sliding frame:
+    exact, O(window) work per row and column."""
+    w = _block_frame(partition_by, lookback)
+    out = {}
+    for c in cols:
+        x = _q(c).cast("double")
+        out[f"{c}_rolling_mean"] = F.avg(x).over(w)
+        out[f"{c}_rolling_std"] = F.coalesce(F.stddev_samp(x).over(w), F.lit(0.0))
+    return blocks.withColumns(out)
+
+
+def _prefix_stats(blocks: DataFrame, cols, partition_by, lookback: int) -> DataFrame:
+    """Mean and sample std per row from running sums: O(1) work per row and
+    column. Values are centred on their block's mean first, so the running
+    sums stay small, and a frame's sums are the running sum minus its value
+    ``window`` rows back (``lag``). Within a block the halo rows come first,
+    so every own row has its full look-back inside the partition."""
+    part = ["_block", *[_q(c) for c in partition_by]]
+    whole = Window.partitionBy(*part)
+    run = Window.partitionBy(*part).orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = Window.partitionBy(*part).orderBy("_idx")
+    width = lookback + 1
+    b = blocks
+    for i, c in enumerate(cols):
+        x = _q(c).cast("double")
+        b = b.withColumn(f"_mu{i}", F.coalesce(F.avg(x).over(whole), F.lit(0.0)))
+        d = x - F.col(f"_mu{i}")
+        b = b.withColumns({f"_cs{i}": F.sum(F.coalesce(d, F.lit(0.0))).over(run),
+                           f"_cq{i}": F.sum(F.coalesce(d * d, F.lit(0.0))).over(run),
+                           f"_cn{i}": F.count(x).over(run)})
+    out = {}
+    drop = []
+    for i, c in enumerate(cols):
+        def frame(name):
+            return F.col(name) - F.coalesce(F.lag(name, width).over(ordered), F.lit(0))
+        n, sx, sq = frame(f"_cn{i}").cast("double"), frame(f"_cs{i}"), frame(f"_cq{i}")
+        var = F.greatest((sq - sx * sx / n) / (n - 1), F.lit(0.0))
+        out[f"{c}_rolling_mean"] = F.when(n > 0, F.col(f"_mu{i}") + sx / n)
+        out[f"{c}_rolling_std"] = F.when(n > 1, F.sqrt(var)).otherwise(F.lit(0.0))
+        drop += [f"_mu{i}", f"_cs{i}", f"_cq{i}", f"_cn{i}"]
+    return b.withColumns(out).drop(*drop)
+
+
 def rolling_features(df: DataFrame, key=("ts", "flow_id"), window: int = 100, max_cols: int = 10,
                      cols=None, partition_by=(), exclude=("label",), block_size: int | None = None,
-                     num_partitions: int | None = None, keep_index: bool = False) -> DataFrame:
+                     num_partitions: int | None = None, keep_index: bool = False,
+                     method: str = "prefix") -> DataFrame:
     """For the first ``max_cols`` numeric columns: trailing-``window`` mean,
-    sample std (single observation -> 0) and |x - mean|, in key order."""
+    sample std (single observation -> 0) and |x - mean|, in key order.
+    ``method="prefix"`` (default) uses running sums, O(1) per row;
+    ``method="frame"`` re-aggregates each sliding frame, O(window) per row."""
     key = [key] if isinstance(key, str) else list(key)
     partition_by = [partition_by] if isinstance(partition_by, str) else list(partition_by)
     if cols is None:
@@ -122,13 +169,8 @@ def rolling_features(df: DataFrame, key=("ts", "flow_id"), window: int = 100, ma
     # explicit block shuffle sized like the range partitions (the window's
     # own exchange would use the session default, which AQE cannot split)
     blocks = halo_blocks(idx, lookback, block_size).repartition(p, "_block")
-    w = _block_frame(partition_by, lookback)
-    out = {}
-    for c in cols:
-        x = _q(c).cast("double")
-        out[f"{c}_rolling_mean"] = F.avg(x).over(w)
-        out[f"{c}_rolling_std"] = F.coalesce(F.stddev_samp(x).over(w), F.lit(0.0))
-    res = blocks.withColumns(out)
+    stats = _prefix_stats if method == "prefix" else _frame_stats
+    res = stats(blocks, cols, partition_by, lookback)
     res = res.withColumns({f"{c}_deviation": F.abs(_q(c).cast("double") - F.col(f"{c}_rolling_mean")) for c in cols})
     res = res.where(~F.col("_halo")).drop("_block", "_halo")
     return res if keep_index else res.drop("_idx")
