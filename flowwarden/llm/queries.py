@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_rules
+from . import mixing, packing, quality_rules, substring_dedup, suffix_dedup
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,22 @@ FROM f
 """
 
 
+@register("op1_substring_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that repeat a smaller document, per document."""
+    d = substring_dedup.find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return d.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                    F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op3_suffix_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in windows that repeat an earlier one, per document."""
+    d = suffix_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register("op4_mixing", MIX_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix of all documents takes from each."""
