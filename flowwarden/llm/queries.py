@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_rules, substring_dedup, suffix_dedup
+from . import language_id, mixing, packing, quality_fm, quality_rules, substring_dedup, suffix_dedup
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@register("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    model = language_id.fit(docs.filter(F.coalesce(~held_out, F.lit(True))))
+    out = language_id.predict(docs, model)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 @register("op3_suffix_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in windows that repeat an earlier one, per document."""
@@ -101,3 +111,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
     return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@register("op10_quality_fm")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from three quarters of the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    labels = table(spark, sf_dir, "labels").filter(F.col("quality").isNotNull() & ~held_out).select(F.col("doc_id").alias("id"), "quality")
+    model = quality_fm.fit(docs.join(labels, F.col("doc_id") == F.col("id")))
+    out = quality_fm.score(docs, model)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
