@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, quality_fm, quality_rules, substring_dedup, suffix_dedup
+from . import html_extract, language_id, mixing, packing, quality_fm, quality_rules, substring_dedup, suffix_dedup
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,6 +107,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@register("op7_html_extract")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    out = html_extract.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 @register("op9_quality_rules", RULES_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
