@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, language_id, mixing, packing, quality_fm, quality_rules, substring_dedup, suffix_dedup
+from . import embedding_dedup, html_extract, language_id, mixing, packing, quality_fm, quality_rules, substring_dedup, suffix_dedup
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,18 @@ FROM f
 """
 
 
+EMBEDDING_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+links AS (SELECT a AS vec_id, count(*) AS n_links FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM comp LEFT JOIN links USING (vec_id)
+"""
+
+
 @register("op1_substring_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that repeat a smaller document, per document."""
@@ -114,6 +126,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+@register("op8_embedding_dedup", EMBEDDING_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return embedding_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
 @register("op9_quality_rules", RULES_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
