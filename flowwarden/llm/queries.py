@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_extract, language_id, mixing, packing, quality_fm, quality_rules, substring_dedup, suffix_dedup
+from . import embedding_dedup, html_extract, language_id, mixing, ngram_join, packing, quality_fm, quality_rules, substring_dedup, suffix_dedup
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +113,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@register("op5_ngram_join")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under 3-word shingles and similarity 0.9."""
+    return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
 @register("op6_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence."""

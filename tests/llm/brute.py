@@ -42,3 +42,41 @@ def suffix_dedup(rows, window=20):
             seen.add(k)
         out.append((i, len(w), sum(gone), sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest()))
     return out
+
+
+def shingles(text, k=3):
+    w = WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def reach(ids, links):
+    """Least id reachable from each id."""
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def ngram_components(rows, percent=90):
+    """rows: (doc_id, text). Per row: id, set size, component."""
+    sets = {i: shingles(t) for i, t in rows}
+    owners = {}
+    for i, s in sets.items():
+        for x in s:
+            owners.setdefault(x, []).append(i)
+    links = []
+    for i, s in sets.items():
+        both = {}
+        for x in s:
+            for j in owners[x]:
+                if j < i:
+                    both[j] = both.get(j, 0) + 1
+        links += [(i, j) for j, n in both.items() if 100 * n >= percent * (len(s) + len(sets[j]) - n)]
+    root = reach(sets, links)
+    return [(i, len(sets[i]), root[i]) for i, _ in rows]
