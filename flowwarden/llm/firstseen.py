@@ -108,17 +108,18 @@ def top_bits(h: np.ndarray, buckets: int, bits: int = 32) -> tuple[np.ndarray, n
     return ((h >> np.uint64(64 - b)) if b else np.zeros_like(h)).astype(np.uint32), (h >> shift).astype(np.uint32)
 
 
-def answers(sent: DataFrame, step: int, dtype: np.dtype | str, earlier: bool) -> DataFrame:
+def answers(sent: DataFrame, step: int, dtype: np.dtype | str, where: str) -> DataFrame:
     """Bitmaps over each array of keys. ``seen``: the key is in a chunk before this
-    one (``earlier``) or in any other chunk. ``mixed``: the key's group has
-    several keys."""
+    one (``earlier``), in any ``other`` chunk, or in another chunk where one of the
+    two is an index entry by its lowest bit, which isn't part of the key
+    (``probed``). ``mixed``: the key's group has several keys."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk")
         parts = [np.frombuffer(x, dtype) for x in t.column("keys").to_pylist()]
         entries = np.concatenate(parts)
         grouped = entries.dtype.names is not None
-        keys = entries["key"] if grouped else entries
+        keys = entries["key"] if grouped else entries >> 1 if where == "probed" else entries
         order = np.argsort(keys, kind="stable")
         if grouped:
             order = order[np.argsort(entries["group"][order], kind="stable")]
@@ -132,7 +133,12 @@ def answers(sent: DataFrame, step: int, dtype: np.dtype | str, earlier: bool) ->
             same[starts] = False
             many = np.maximum.reduceat(k, starts) != np.minimum.reduceat(k, starts)
             found["mixed"][order] = np.repeat(many, np.diff(np.append(starts, len(k))))
-        found["seen"][order] = same[:-1] if earlier else same[:-1] | same[1:]
+        seen = same[:-1] if where == "earlier" else same[:-1] | same[1:]
+        if where == "probed" and len(k):
+            starts = np.flatnonzero(~same[:-1])
+            indexed = np.repeat(np.add.reduceat((entries[order] & 1).astype(np.int64), starts), np.diff(np.append(starts, len(k))))
+            seen = seen & (indexed > 0)  # an index entry is in another chunk, or is this one and another chunk probes it
+        found["seen"][order] = seen
         ends = np.cumsum([len(p) for p in parts])
         bits = {n: pa.array([np.packbits(f[b - len(p):b]).tobytes() if f[b - len(p):b].any() else None
                              for p, b in zip(parts, ends)], pa.binary()) for n, f in found.items()}
@@ -142,8 +148,8 @@ def answers(sent: DataFrame, step: int, dtype: np.dtype | str, earlier: bool) ->
     return sent.groupBy("bucket").applyInArrow(run, ANSWER)
 
 
-def in_steps(chunks: DataFrame, steps: list[tuple[Callable, np.dtype | str, bool]], finish: Callable, schema: str) -> DataFrame:
-    """Steps ``(keys, dtype, earlier)``: ``keys(table, answers) -> Keys`` of a chunk,
+def in_steps(chunks: DataFrame, steps: list[tuple[Callable, np.dtype | str, str]], finish: Callable, schema: str) -> DataFrame:
+    """Steps ``(keys, dtype, where)``: ``keys(table, answers) -> Keys`` of a chunk,
     given the answers to the steps before; then ``finish(table, answers)`` makes
     the chunk's result. The chunks are shuffled once and read again by each step."""
     none = pa.table({"step": pa.array([], pa.int32()), "chunk": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()),
@@ -157,10 +163,10 @@ def in_steps(chunks: DataFrame, steps: list[tuple[Callable, np.dtype | str, bool
         return lambda t, a: keys(t, a if a.num_rows else none).sent(t.column("chunk")[0].as_py()) if t.num_rows else nothing
 
     got = None
-    for n, (keys, dtype, earlier) in enumerate(steps, 1):
+    for n, (keys, dtype, where) in enumerate(steps, 1):
         g = chunks.groupBy("chunk")
         sent = g.applyInArrow(alone(keys), SENT) if got is None else g.cogroup(got.groupBy("chunk")).applyInArrow(told(keys), SENT)
-        new = answers(sent, n, dtype, earlier)
+        new = answers(sent, n, dtype, where)
         got = new if got is None else got.unionByName(new)
     return chunks.groupBy("chunk").cogroup(got.groupBy("chunk")).applyInArrow(
         lambda t, a: finish(t, a if a.num_rows else none), schema)

@@ -224,7 +224,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          "key2": pa.array(x.key2.view(np.int64)), "signatures": pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(signature)),
                          "members": pa.array(members, pa.binary())})
 
-    found = written(in_steps(chunks, [(set_keys, "<u8", True), (signature_keys, "<u4", False)], finish, SETS), "ngram-sets")
+    found = written(in_steps(chunks, [(set_keys, "<u8", "earlier"), (signature_keys, "<u4", "other")], finish, SETS), "ngram-sets")
     named = found.filter(F.col("doc_id").isNotNull())
     sets = named.filter(F.col("members").isNotNull()).select("doc_id", "n", "members")
     shared = named.filter(F.size("signatures") > 0).select("doc_id", "n", F.explode("signatures").alias("signature")).distinct()

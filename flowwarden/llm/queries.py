@@ -80,10 +80,10 @@ FROM comp LEFT JOIN links USING (vec_id)
 """
 
 
-@register("op1_substring_dedup")
+@register("op1_suffix_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that repeat a smaller document, per document."""
-    d = substring_dedup.find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = suffix_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return d.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                     F.sha2("kept", 256).alias("kept_sha256"))
@@ -99,10 +99,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
-@register("op3_suffix_dedup")
+@register("op3_substring_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in windows that repeat an earlier one, per document."""
-    d = suffix_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = substring_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -1,17 +1,17 @@
-"""Substring dedup: anchors of half a match, probed by rolling windows.
-
-A string of ``MATCH`` bytes holds ``MATCH - BLOCK + 1`` blocks of ``BLOCK``
-bytes, half as long. Its anchor is the block with the least hash, so equal
-strings have equal anchors wherever they stand, and neighbouring windows mostly
-share theirs: one block in 13 is indexed. Three exchanges follow:
-
-1. anchors that no other document has are dropped, with all their windows;
-2. each stretch of windows that share an anchor is probed as one extended
-   string; where all stretches of an anchor are equal, that settles them;
-3. at the ends of repeats, where stretches differ, every rolling window is probed.
-
-Hits join to maximal removed runs. Keys are 64-bit hashes beside an independent
-bucket hash.
+"""Substring dedup of repeated word windows by fixed-block anchors.
+
+Each text is cut into non-overlapping reference blocks of ``WINDOW // 2`` words.
+A window of ``WINDOW`` words holds a whole reference block wherever it starts, so
+two equal windows meet where the block in one equals a rolling window of the
+other:
+
+1. The reference blocks are indexed, and every rolling window of a block's length
+   probes the index, in one exchange of 31-bit keys beside the bucket's bits; one
+   more bit tells reference blocks. A text learns which of its rolling blocks
+   equal a reference block elsewhere, and which of its reference blocks were hit.
+2. Hits are extended: the windows that hold a hit are compared whole (64-bit keys
+   beside a bucket of independent bits), and those that an earlier place holds
+   join to maximal exact repeats.
 """
 
 from __future__ import annotations
@@ -20,122 +20,91 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .firstseen import CHUNK_BYTES, GROUPED, Keys, chunked, in_order, in_steps, packed, struct_ddl, top_bits
-from .text import BYTES, SYMBOL, Poly, column_bytes, covered, windows_in_rows
-
-MATCH = 50
-OTHER = Poly(0xE7037ED1A0B428DB)
-
-
-def least(h: np.ndarray, k: int) -> np.ndarray:
-    """Least of every ``k`` consecutive values, by doubling spans."""
-    span = 1
-    while 2 * span <= k and len(h):
-        h = np.minimum(h[:len(h) - span], h[span:])
-        span *= 2
-    return np.minimum(h[:max(0, len(h) - (k - span))], h[k - span:]) if span < k else h
-
-
-class _Windows:
-    """All windows of a chunk's documents, and the runs of them that share an
-    anchor."""
-
-    def __init__(self, t: pa.Table, match: int, buckets: int):
-        block, self.match, self.buckets = match // 2, match, buckets
-        self.table, self.ids = in_order(t)
-        self.data, self.off = column_bytes(self.table.column("text"))
-        self.symbols = SYMBOL[self.data]
-        self.running = BYTES.running(self.symbols)
-        self.starts, self.rows = windows_in_rows(self.off, match)
-        anchor = least(BYTES.windows(self.running, block), match - block + 1)[self.starts]
-        new = np.ones(len(anchor), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (self.rows[1:] != self.rows[:-1])
-        self.run_starts = np.flatnonzero(new)
-        self.run_ends = np.append(self.run_starts[1:], len(anchor)) - 1
-        self.bucket, self.anchor = top_bits(anchor[self.run_starts], buckets)
-        self.anchors = Keys(self.bucket, self.anchor)
-
-    def shared(self, answers: pa.Table) -> np.ndarray:
-        """Runs whose anchor another document has."""
-        k, run_rows = self.anchors, self.rows[self.run_starts]
-        two = run_rows[k.first] != np.maximum.reduceat(run_rows[k.order], k.starts) if len(k.starts) else np.zeros(0, bool)
-        return np.flatnonzero((two | k.answered(answers, 1))[k.of])
-
-    def stretches(self, runs: np.ndarray) -> Keys:
-        """The runs as whole strings, grouped by anchor."""
-        lo = self.starts[self.run_starts[runs]]
-        hi = self.starts[self.run_ends[runs]] + self.match
-        return Keys(self.bucket[runs], BYTES.ranges(self.running, lo, hi), self.anchor[runs])
-
-    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and rows of the windows of some runs."""
-        at = np.zeros(len(self.run_starts), bool)
-        at[runs] = True
-        at = np.repeat(at, self.run_ends - self.run_starts + 1)
-        return self.starts[at], self.rows[at]
-
-    def keys(self, starts: np.ndarray) -> Keys:
-        other, key = (p.ranges(r, starts, starts + self.match) for p, r in ((OTHER, OTHER.running(self.symbols)), (BYTES, self.running)))
-        return Keys(top_bits(other, self.buckets)[0], key)
-
-    def before(self, k: Keys, rows: np.ndarray) -> np.ndarray:
-        """Whether a smaller document of this chunk has each key."""
-        return self.ids[rows[k.first]][k.of] < self.ids[rows]
-
-
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH,
-                 chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, spans (start and end of the
-    maximal removed runs), kept (the remaining bytes), rest (the other columns).
-
-    A byte goes if a string of ``match`` bytes covers it that also starts in a
-    document of a smaller id. Matches never cross documents; rows that share an id
-    don't remove each other's bytes; null ids are the smallest; a null text is
-    empty; an empty table gives no rows."""
-    chunks, buckets = chunked(docs, id_col, text_col, chunk_bytes)
+from .firstseen import CHUNK_BYTES, Keys, chunked, in_order, in_steps, packed, struct_ddl, top_bits
+from .text import WORDS, Poly, Slice, column_bytes, covered, windows_in_rows, word_hashes
 
-    def prune(t: pa.Table, answers: pa.Table) -> Keys:
-        return _Windows(t, match, buckets).anchors
+WINDOW = 20
+OTHER = Poly(0xA24BAED4963EE407)
 
-    def extend(t: pa.Table, answers: pa.Table) -> Keys:
-        w = _Windows(t, match, buckets)
-        return w.stretches(w.shared(answers))
 
-    def settled(w: _Windows, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Runs that repeat a smaller document as a whole, and the undecided."""
-        runs = w.shared(answers)
-        k = w.stretches(runs)
-        mixed = k.answered(answers, 2, "mixed")[k.of]
-        again = k.answered(answers, 2)[k.of] | w.before(k, w.rows[w.run_starts[runs]])
-        return runs[again & ~mixed], runs[mixed]
+class _Words:
+    """The words of a chunk's documents and their rolling windows."""
+
+    def __init__(self, t: pa.Table, window: int):
+        self.rows, _ = in_order(t)
+        data, off = column_bytes(self.rows.column("text"))
+        self.text = Slice(data, off, 0)
+        self.s, self.e, self.bounds = self.text.words()
+        self.words = word_hashes(data, self.s, self.e)
+        self.running = WORDS.running(self.words)
+        self.starts, _ = windows_in_rows(self.bounds, window)
+        self.block = window // 2
+        self.blocks, row = windows_in_rows(self.bounds, self.block)
+        self.reference = (self.blocks - self.bounds[row]) % self.block == 0
 
-    def probe(t: pa.Table, answers: pa.Table) -> Keys:
-        w = _Windows(t, match, buckets)
-        return w.keys(w.windows(settled(w, answers)[1])[0])
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
+                chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, n_removed, kept (the words
+    that are left, joined by one space), rest (the other columns, as a struct).
+
+    A word goes if a window of ``window`` words covers it whose words also start
+    earlier: in a smaller id, or earlier in the same text. A null text has no
+    words; texts shorter than a window stay whole; null ids are the smallest;
+    rows that share an id are in the order of their texts; an empty table gives
+    no rows."""
+    chunks, buckets = chunked(docs, id_col, text_col, chunk_bytes)
+
+    def anchors(x: _Words) -> Keys:
+        bucket, key = top_bits(WORDS.windows(x.running, x.block)[x.blocks], buckets, 31)
+        k = Keys(bucket, key)
+        is_reference = np.maximum.reduceat(x.reference[k.order], k.starts) if len(k.starts) else np.zeros(0, bool)
+        k.entry = k.entry << np.uint32(1) | is_reference.astype(np.uint32)
+        return k
+
+    def candidates(x: _Words, answers: pa.Table) -> np.ndarray:
+        """Starts of the windows that hold a hit."""
+        k = anchors(x)
+        again = np.diff(np.append(k.starts, len(k.of))) > 1
+        hit = ((again & (k.entry & 1).astype(bool)) | k.answered(answers, 1))[k.of]
+        run = np.zeros(len(x.words) + 2, np.int64)  # hits before a word
+        run[x.blocks[hit] + 1] = 1
+        run = np.cumsum(run)
+        return x.starts[run[x.starts + window - x.block + 1] > run[x.starts]]
+
+    def window_keys(x: _Words, starts: np.ndarray) -> Keys:
+        bucket, _ = top_bits(OTHER.windows(OTHER.running(x.words), window)[starts], buckets)
+        return Keys(bucket, WORDS.windows(x.running, window)[starts])
+
+    def index_and_probe(t: pa.Table, answers: pa.Table) -> Keys:
+        return anchors(_Words(t, window))
+
+    def extend(t: pa.Table, answers: pa.Table) -> Keys:
+        x = _Words(t, window)
+        return window_keys(x, candidates(x, answers))
 
     def finish(t: pa.Table, answers: pa.Table) -> pa.Table:
-        w = _Windows(t, match, buckets)
-        whole, open_runs = settled(w, answers)
-        starts, rows = w.windows(open_runs)
-        k = w.keys(starts)
-        again = k.answered(answers, 3)[k.of] | w.before(k, rows)
-        starts = np.concatenate([w.windows(whole)[0], starts[again]])
-        gone = covered(starts, match, len(w.data))
-        begin, stop = gone.copy(), gone.copy()
-        begin[1:] &= ~gone[:-1]
-        stop[:-1] &= ~gone[1:]
-        inner = w.off[(w.off > 0) & (w.off < len(gone))]
-        begin[inner] = gone[inner]
-        stop[inner - 1] = gone[inner - 1]
-        lo, hi = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-        span_off = np.searchsorted(lo, w.off)
-        row = np.searchsorted(w.off, lo, "right") - 1
-        span = pa.StructArray.from_arrays([pa.array(lo - w.off[row]), pa.array(hi - w.off[row])], ["start", "end"])
-        return pa.table({"doc_id": w.table.column("doc_id"), "n_bytes": pa.array(np.diff(w.off)),
-                         "spans": pa.ListArray.from_arrays(pa.array(span_off, pa.int32()), span),
-                         "kept": packed(w.data[~gone], np.concatenate([[0], np.cumsum(~gone)])[w.off], pa.binary()),
-                         "rest": w.table.column("rest")})
-
-    return in_steps(chunks, [(prune, "<u4", False), (extend, GROUPED, True), (probe, "<u8", True)], finish,
-                    "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary, "
-                     f"rest {struct_ddl(chunks, 'rest')}")
+        x = _Words(t, window)
+        starts = candidates(x, answers)
+        k = window_keys(x, starts)
+        again = k.answered(answers, 2)[k.of]
+        again |= k.first[k.of] != np.arange(len(starts))
+        gone = covered(starts[again], window, len(x.s))
+        run = np.concatenate([[0], np.cumsum(gone)])
+        data, off = x.text.data.copy(), x.text.off
+        kept = np.flatnonzero(~gone)
+        row = np.searchsorted(x.bounds, kept, "right") - 1
+        between = np.zeros(len(kept), bool)
+        between[:-1] = row[1:] == row[:-1]
+        edge = np.zeros(len(data) + 1, np.int64)
+        edge[x.s[kept]] += 1
+        edge[x.e[kept]] -= 1
+        use = np.cumsum(edge[:-1]) > 0
+        use[x.e[kept[between]]] = True
+        data[x.e[kept[between]]] = 0x20
+        out_off = np.concatenate([[0], np.cumsum(use)])[off]
+        return pa.table({"doc_id": x.rows.column("doc_id"), "n_words": pa.array(np.diff(x.bounds)),
+                         "n_removed": pa.array(run[x.bounds[1:]] - run[x.bounds[:-1]]),
+                         "kept": packed(data[use], out_off, pa.string()), "rest": x.rows.column("rest")})
+
+    return in_steps(chunks, [(index_and_probe, "<u4", "probed"), (extend, "<u8", "earlier")], finish, f"doc_id long, n_words long, n_removed long, kept string, rest {struct_ddl(chunks, 'rest')}")

@@ -1,13 +1,22 @@
-"""Suffix-array dedup of repeated word windows by a depth-limited radix sort.
-
-Suffixes need an order only through ``WINDOW`` words: equal groups at that
-depth are exactly the repeated windows. Passes run from the most significant
-digit: the first digit is a suffix's first ``FIRST`` words, and a group of one
-suffix is finished there; what is left is sorted through the full window. A
-pass deals the digits out to buckets (their leading bits) and sorts each
-bucket, and in a group of equal digits the smallest chunk and position come
-first. Digits are dealt as hashes: 32 bits and the bucket's in the first pass,
-which only prunes, and 64 bits beside an independent bucket hash in the last.
+"""Suffix dedup of repeated byte strings by a depth-limited radix sort.
+
+Suffixes need an order only through ``DEPTH`` bytes: equal groups at that depth
+are exactly the repeated strings, so nothing is compared beyond it and no whole
+suffix array is built. Passes deal suffixes out to buckets by a digit, sort each
+bucket, and finish groups of one; the most significant digit goes first:
+
+1. The first digit is the suffix's anchor, the block of half the depth with the
+   least hash among the blocks in its first ``DEPTH`` bytes. Equal suffixes have
+   equal anchors, and neighbours mostly share theirs, so one digit serves 13
+   suffixes on average; the plain prefix as first digit would be dealt for each.
+2. The second digit is the stretch of neighbours that share the anchor, as one
+   string. A group whose stretches are all equal is sorted as a whole.
+3. Suffixes of the other groups (where repeats end) are sorted one by one through
+   all ``DEPTH`` bytes.
+
+In a group of equal suffixes the smallest document comes first. Digits are dealt
+as hashes: 32 bits and the bucket's in the first pass, which only prunes, 64 bits
+beside a bucket of independent bits in the others.
 """
 
 from __future__ import annotations
@@ -16,80 +25,127 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .firstseen import CHUNK_BYTES, Keys, chunked, in_order, in_steps, packed, struct_ddl, top_bits
-from .text import WORDS, Poly, Slice, column_bytes, covered, windows_in_rows, word_hashes
-
-WINDOW = 20
-FIRST = 10
-OTHER = Poly(0xA24BAED4963EE407)
-
-
-class _Suffixes:
-    """The suffixes of a chunk's documents that have a whole window."""
-
-    def __init__(self, t: pa.Table, window: int):
-        self.rows, _ = in_order(t)
-        data, off = column_bytes(self.rows.column("text"))
-        self.text = Slice(data, off, 0)
-        self.s, self.e, self.bounds = self.text.words()
-        self.words = word_hashes(data, self.s, self.e)
-        self.running = WORDS.running(self.words)
-        self.starts, _ = windows_in_rows(self.bounds, window)
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, first: int = FIRST,
-                chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_removed, kept (the words
-    that are left, joined by one space), rest (the other columns, as a struct).
-
-    A word goes if a window of ``window`` words covers it whose words also start
-    earlier: in a smaller id, or earlier in the same text. A null text has no
-    words; texts shorter than a window stay whole; null ids are the smallest;
-    rows that share an id are in the order of their texts; an empty table gives
-    no rows."""
+from .firstseen import CHUNK_BYTES, GROUPED, Keys, chunked, in_order, in_steps, packed, struct_ddl, top_bits
+from .text import BYTES, SYMBOL, Poly, column_bytes, covered, windows_in_rows
+
+DEPTH = 50
+OTHER = Poly(0xE7037ED1A0B428DB)
+
+
+def least(h: np.ndarray, k: int) -> np.ndarray:
+    """Least of every ``k`` consecutive values, by doubling spans."""
+    span = 1
+    while 2 * span <= k and len(h):
+        h = np.minimum(h[:len(h) - span], h[span:])
+        span *= 2
+    return np.minimum(h[:max(0, len(h) - (k - span))], h[k - span:]) if span < k else h
+
+
+class _Windows:
+    """All windows of a chunk's documents, and the runs of them that share an
+    anchor."""
+
+    def __init__(self, t: pa.Table, depth: int, buckets: int):
+        block, self.depth, self.buckets = depth // 2, depth, buckets
+        self.table, self.ids = in_order(t)
+        self.data, self.off = column_bytes(self.table.column("text"))
+        self.symbols = SYMBOL[self.data]
+        self.running = BYTES.running(self.symbols)
+        self.starts, self.rows = windows_in_rows(self.off, depth)
+        anchor = least(BYTES.windows(self.running, block), depth - block + 1)[self.starts]
+        new = np.ones(len(anchor), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (self.rows[1:] != self.rows[:-1])
+        self.run_starts = np.flatnonzero(new)
+        self.run_ends = np.append(self.run_starts[1:], len(anchor)) - 1
+        self.bucket, self.anchor = top_bits(anchor[self.run_starts], buckets)
+        self.anchors = Keys(self.bucket, self.anchor)
+
+    def shared(self, answers: pa.Table) -> np.ndarray:
+        """Runs whose anchor another document has."""
+        k, run_rows = self.anchors, self.rows[self.run_starts]
+        two = run_rows[k.first] != np.maximum.reduceat(run_rows[k.order], k.starts) if len(k.starts) else np.zeros(0, bool)
+        return np.flatnonzero((two | k.answered(answers, 1))[k.of])
+
+    def stretches(self, runs: np.ndarray) -> Keys:
+        """The runs as whole strings, grouped by anchor."""
+        lo = self.starts[self.run_starts[runs]]
+        hi = self.starts[self.run_ends[runs]] + self.depth
+        return Keys(self.bucket[runs], BYTES.ranges(self.running, lo, hi), self.anchor[runs])
+
+    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and rows of the windows of some runs."""
+        at = np.zeros(len(self.run_starts), bool)
+        at[runs] = True
+        at = np.repeat(at, self.run_ends - self.run_starts + 1)
+        return self.starts[at], self.rows[at]
+
+    def keys(self, starts: np.ndarray) -> Keys:
+        other, key = (p.ranges(r, starts, starts + self.depth) for p, r in ((OTHER, OTHER.running(self.symbols)), (BYTES, self.running)))
+        return Keys(top_bits(other, self.buckets)[0], key)
+
+    def before(self, k: Keys, rows: np.ndarray) -> np.ndarray:
+        """Whether a smaller document of this chunk has each key."""
+        return self.ids[rows[k.first]][k.of] < self.ids[rows]
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH,
+                 chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, spans (start and end of the
+    maximal removed runs), kept (the remaining bytes), text (the remaining whole
+    characters: one that loses a byte goes), rest (the other columns, as a struct).
+
+    A byte goes if a string of ``depth`` bytes covers it that also starts in a
+    document of a smaller id. Strings never cross documents; rows that share an id
+    don't remove each other's bytes; null ids are the smallest; a null text is
+    empty; an empty table gives no rows."""
     chunks, buckets = chunked(docs, id_col, text_col, chunk_bytes)
 
-    def prune_keys(x: _Suffixes) -> Keys:
-        return Keys(*top_bits(WORDS.windows(x.running, first)[x.starts], buckets))
-
-    def left(x: _Suffixes, answers: pa.Table) -> np.ndarray:
-        k = prune_keys(x)
-        many = np.diff(np.append(k.starts, len(k.of))) > 1
-        return x.starts[(many | k.answered(answers, 1))[k.of]]
+    def prune(t: pa.Table, answers: pa.Table) -> Keys:
+        return _Windows(t, depth, buckets).anchors
 
-    def probe_keys(x: _Suffixes, starts: np.ndarray) -> Keys:
-        bucket, _ = top_bits(OTHER.windows(OTHER.running(x.words), window)[starts], buckets)
-        return Keys(bucket, WORDS.windows(x.running, window)[starts])
+    def extend(t: pa.Table, answers: pa.Table) -> Keys:
+        w = _Windows(t, depth, buckets)
+        return w.stretches(w.shared(answers))
 
-    def prune(t: pa.Table, answers: pa.Table) -> Keys:
-        return prune_keys(_Suffixes(t, window))
+    def settled(w: _Windows, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Runs that repeat a smaller document as a whole, and the undecided."""
+        runs = w.shared(answers)
+        k = w.stretches(runs)
+        mixed = k.answered(answers, 2, "mixed")[k.of]
+        again = k.answered(answers, 2)[k.of] | w.before(k, w.rows[w.run_starts[runs]])
+        return runs[again & ~mixed], runs[mixed]
 
     def probe(t: pa.Table, answers: pa.Table) -> Keys:
-        x = _Suffixes(t, window)
-        return probe_keys(x, left(x, answers))
+        w = _Windows(t, depth, buckets)
+        return w.keys(w.windows(settled(w, answers)[1])[0])
 
     def finish(t: pa.Table, answers: pa.Table) -> pa.Table:
-        x = _Suffixes(t, window)
-        starts = left(x, answers)
-        k = probe_keys(x, starts)
-        again = k.answered(answers, 2)[k.of]
-        again |= k.first[k.of] != np.arange(len(starts))
-        gone = covered(starts[again], window, len(x.s))
-        run = np.concatenate([[0], np.cumsum(gone)])
-        data, off = x.text.data.copy(), x.text.off
-        kept = np.flatnonzero(~gone)
-        row = np.searchsorted(x.bounds, kept, "right") - 1
-        between = np.zeros(len(kept), bool)
-        between[:-1] = row[1:] == row[:-1]
-        edge = np.zeros(len(data) + 1, np.int64)
-        edge[x.s[kept]] += 1
-        edge[x.e[kept]] -= 1
-        use = np.cumsum(edge[:-1]) > 0
-        use[x.e[kept[between]]] = True
-        data[x.e[kept[between]]] = 0x20
-        out_off = np.concatenate([[0], np.cumsum(use)])[off]
-        return pa.table({"doc_id": x.rows.column("doc_id"), "n_words": pa.array(np.diff(x.bounds)),
-                         "n_removed": pa.array(run[x.bounds[1:]] - run[x.bounds[:-1]]),
-                         "kept": packed(data[use], out_off, pa.string()), "rest": x.rows.column("rest")})
-
-    return in_steps(chunks, [(prune, "<u4", False), (probe, "<u8", True)], finish, f"doc_id long, n_words long, n_removed long, kept string, rest {struct_ddl(chunks, 'rest')}")
+        w = _Windows(t, depth, buckets)
+        whole, open_runs = settled(w, answers)
+        starts, rows = w.windows(open_runs)
+        k = w.keys(starts)
+        again = k.answered(answers, 3)[k.of] | w.before(k, rows)
+        starts = np.concatenate([w.windows(whole)[0], starts[again]])
+        gone = covered(starts, depth, len(w.data))
+        begin, stop = gone.copy(), gone.copy()
+        begin[1:] &= ~gone[:-1]
+        stop[:-1] &= ~gone[1:]
+        inner = w.off[(w.off > 0) & (w.off < len(gone))]
+        begin[inner] = gone[inner]
+        stop[inner - 1] = gone[inner - 1]
+        lo, hi = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+        span_off = np.searchsorted(lo, w.off)
+        row = np.searchsorted(w.off, lo, "right") - 1
+        span = pa.StructArray.from_arrays([pa.array(lo - w.off[row]), pa.array(hi - w.off[row])], ["start", "end"])
+        # a character starts at each byte that doesn't continue one
+        char = np.flatnonzero((w.data & 0xC0) != 0x80)
+        cut = np.repeat(np.logical_or.reduceat(gone, char), np.diff(np.append(char, len(gone)))) if len(char) else gone
+        return pa.table({"doc_id": w.table.column("doc_id"), "n_bytes": pa.array(np.diff(w.off)),
+                         "spans": pa.ListArray.from_arrays(pa.array(span_off, pa.int32()), span),
+                         "kept": packed(w.data[~gone], np.concatenate([[0], np.cumsum(~gone)])[w.off], pa.binary()),
+                         "text": packed(w.data[~cut], np.concatenate([[0], np.cumsum(~cut)])[w.off], pa.string()),
+                         "rest": w.table.column("rest")})
+
+    return in_steps(chunks, [(prune, "<u4", "other"), (extend, GROUPED, "earlier"), (probe, "<u8", "earlier")], finish,
+                    "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary, text string, "
+                     f"rest {struct_ddl(chunks, 'rest')}")

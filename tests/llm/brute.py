@@ -10,26 +10,26 @@ def key(doc_id):
     return (doc_id is not None, doc_id or 0)
 
 
-def substring_dedup(rows, match=50):
+def byte_dedup(rows, depth=50):
     """rows: (doc_id, text). Per row: id, bytes, removed, spans, digest."""
     least = {}
     for i, t in sorted(rows, key=lambda r: key(r[0])):
         b = (t or "").encode()
-        for p in range(len(b) - match + 1):
-            least.setdefault(b[p:p + match], key(i))
+        for p in range(len(b) - depth + 1):
+            least.setdefault(b[p:p + depth], key(i))
     out = []
     for i, t in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
-        for p in range(len(b) - match + 1):
-            if least[b[p:p + match]] < key(i):
-                gone[p:p + match] = b"\1" * match
+        for p in range(len(b) - depth + 1):
+            if least[b[p:p + depth]] < key(i):
+                gone[p:p + depth] = b"\1" * depth
         spans = len(re.findall(b"\1+", bytes(gone)))
         out.append((i, len(b), sum(gone), spans, sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest()))
     return out
 
 
-def suffix_dedup(rows, window=20):
+def word_dedup(rows, window=20):
     """rows: (doc_id, text). Per row: id, words, removed, digest."""
     seen, out = set(), []
     for i, t in sorted(rows, key=lambda r: (key(r[0]), r[1] or "")):
