@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Mean bytes of text in a chunk, and of text for each bucket of keys.
 CHUNK_BYTES = 2 << 20
@@ -148,7 +149,7 @@ def answers(sent: DataFrame, step: int, dtype: np.dtype | str, where: str) -> Da
     return sent.groupBy("bucket").applyInArrow(run, ANSWER)
 
 
-def in_steps(chunks: DataFrame, steps: list[tuple[Callable, np.dtype | str, str]], finish: Callable, schema: str) -> DataFrame:
+def in_steps(chunks: DataFrame, steps: list[tuple[Callable, np.dtype | str, str]], finish: Callable, schema: str | T.StructType) -> DataFrame:
     """Steps ``(keys, dtype, where)``: ``keys(table, answers) -> Keys`` of a chunk,
     given the answers to the steps before; then ``finish(table, answers)`` makes
     the chunk's result. The chunks are shuffled once and read again by each step."""
@@ -172,8 +173,9 @@ def in_steps(chunks: DataFrame, steps: list[tuple[Callable, np.dtype | str, str]
         lambda t, a: finish(t, a if a.num_rows else none), schema)
 
 
-def struct_ddl(df: DataFrame, col: str) -> str:
-    return df.schema[col].dataType.simpleString()
+def with_rest(chunks: DataFrame, ddl: str) -> T.StructType:
+    """The columns of ``ddl`` and the chunks' ``rest``."""
+    return T.StructType([*T.StructType.fromDDL(ddl).fields, chunks.schema["rest"]])
 
 
 def packed(data: np.ndarray, off: np.ndarray, kind: pa.DataType) -> pa.Array:

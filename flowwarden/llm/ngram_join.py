@@ -110,7 +110,8 @@ class _Sets:
         self.size = np.bincount(self.owner, minlength=len(self.ids))
         self.bounds = np.concatenate([[0], np.cumsum(self.size)])
         self.key, self.key2 = (self.total(mix(self.member + c)) for c in (np.uint64(1), _OTHER))
-        self.some = np.flatnonzero(self.size)
+        known = self.rows.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+        self.some = np.flatnonzero((self.size > 0) & known)  # a null id joins nothing and stands for no other
 
     def total(self, x: np.ndarray) -> np.ndarray:
         run = np.zeros(len(x) + 1, np.uint64)
@@ -121,7 +122,7 @@ class _Sets:
         return Keys(top_bits(mix(self.key2[self.some]), buckets)[0], self.key[self.some])
 
     def firsts(self, answers: pa.Table, buckets: int) -> np.ndarray:
-        """Rows with members whose set is in no smaller document."""
+        """Rows with an id and members whose set is in no smaller document."""
         k = self.set_keys(buckets)
         again = k.answered(answers, 1)[k.of] | (k.first[k.of] != np.arange(len(self.some)))
         return self.some[~again]

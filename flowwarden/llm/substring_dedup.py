@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .firstseen import CHUNK_BYTES, Keys, chunked, in_order, in_steps, packed, struct_ddl, top_bits
+from .firstseen import CHUNK_BYTES, Keys, chunked, in_order, in_steps, packed, top_bits, with_rest
 from .text import WORDS, Poly, Slice, column_bytes, covered, windows_in_rows, word_hashes
 
 WINDOW = 20
@@ -107,4 +107,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          "n_removed": pa.array(run[x.bounds[1:]] - run[x.bounds[:-1]]),
                          "kept": packed(data[use], out_off, pa.string()), "rest": x.rows.column("rest")})
 
-    return in_steps(chunks, [(index_and_probe, "<u4", "probed"), (extend, "<u8", "earlier")], finish, f"doc_id long, n_words long, n_removed long, kept string, rest {struct_ddl(chunks, 'rest')}")
+    return in_steps(chunks, [(index_and_probe, "<u4", "probed"), (extend, "<u8", "earlier")], finish,
+                    with_rest(chunks, "doc_id long, n_words long, n_removed long, kept string"))

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .firstseen import CHUNK_BYTES, GROUPED, Keys, chunked, in_order, in_steps, packed, struct_ddl, top_bits
+from .firstseen import CHUNK_BYTES, GROUPED, Keys, chunked, in_order, in_steps, packed, top_bits, with_rest
 from .text import BYTES, SYMBOL, Poly, column_bytes, covered, windows_in_rows
 
 DEPTH = 50
@@ -147,5 +147,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          "rest": w.table.column("rest")})
 
     return in_steps(chunks, [(prune, "<u4", "other"), (extend, GROUPED, "earlier"), (probe, "<u8", "earlier")], finish,
-                    "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary, text string, "
-                     f"rest {struct_ddl(chunks, 'rest')}")
+                    with_rest(chunks, "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary, text string"))

@@ -13,12 +13,12 @@ def key(doc_id):
 def byte_dedup(rows, depth=50):
     """rows: (doc_id, text). Per row: id, bytes, removed, spans, digest."""
     least = {}
-    for i, t in sorted(rows, key=lambda r: key(r[0])):
+    for i, t, *_ in sorted(rows, key=lambda r: key(r[0])):
         b = (t or "").encode()
         for p in range(len(b) - depth + 1):
             least.setdefault(b[p:p + depth], key(i))
     out = []
-    for i, t in rows:
+    for i, t, *_ in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
         for p in range(len(b) - depth + 1):
@@ -32,7 +32,7 @@ def byte_dedup(rows, depth=50):
 def word_dedup(rows, window=20):
     """rows: (doc_id, text). Per row: id, words, removed, digest."""
     seen, out = set(), []
-    for i, t in sorted(rows, key=lambda r: (key(r[0]), r[1] or "")):
+    for i, t, *_ in sorted(rows, key=lambda r: (key(r[0]), r[1] or "")):
         w = WORD.findall(t or "")
         gone = [False] * len(w)
         for p in range(len(w) - window + 1):
@@ -65,7 +65,7 @@ def reach(ids, links):
 
 def ngram_components(rows, percent=90):
     """rows: (doc_id, text). Per row: id, set size, component."""
-    sets = {i: shingles(t) for i, t in rows}
+    sets = {i: shingles(t) for i, t, *_ in rows}
     owners = {}
     for i, s in sets.items():
         for x in s:
@@ -79,4 +79,4 @@ def ngram_components(rows, percent=90):
                     both[j] = both.get(j, 0) + 1
         links += [(i, j) for j, n in both.items() if 100 * n >= percent * (len(s) + len(sets[j]) - n)]
     root = reach(sets, links)
-    return [(i, len(sets[i]), root[i]) for i, _ in rows]
+    return [(i, len(sets[i]), root[i]) for i, *_ in rows]
