@@ -17,7 +17,7 @@ __all__ = [
     "bytes_to_mb", "mb_to_bytes", "format_number_", "format_timestamp",
     "epoch_to_timestamp", "timestamp_to_epoch", "as_ltz", "time_ago",
     "is_suspicious_port", "protocol_risk", "standardize_label", "severity",
-    "clip01", "strip_ws", "round_half_up",
+    "clip01", "finite", "strip_ws", "round_half_up",
 ]
 
 
@@ -25,6 +25,12 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def finite(c) -> Column:
+    """The value as a double, or null when it is null, NaN or infinite."""
+    x = col_(c).cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
+
+
 def safe_divide(a, b, default: float = 0.0) -> Column:
     """a / b, or ``default`` when b is 0 or null (the division is guarded, so
     ANSI mode never sees a zero divisor)."""

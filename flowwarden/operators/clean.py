@@ -1,10 +1,8 @@
 """Cleaning: null/Inf filling, category codes, labels, IP conversion, coercion.
 
-All steps are projections except ``category_codes``: it builds the sorted
-distinct-value table of each string column (a partial-aggregated distinct, then
-a window over the distinct values only) and joins it back; AQE turns the join
-into a broadcast when the measured code table is small, and keeps a shuffle
-join (with skew splitting) when it is not.
+All steps are projections, except that ``category_codes`` first asks for the
+distinct values: columns with few values are coded in the projection, others by a
+join to their counted code table.
 """
 
 from __future__ import annotations
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import epoch_to_timestamp, ip_to_int, standardize_label
+from ..session import cut_lineage
 
 
 def _q(c):
@@ -50,23 +49,38 @@ def code_table(df: DataFrame, col: str) -> DataFrame:
     are global positions in value order (``global_index``: range partitions
     plus partition offsets), so a column with millions of distinct values is
     still coded in parallel, never in one task."""
-    from .rolling import global_index
+    from .rolling import global_index, range_partitions
     vals = df.select(_q(col).cast("string").alias("_v")).where(F.col("_v").isNotNull()).distinct()
-    return global_index(vals, ["_v"]).select("_v", F.col("_idx").cast("int").alias("_code"))
+    return global_index(vals, ["_v"], range_partitions(df.sparkSession, vals.count())).select("_v", F.col("_idx").cast("int").alias("_code"))
 
 
-def category_codes(df: DataFrame, cols=None, exclude=("label",)) -> DataFrame:
-    """String columns -> sorted-category integer codes; null -> -1."""
+def category_codes(df: DataFrame, cols=None, exclude=("label",), literal: int = 200,
+                   broadcast_rows: int = 1_000_000) -> DataFrame:
+    """String columns -> sorted-category integer codes; null -> -1.
+
+    One aggregate estimates the distinct values of all columns, a second collects
+    the values of those with few (``literal`` at most): their codes are a
+    projection. A column with more values is joined to its counted code table,
+    which is broadcast up to ``broadcast_rows``."""
     if cols is None:
         cols = [f.name for f in df.schema.fields
                 if isinstance(f.dataType, T.StringType) and f.name not in exclude]
-    out = df
-    for c in cols:
-        codes = code_table(df, c).withColumnRenamed("_v", "_cv")
-        out = (out.join(codes, _q(c).eqNullSafe(F.col("_cv")), "left")
+    if not cols:
+        return df
+    about = df.agg(*[F.approx_count_distinct(_q(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    few = [c for c, n in zip(cols, about) if n <= literal // 2]  # the estimate is off by a few percent
+    out, projected = df, {}
+    if few:
+        for c, values in zip(few, df.agg(*[F.array_sort(F.collect_set(_q(c))) for c in few]).first()):
+            known = F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+            projected[c] = F.when(_q(c).isNull(), F.lit(-1)).otherwise((F.array_position(known, _q(c)) - 1).cast("int"))
+    for c in [c for c in cols if c not in few]:
+        codes = cut_lineage(code_table(df, c).withColumnRenamed("_v", "_cv"))
+        codes = F.broadcast(codes) if codes.count() <= broadcast_rows else codes
+        out = (out.join(codes, _q(c) == F.col("_cv"), "left")
                   .withColumn(c, F.coalesce(F.col("_code"), F.lit(-1)))
                   .drop("_cv", "_code"))
-    return out
+    return out.withColumns(projected) if projected else out
 
 
 def standardize_labels(df: DataFrame, col: str = "label", out: str | None = None) -> DataFrame:

@@ -15,15 +15,18 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rolling import exact_percentile, prefix_sums, sequence_windows
+from ..functions.scalars import finite
+from .rolling import exact_percentile, fitted_length, prefix_sums, sequence_windows
 
 FOREST_DEFAULTS = {"numTrees": 100, "maxDepth": 20, "minInstancesPerNode": 1, "seed": 42}
+#: Bound of the class counts that weighting collects.
+MAX_CLASSES = 10_000
 SEQUENCE_DEFAULTS = {"length": 5, "maxIter": 30, "regParam": 1e-4}
 
 
@@ -41,14 +44,26 @@ def train_test_split(df: DataFrame, key_col: str, seed: int = 42, test_fraction:
     return df.where(~flag), df.where(flag)
 
 
-def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="keep").transform(df)
+def input_stages(features: list[str], out: str = "features") -> list:
+    """Pipeline stages from raw columns to a vector: missing, NaN and infinite
+    values become 0 in copies of the columns, at fitting and at scoring."""
+    clean = ", ".join(f"CASE WHEN isnan(CAST(`{f}` AS DOUBLE)) OR abs(CAST(`{f}` AS DOUBLE)) = double('Infinity') THEN 0D "
+                      f"ELSE coalesce(CAST(`{f}` AS DOUBLE), 0D) END AS `_in{i}`" for i, f in enumerate(features))
+    return [SQLTransformer(statement=f"SELECT *, {clean} FROM __THIS__"),
+            VectorAssembler(inputCols=[f"_in{i}" for i in range(len(features))], outputCol=out)]
+
+
+def drop_inputs(df: DataFrame, *more: str) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("_in") and c[3:].isdigit()], *more)
 
 
 def balanced_class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
     """weight = n / (classes * n_class). The class counts (one row per class)
     come back as a small literal map."""
-    counts = {r[0]: r[1] for r in df.groupBy(label).agg(F.count(F.lit(1))).collect()}
+    rows = df.groupBy(label).agg(F.count(F.lit(1))).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
+    counts = {r[0]: r[1] for r in rows}
     n, k = sum(counts.values()), len(counts)
     m = F.create_map(*[x for c, nc in counts.items() if c is not None for x in (F.lit(c), F.lit(n / (k * nc)))])
     return df.withColumn(out, F.try_element_at(m, F.col(label)) if counts else F.lit(None).cast("double"))
@@ -58,7 +73,7 @@ def train_forest(df: DataFrame, features: list[str], label: str = "label", **par
     p = dict(FOREST_DEFAULTS)
     p.update(params)
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, probabilityCol="probability", **p)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), rf]).fit(df)
+    return Pipeline(stages=[*input_stages(features), rf]).fit(df)
 
 
 def tune_forest(df: DataFrame, features: list[str], label: str = "label", grid: dict | None = None,
@@ -74,15 +89,15 @@ def tune_forest(df: DataFrame, features: list[str], label: str = "label", grid:
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0)
     cv = CrossValidator(estimator=rf, estimatorParamMaps=b.build(), evaluator=ev, numFolds=folds,
                         parallelism=parallelism, seed=seed)
-    return cv.fit(assemble(df, features))
+    return cv.fit(drop_inputs(Pipeline(stages=input_stages(features)).fit(df).transform(df)))
 
 
 def forest_scores(model, df: DataFrame, out: str = "rf_score") -> DataFrame:
     """P(class 1); a one-class model gives its only probability column."""
     s = model.transform(df)
     p = vector_to_array("probability")
-    return s.withColumn(out, F.when(F.size(p) > 1, p[1]).otherwise(p[0])).drop(
-        "features", "rawPrediction", "probability", "prediction")
+    return drop_inputs(s.withColumn(out, F.when(F.size(p) > 1, p[1]).otherwise(p[0])),
+                       "features", "rawPrediction", "probability", "prediction")
 
 
 def feature_importance(model, features: list[str]):
@@ -104,8 +119,8 @@ class ReconstructionModel:
     def fit(df: DataFrame, features: list[str], k: int = 32, contamination: float = 0.1,
             key: str | None = None) -> "ReconstructionModel":
         d = len(features)
-        k = max(1, min(k, d))
-        pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="keep"),
+        k = max(1, min(k, d // 2))  # a bottleneck: as many components as features would leave no error
+        pipe = Pipeline(stages=[*input_stages(features, "_raw"),
                                 StandardScaler(inputCol="_raw", outputCol="_std", withMean=True, withStd=True),
                                 PCA(k=k, inputCol="_std", outputCol="_z")]).fit(df)
         m = ReconstructionModel(pipe, k, d, None)
@@ -118,7 +133,7 @@ class ReconstructionModel:
         s = self.model.transform(df)
         x, z = vector_to_array("_std"), vector_to_array("_z")
         sq = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v * v)
-        return s.withColumn(out, F.greatest(sq(x) - sq(z), F.lit(0.0)) / F.lit(float(self.d))).drop("_raw", "_std", "_z")
+        return drop_inputs(s.withColumn(out, F.greatest(sq(x) - sq(z), F.lit(0.0)) / F.lit(float(self.d))), "_raw", "_std", "_z")
 
 
 def reconstruction_summary(df: DataFrame, threshold: float, err: str = "recon_error") -> DataFrame:
@@ -127,15 +142,21 @@ def reconstruction_summary(df: DataFrame, threshold: float, err: str = "recon_er
                   F.avg(F.when(F.col(err) > F.lit(threshold), 1.0).otherwise(0.0)).alias("anomaly_share"))
 
 
+def _no_gaps(df: DataFrame, features: list[str]) -> DataFrame:
+    return df.withColumns({f: F.coalesce(finite(F.col(f"`{f}`")), F.lit(0.0)) for f in features})
+
+
 def train_sequence(df: DataFrame, features: list[str], label: str = "label", key=("ts", "flow_id"),
-                   length: int = 5, min_sequences: int = 100, **lr_params):
-    """Logistic regression on the L previous rows' features. With fewer than
-    ``min_sequences`` windows the model falls back to L = 1."""
+                   length: int = 5, min_sequences: int = 100, targets=None, **lr_params):
+    """Logistic regression on the L previous rows' features, over windows of the
+    whole order; ``targets`` (a condition on the key columns) picks the rows to
+    learn from. L follows ``fitted_length``. Missing values count as 0. Returns
+    the model and L."""
     n = df.count()
-    seq = sequence_windows(df, features, label, key, length, n_rows=n)
-    if n - length < min_sequences:
-        length = 1
-        seq = sequence_windows(df, features, label, key, 1, n_rows=n)
+    length = fitted_length(n, length, min_sequences)
+    seq = sequence_windows(_no_gaps(df, features), features, label, key, length, n_rows=n)
+    if targets is not None:
+        seq = seq.where(targets)
     seq = seq.withColumn("_flat", array_to_vector(F.flatten("sequence")))
     seq = balanced_class_weights(seq.withColumn(label, F.col("target").cast("double")), label)
     p = {"maxIter": SEQUENCE_DEFAULTS["maxIter"], "regParam": SEQUENCE_DEFAULTS["regParam"]}
@@ -151,7 +172,7 @@ def sequence_scores(model, length: int, df: DataFrame, features: list[str], labe
                     key=("ts", "flow_id"), out: str = "lstm_score") -> DataFrame:
     """Score of row i from rows i-L..i-1; the first L rows (no history) get 0."""
     key = list(key)
-    seq = sequence_windows(df, features, label, key, length).withColumn("_flat", array_to_vector(F.flatten("sequence")))
+    seq = sequence_windows(_no_gaps(df, features), features, label, key, length).withColumn("_flat", array_to_vector(F.flatten("sequence")))
     s = model.transform(seq).select(*key, vector_to_array("_p")[1].alias(out))
     return df.drop(out).join(s, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit(0.0)))
 

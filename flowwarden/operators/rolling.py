@@ -33,6 +33,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import finite
 from ..session import cut_lineage
 from .features import numeric_columns
 
@@ -109,51 +110,58 @@ def _frame_stats(blocks: DataFrame, cols, partition_by, lookback: int) -> DataFr
     w = _block_frame(partition_by, lookback)
     out = {}
     for c in cols:
-        x = _q(c).cast("double")
+        x = finite(_q(c))
         out[f"{c}_rolling_mean"] = F.avg(x).over(w)
         out[f"{c}_rolling_std"] = F.coalesce(F.stddev_samp(x).over(w), F.lit(0.0))
     return blocks.withColumns(out)
 
 
-def _prefix_stats(blocks: DataFrame, cols, partition_by, lookback: int) -> DataFrame:
-    """Mean and sample std per row from running sums: O(1) work per row and
-    column. Values are centred on their block's mean first, so the running
-    sums stay small, and a frame's sums are the running sum minus its value
-    ``window`` rows back (``lag``). Within a block the halo rows come first,
-    so every own row has its full look-back inside the partition."""
+def _segment_stats(blocks: DataFrame, cols, partition_by, lookback: int) -> DataFrame:
+    """Mean and sample std per row in O(1) work per row and column, without
+    subtracting running sums: rows are cut into segments as long as the window,
+    so a frame is the end of one segment and the start of the next. (n, mean,
+    variance) of every segment start and end are running aggregates, and a frame
+    merges two of them. One extreme value thus touches only frames that hold it.
+    Four window steps, however many columns."""
     part = ["_block", *[_q(c) for c in partition_by]]
-    whole = Window.partitionBy(*part)
-    run = Window.partitionBy(*part).orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)
     ordered = Window.partitionBy(*part).orderBy("_idx")
+    so_far = (Window.unboundedPreceding, 0)
+    start = Window.partitionBy(*part, "_seg").orderBy("_idx").rowsBetween(*so_far)
+    end = Window.partitionBy(*part, "_seg").orderBy(F.desc("_idx")).rowsBetween(*so_far)
     width = lookback + 1
-    b = blocks
+    b = blocks.withColumns({f"_x{i}": finite(_q(c)) for i, c in enumerate(cols)})
+    b = b.withColumn("_at", F.row_number().over(ordered) - 1).withColumn("_seg", F.floor(F.col("_at") / width))
+
+    def state(x, w):
+        return F.struct(F.count(x).over(w).cast("double").alias("n"), F.coalesce(F.avg(x).over(w), F.lit(0.0)).alias("m"),
+                        F.coalesce(F.var_pop(x).over(w), F.lit(0.0)).alias("v"))
+
+    b = b.withColumns({f"_s{i}": state(F.col(f"_x{i}"), start) for i in range(len(cols))})
+    b = b.withColumns({f"_e{i}": state(F.col(f"_x{i}"), end) for i in range(len(cols))})
+    # a row that ends its segment has its whole frame in the segment's start
+    tail = F.col("_at") % width != lookback
+    b = b.withColumns({f"_e{i}": F.when(tail, F.lag(f"_e{i}", lookback).over(ordered)) for i in range(len(cols))})
+    out, drop = {}, ["_at", "_seg"]
     for i, c in enumerate(cols):
-        x = _q(c).cast("double")
-        b = b.withColumn(f"_mu{i}", F.coalesce(F.avg(x).over(whole), F.lit(0.0)))
-        d = x - F.col(f"_mu{i}")
-        b = b.withColumns({f"_cs{i}": F.sum(F.coalesce(d, F.lit(0.0))).over(run),
-                           f"_cq{i}": F.sum(F.coalesce(d * d, F.lit(0.0))).over(run),
-                           f"_cn{i}": F.count(x).over(run)})
-    out = {}
-    drop = []
-    for i, c in enumerate(cols):
-        def frame(name):
-            return F.col(name) - F.coalesce(F.lag(name, width).over(ordered), F.lit(0))
-        n, sx, sq = frame(f"_cn{i}").cast("double"), frame(f"_cs{i}"), frame(f"_cq{i}")
-        var = F.greatest((sq - sx * sx / n) / (n - 1), F.lit(0.0))
-        out[f"{c}_rolling_mean"] = F.when(n > 0, F.col(f"_mu{i}") + sx / n)
-        out[f"{c}_rolling_std"] = F.when(n > 1, F.sqrt(var)).otherwise(F.lit(0.0))
-        drop += [f"_mu{i}", f"_cs{i}", f"_cq{i}", f"_cn{i}"]
+        n1, m1, v1 = (F.col(f"_s{i}.{f}") for f in "nmv")
+        n2, m2, v2 = (F.coalesce(F.col(f"_e{i}.{f}"), F.lit(0.0)) for f in "nmv")
+        n, d = n1 + n2, m2 - m1
+        mean = F.when(n2 == 0, m1).when(n1 == 0, m2).otherwise(m1 + d * n2 / n)
+        squares = n1 * v1 + n2 * v2 + F.when(n > 0, d * d * n1 * n2 / n).otherwise(F.lit(0.0))
+        out[f"{c}_rolling_mean"] = F.when(n > 0, mean)
+        out[f"{c}_rolling_std"] = F.when(n > 1, F.sqrt(squares / (n - 1))).otherwise(F.lit(0.0))
+        drop += [f"_x{i}", f"_s{i}", f"_e{i}"]
     return b.withColumns(out).drop(*drop)
 
 
 def rolling_features(df: DataFrame, key=("ts", "flow_id"), window: int = 100, max_cols: int = 10,
                      cols=None, partition_by=(), exclude=("label",), block_size: int | None = None,
                      num_partitions: int | None = None, keep_index: bool = False,
-                     method: str = "prefix") -> DataFrame:
+                     method: str = "segment") -> DataFrame:
     """For the first ``max_cols`` numeric columns: trailing-``window`` mean,
     sample std (single observation -> 0) and |x - mean|, in key order.
-    ``method="prefix"`` (default) uses running sums, O(1) per row;
+    NaN and infinite values count as missing; a missing value has no deviation.
+    ``method="segment"`` (default) merges running aggregates, O(1) per row;
     ``method="frame"`` re-aggregates each sliding frame, O(window) per row."""
     key = [key] if isinstance(key, str) else list(key)
     partition_by = [partition_by] if isinstance(partition_by, str) else list(partition_by)
@@ -169,9 +177,9 @@ def rolling_features(df: DataFrame, key=("ts", "flow_id"), window: int = 100, ma
     # explicit block shuffle sized like the range partitions (the window's
     # own exchange would use the session default, which AQE cannot split)
     blocks = halo_blocks(idx, lookback, block_size).repartition(p, "_block")
-    stats = _prefix_stats if method == "prefix" else _frame_stats
+    stats = _segment_stats if method == "segment" else _frame_stats
     res = stats(blocks, cols, partition_by, lookback)
-    res = res.withColumns({f"{c}_deviation": F.abs(_q(c).cast("double") - F.col(f"{c}_rolling_mean")) for c in cols})
+    res = res.withColumns({f"{c}_deviation": F.abs(finite(_q(c)) - F.col(f"{c}_rolling_mean")) for c in cols})
     res = res.where(~F.col("_halo")).drop("_block", "_halo")
     return res if keep_index else res.drop("_idx")
 
@@ -211,15 +219,22 @@ def frequency_table(df: DataFrame, cols=("src_ip", "dst_ip")) -> DataFrame:
     return out
 
 
+def fitted_length(n_rows: int, length: int = 5, min_sequences: int = 100) -> int:
+    """Window length to fit with: ``length``, a third of a table of fewer than
+    2L rows, and 1 where fewer than ``min_sequences`` windows would be left.
+    Scoring always uses the length that was fitted."""
+    if n_rows < 2 * length:
+        length = max(1, n_rows // 3)
+    return 1 if n_rows - length < min_sequences else length
+
+
 def sequence_windows(df: DataFrame, feature_cols, label: str = "label", key=("ts", "flow_id"), length: int = 5,
                      block_size: int | None = None, num_partitions: int | None = None,
                      n_rows: int | None = None) -> DataFrame:
     """Row i (i >= L) with the features of rows i-L .. i-1 (oldest first) and
-    its own label. If the table has fewer than 2L rows, L = max(1, n // 3)."""
+    its own label; a table of L rows or fewer gives no row."""
     key = [key] if isinstance(key, str) else list(key)
     n = df.count() if n_rows is None else n_rows
-    if n < 2 * length:
-        length = max(1, n // 3)
     spark = df.sparkSession
     p = int(num_partitions or range_partitions(spark, n))
     if block_size is None:
@@ -255,7 +270,7 @@ def prefix_sums(df: DataFrame, key, cols, partition_by=(), inclusive: bool = Tru
     key = [key] if isinstance(key, str) else list(key)
     partition_by = [partition_by] if isinstance(partition_by, str) else list(partition_by)
     spark = df.sparkSession
-    p = int(num_partitions or range_partitions(spark))
+    p = int(num_partitions or range_partitions(spark, df.count()))
     order = [_q(c) for c in partition_by + key]
     s = cut_lineage(df.repartitionByRange(p, *order).sortWithinPartitions(*order)
                       .withColumn("_pid", F.spark_partition_id()))
@@ -272,22 +287,31 @@ def prefix_sums(df: DataFrame, key, cols, partition_by=(), inclusive: bool = Tru
     return out.drop("_pid", *[f"_o{i}" for i in range(len(cols))])
 
 
-def exact_percentile(df: DataFrame, col: str, q: float, tiebreak: str | None = None) -> DataFrame:
-    """Exact quantile with linear interpolation (position q * (n - 1)),
-    distributed: global positions come from ``global_index``; only the two
-    neighbouring rows are aggregated."""
-    x = df.where(_q(col).isNotNull()).select(_q(col).cast("double").alias("_x"),
-                                             *([_q(tiebreak)] if tiebreak else []))
-    n = x.count()
-    if n == 0:
+def exact_percentile(df: DataFrame, col: str, q: float, tiebreak: str | None = None,
+                     accuracy: int = 100_000) -> DataFrame:
+    """Exact quantile with linear interpolation (position q * (n - 1)).
+
+    ``approx_percentile`` brackets the position, one aggregate counts the rows
+    below the bracket, and only the bracket's rows (about 4 / accuracy of the
+    table) are ordered."""
+    x = df.select(finite(_q(col)).alias("_x"), *([_q(tiebreak)] if tiebreak else [])).where(F.col("_x").isNotNull())
+    near = [max(0.0, q - 2 / accuracy), min(1.0, q + 2 / accuracy)]
+    got = x.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_x", near, accuracy).alias("b"), F.min("_x"), F.max("_x")).first()
+    if not got[0]:
         return df.sparkSession.createDataFrame([(None,)], "percentile double")
-    if tiebreak is None:
-        x = x.withColumn("_t", F.monotonically_increasing_id())
-        tiebreak = "_t"
+    n, (low, high) = got[0], got[1]
     pos = q * (n - 1)
     lo, hi = int(math.floor(pos)), int(math.ceil(pos))
-    frac = pos - lo
-    idx = global_index(x, ["_x", tiebreak], range_partitions(df.sparkSession, n))
-    pair = idx.where(F.col("_idx").isin(lo, hi))
-    return pair.agg((F.max(F.when(F.col("_idx") == lo, F.col("_x"))) * F.lit(1.0 - frac)
-                     + F.max(F.when(F.col("_idx") == hi, F.col("_x"))) * F.lit(frac)).alias("percentile"))
+    low = got[2] if lo < 2 or low > high else low
+    high = got[3] if hi > n - 3 else high
+    below, inside = x.agg(F.count(F.when(F.col("_x") < low, 1)), F.count(F.when(F.col("_x").between(low, high), 1))).first()
+    if not below <= lo <= hi < below + inside:  # the bracket missed: order everything
+        low, high, below, inside = got[2], got[3], 0, n
+    mid = x.where(F.col("_x").between(low, high))
+    if tiebreak is None:
+        mid, tiebreak = mid.withColumn("_t", F.monotonically_increasing_id()), "_t"
+    idx = global_index(mid, ["_x", tiebreak], range_partitions(df.sparkSession, inside))
+    at = F.col("_idx") + below
+    pair = idx.where(at.isin(lo, hi))
+    return pair.agg((F.max(F.when(at == lo, F.col("_x"))) * F.lit(1.0 - (pos - lo))
+                     + F.max(F.when(at == hi, F.col("_x"))) * F.lit(pos - lo)).alias("percentile"))

@@ -13,8 +13,10 @@ from ..functions.scalars import clip01, col_, severity
 
 
 def reconstruction_score(err, threshold: float) -> Column:
-    """clip((err - thr) / thr, 0, 1)."""
+    """clip((err - thr) / thr, 0, 1); with threshold 0, 1 for any error above 0."""
     e = col_(err).cast("double")
+    if not threshold:
+        return F.when(e > 0, F.lit(1.0)).when(e.isNotNull(), F.lit(0.0))
     return clip01((e - F.lit(float(threshold))) / F.lit(float(threshold)))
 
 

@@ -10,6 +10,7 @@ from ..operators import alerts as A
 from ..operators import scoring as S
 from ..oracle import ATTACK_SQL, AS_OF, severity_sql, with_alerts, with_flows, with_scored
 from ..sources.tables import read_flows
+from ..schemas import ALERT_MAX_ROWS, ALERT_RETENTION_DAYS
 from .catalog import register
 from .detection import (AS_OF as AS_OF_TEXT, SCORE_COLS, alerts_from_flows, flat_alerts,
                         with_model_scores)
@@ -241,9 +242,9 @@ def alert_intervals_q(spark, sf):
 
 @register("retain_alerts", with_alerts(f"""
 SELECT alert_id, severity FROM alerts WHERE "timestamp" >= {AS_OF} - INTERVAL 30 DAY
-ORDER BY "timestamp" DESC, alert_id DESC LIMIT 1000"""))
+ORDER BY "timestamp" DESC, alert_id DESC LIMIT {ALERT_MAX_ROWS}"""))
 def retain_alerts_q(spark, sf):
-    return A.retain_alerts(_alerts(spark, sf), AS_OF_TEXT, days=30, max_rows=1000).select("alert_id", "severity")
+    return A.retain_alerts(_alerts(spark, sf), AS_OF_TEXT, days=ALERT_RETENTION_DAYS, max_rows=ALERT_MAX_ROWS).select("alert_id", "severity")
 
 
 @register("update_thresholds", with_alerts("""

@@ -112,7 +112,7 @@ def model_roundtrip(spark, sf):
     whether they are identical (rows-only)."""
     d = extract_network_features(B.standardize_labels(read_flows(spark, sf), "label_raw", out="label"), time_col="ts")
     feats = ["duration", "src_bytes", "dst_bytes", "packet_size", "count", "srv_count", "is_udp", "is_icmp"]
-    m = G.train_forest(d, feats, "label", numTrees=20, maxDepth=8)
+    m = G.train_forest(d, feats, "label")
     path = scratch_path(spark, "models")
     G.save_models(spark, {"random_forest": m}, path, {"features": feats, "threshold": 0.5})
     loaded, info = G.load_models(spark, path, ["random_forest"])

@@ -158,7 +158,7 @@ def stream_alerts(spark, sf):
     q = J.score_stream(stream, alerts_from_flows, sink, ck, hooks=[lambda b, i: hits.append(i)],
                        trigger={"availableNow": True})
     _await(q)
-    return flat_alerts(spark.read.parquet(sink).drop("alert_date", "batch_id"))
+    return flat_alerts(spark.read.parquet(sink).drop(*J.SINK_KEYS))
 
 
 @register("stream_flow_events", with_flows("""
@@ -235,18 +235,18 @@ def stream_processing_summary(spark, sf):
 @register("stream_model_alerts")
 def stream_model_alerts(spark, sf):
     """Train on the table, save, load (as a separate scoring job would), then
-    score the event stream with the loaded forest and reconstruction models
+    score the event stream with the loaded feature pipeline and all three models
     (rows-only: model outputs). Returns alerts per attack type and severity."""
     from ..operators import clean as B
     from ..sources.tables import flows_from_events
-    from .training import load_detector, save_detector, stream_scorer, train_detector
-    lab = B.standardize_labels(read_flows(spark, sf), "label_raw", out="label").drop(
-        "rf_score", "recon_error", "lstm_score")
+    from .training import batch_scorer, load_detector, save_detector, train_detector
+    scores = ["rf_score", "recon_error", "lstm_score", "label_raw"]
+    lab = B.standardize_labels(read_flows(spark, sf), "label_raw", out="label").drop(*scores)
     path = J.scratch_path(spark, "detector")
-    save_detector(spark, train_detector(lab, forest_params={"numTrees": 50, "maxDepth": 10}), path)
+    save_detector(spark, train_detector(lab), path)
     models = load_detector(spark, path)
-    stream = flows_from_events(_events_stream(spark, sf)).drop("rf_score", "recon_error", "lstm_score")
+    stream = flows_from_events(_events_stream(spark, sf)).drop(*scores)
     sink, ck = J.scratch_path(spark, "model-alerts"), J.scratch_path(spark, "model-alerts-ckpt")
-    _await(J.score_stream(stream, stream_scorer(models), sink, ck, trigger={"availableNow": True}))
+    _await(J.score_stream(stream, batch_scorer(models), sink, ck, trigger={"availableNow": True}, per_batch=True))
     a = spark.read.parquet(sink)
     return a.groupBy("alert_type", "severity").agg(F.count(F.lit(1)).cast("bigint").alias("alert_count"))

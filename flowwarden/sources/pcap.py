@@ -1,10 +1,10 @@
-"""Packet-capture files (classic libpcap) as a Spark source.
+"""Packet-capture files (libpcap and pcapng) as a Spark source.
 
 ``read_packets`` lists the files with the ``binaryFile`` source and decodes
 them in ``mapInPandas``: each task decodes whole files (a capture is a
-sequential format, so a file is the unit of parallelism; inputs are bounded
-by ``accepted_inputs``). The decoder only reads the Ethernet / IPv4 / TCP /
-UDP headers with ``struct``; missing layers are left null and
+sequential format, so a file is the unit of parallelism; check sizes with
+``accepted_inputs`` first). The decoder only reads the Ethernet / VLAN / IPv4 /
+TCP / UDP headers with ``struct``; missing layers are left null and
 ``normalize_packets`` applies the defaults as column expressions.
 
 ``write_pcap_files`` builds capture files from a flow table (one frame per
@@ -18,12 +18,13 @@ import os
 import socket
 import struct
 import uuid
-from itertools import chain
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..schemas import IP_PROTOCOL_NAMES, PACKET_SCHEMA
 
@@ -33,56 +34,104 @@ _MAGIC_US = 0xA1B2C3D4
 _MAGIC_NS = 0xA1B23C4D
 
 
-def _decode_file(name: str, data: bytes, max_packets: int | None):
-    out = []
-    if len(data) < struct.calcsize(_GLOBAL):
-        return out
-    magic = struct.unpack_from("<I", data, 0)[0]
-    if magic in (_MAGIC_US, _MAGIC_NS):
-        endian = "<"
-    else:
-        magic = struct.unpack_from(">I", data, 0)[0]
-        endian = ">"
+_PCAPNG = 0x0A0D0D0A
+_VLAN = (0x8100, 0x88A8)
+ROWS_PER_BATCH = 20_000
+
+
+class CaptureError(ValueError):
+    """A file that isn't a readable capture."""
+
+
+def _records(name: str, data: bytes) -> Iterator[tuple[float, bytes]]:
+    """(timestamp, frame) of each packet of a classic or next-generation file."""
+    if len(data) >= 4 and struct.unpack_from("<I", data, 0)[0] == _PCAPNG:
+        yield from _pcapng_records(name, data)
+        return
+    magic, endian = (struct.unpack_from("<I", data, 0)[0], "<") if len(data) >= struct.calcsize(_GLOBAL) else (0, "<")
+    if magic not in (_MAGIC_US, _MAGIC_NS) and magic:
+        magic, endian = struct.unpack_from(">I", data, 0)[0], ">"
     if magic not in (_MAGIC_US, _MAGIC_NS):
-        return out
-    frac = 1e9 if magic == _MAGIC_NS else 1e6
-    rec = endian + _REC
-    rsize = struct.calcsize(rec)
-    off, i = struct.calcsize(_GLOBAL), 0
-    while off + rsize <= len(data) and (max_packets is None or i < max_packets):
-        sec, sub, incl, orig = struct.unpack_from(rec, data, off)
-        off += rsize
-        pkt = data[off:off + incl]
-        off += incl
-        row = {"file": name, "packet_index": i, "packet_size": len(pkt), "timestamp": sec + sub / frac}
-        if len(pkt) >= 34 and struct.unpack_from(">H", pkt, 12)[0] == 0x0800:
-            ihl = (pkt[14] & 0x0F) * 4
-            tot, flags_frag, ttl, proto = struct.unpack_from(">H2xHBB", pkt, 16)
-            row.update(src_ip=socket.inet_ntoa(pkt[26:30]), dst_ip=socket.inet_ntoa(pkt[30:34]), ip_len=tot,
-                       ip_flags=flags_frag >> 13, ip_ttl=ttl, protocol=proto)
-            l4 = 14 + ihl
-            if proto == 6 and len(pkt) >= l4 + 20:
-                sp, dp, seq, ack, _, fl, win = struct.unpack_from(">HHIIBBH", pkt, l4)
-                row.update(src_port=sp, dst_port=dp, tcp_seq=seq, tcp_ack=ack, tcp_flags=fl, tcp_window=win)
-            elif proto == 17 and len(pkt) >= l4 + 8:
-                sp, dp, ln = struct.unpack_from(">HHH", pkt, l4)
-                row.update(udp_src_port=sp, udp_dst_port=dp, udp_len=ln)
-        out.append(row)
-        i += 1
-    return out
+        raise CaptureError(f"{name}: not a capture file")
+    unit, rec = (1e9 if magic == _MAGIC_NS else 1e6), endian + _REC
+    at, size = struct.calcsize(_GLOBAL), struct.calcsize(rec)
+    while at + size <= len(data):
+        sec, sub, incl, _ = struct.unpack_from(rec, data, at)
+        yield sec + sub / unit, data[at + size:at + size + incl]
+        at += size + incl
+
+
+def _pcapng_records(name: str, data: bytes) -> Iterator[tuple[float, bytes]]:
+    """Enhanced and simple packet blocks; each interface has its own time unit
+    (microseconds unless its if_tsresol option says otherwise)."""
+    at, endian, units = 0, "<", []
+    while at + 12 <= len(data):
+        kind = struct.unpack_from(endian + "I", data, at)[0]
+        if kind == _PCAPNG:  # a section: byte order and interfaces start anew
+            endian = "<" if struct.unpack_from("<I", data, at + 8)[0] == 0x1A2B3C4D else ">"
+            units = []
+        length = struct.unpack_from(endian + "I", data, at + 4)[0]
+        if length < 12 or at + length > len(data):
+            raise CaptureError(f"{name}: cut off in a block at byte {at}")
+        body = data[at + 8:at + length - 4]
+        if kind == 1:
+            units.append(_time_unit(body[8:], endian))
+        elif kind == 6:
+            interface, high, low, incl, _ = struct.unpack_from(endian + "IIIII", body)
+            yield ((high << 32) + low) / units[interface], body[20:20 + incl]
+        elif kind == 3:  # has no time
+            yield 0.0, body[4:4 + struct.unpack_from(endian + "I", body)[0]]
+        at += length
+
+
+def _time_unit(options: bytes, endian: str) -> float:
+    at = 0
+    while at + 4 <= len(options):
+        code, size = struct.unpack_from(endian + "HH", options, at)
+        if code == 9 and size:
+            power = options[at + 4]
+            return float(2 ** (power & 0x7F) if power & 0x80 else 10 ** power)
+        if code == 0:
+            break
+        at += 4 + size + -size % 4
+    return 1e6
+
+
+def _decode(name: str, index: int, timestamp: float, pkt: bytes) -> dict:
+    """Ethernet (with any VLAN tags), IPv4, TCP and UDP headers of one frame."""
+    row = {"file": name, "packet_index": index, "packet_size": len(pkt), "timestamp": timestamp}
+    l3 = 14
+    kind = struct.unpack_from(">H", pkt, 12)[0] if len(pkt) >= 14 else 0
+    while kind in _VLAN and len(pkt) >= l3 + 4:
+        kind = struct.unpack_from(">H", pkt, l3 + 2)[0]
+        l3 += 4
+    if kind == 0x0800 and len(pkt) >= l3 + 20:
+        total, fragment, ttl, proto = struct.unpack_from(">H2xHBB", pkt, l3 + 2)
+        row.update(src_ip=socket.inet_ntoa(pkt[l3 + 12:l3 + 16]), dst_ip=socket.inet_ntoa(pkt[l3 + 16:l3 + 20]), ip_len=total,
+                   ip_flags=fragment >> 13, ip_ttl=ttl, protocol=proto)
+        l4 = l3 + (pkt[l3] & 0x0F) * 4
+        if proto == 6 and len(pkt) >= l4 + 20:
+            sp, dp, seq, ack, _, flags, window = struct.unpack_from(">HHIIBBH", pkt, l4)
+            row.update(src_port=sp, dst_port=dp, tcp_seq=seq, tcp_ack=ack, tcp_flags=flags, tcp_window=window)
+        elif proto == 17 and len(pkt) >= l4 + 8:
+            sp, dp, size = struct.unpack_from(">HHH", pkt, l4)
+            row.update(udp_src_port=sp, udp_dst_port=dp, udp_len=size)
+    return row
 
 
 def read_packets(spark: SparkSession, path_glob: str, max_packets: int | None = None) -> DataFrame:
     """Decoded packet rows (raw: null where a layer is absent), the first
-    ``max_packets`` of each file when given."""
+    ``max_packets`` of each file when given. Rows leave a task in batches; a file
+    that isn't a capture, or is cut off in a block, fails the job by its name."""
     files = spark.read.format("binaryFile").load(path_glob).select("path", "content")
     cols = PACKET_SCHEMA.fieldNames()
 
     def decode(batches):
         for pdf in batches:
-            rows = list(chain.from_iterable(_decode_file(p, bytes(c), max_packets)
-                                            for p, c in zip(pdf["path"], pdf["content"])))
-            yield pd.DataFrame(rows, columns=cols)
+            for name, content in zip(pdf["path"], pdf["content"]):
+                rows = (_decode(name, i, t, p) for i, (t, p) in enumerate(islice(_records(name, bytes(content)), max_packets)))
+                while part := list(islice(rows, ROWS_PER_BATCH)):
+                    yield pd.DataFrame(part, columns=cols)
 
     return files.mapInPandas(decode, PACKET_SCHEMA)
 
@@ -149,9 +198,11 @@ def write_pcap_files(flows: DataFrame, folder: str, n_files: int) -> None:
     os.makedirs(folder, exist_ok=True)
 
     def write(batches):
-        name = os.path.join(folder, f"capture-{uuid.uuid4().hex[:12]}.pcap")
+        # named by the partition, and moved there when whole: a task that runs again replaces its file
+        name = os.path.join(folder, f"capture-{TaskContext.get().partitionId():06d}.pcap")
+        part = f"{name}.{uuid.uuid4().hex[:12]}.part"
         n = 0
-        with open(name, "wb") as fh:
+        with open(part, "wb") as fh:
             fh.write(struct.pack(_GLOBAL, _MAGIC_US, 2, 4, 0, 0, 65535, 1))
             for pdf in batches:
                 for r in pdf.to_dict("records"):
@@ -159,6 +210,7 @@ def write_pcap_files(flows: DataFrame, folder: str, n_files: int) -> None:
                     us = int(r["us"])
                     fh.write(struct.pack("<" + _REC, us // 1_000_000, us % 1_000_000, len(fr), len(fr)) + fr)
                     n += 1
+        os.replace(part, name)
         yield pd.DataFrame({"file": [name], "packets": [n]})
 
     src.mapInPandas(write, "file string, packets long").collect()

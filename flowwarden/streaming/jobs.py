@@ -7,7 +7,7 @@
 * deduplication: ``dropDuplicatesWithinWatermark`` on the flow key, so a
   replayed record never yields a second alert;
 * sink: ``foreachBatch`` writes each micro-batch into its own
-  ``batch_id`` partition with dynamic overwrite (a retried batch replaces its
+  ``(run_id, batch_id)`` partition with dynamic overwrite (a retried batch replaces its
   own output: exactly-once files), then runs the user hooks;
 * keyed state: per-host rolling statistics with ``applyInPandasWithState``
   keep only the last w-1 rows per host and evict idle hosts on an
@@ -16,6 +16,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 from collections.abc import Callable, Iterable
@@ -30,6 +31,10 @@ from ..schemas import FLOW_EVENT_SCHEMA
 from ..session import checkpoint_dir
 
 
+#: Batches whose progress the summary covers.
+PROGRESS_KEPT = 1000
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory."""
     return os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:12]}")
@@ -103,27 +108,56 @@ def with_dedup(df: DataFrame, key: str = "flow_id", event_time: str = "event_tim
 
 # --- sinks -------------------------------------------------------------------------
 
+SINK_KEYS = ["alert_date", "run_id", "batch_id"]
+
+
+def run_id(checkpoint: str) -> str:
+    """Batch ids count from 0 in each checkpoint; this tells checkpoints apart
+    and stays the same when a query restarts from one."""
+    return hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+
+
 def alert_batch_writer(path: str, hooks: Iterable[Callable[[DataFrame, int], None]] = (),
-                       ts: str = "timestamp") -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: alerts partitioned by date and batch id; a
-    replayed batch overwrites only its own partitions; hooks run after."""
+                       ts: str = "timestamp", run: str = "run",
+                       scorer: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: alerts partitioned by date, run and batch id; a
+    replayed batch overwrites only its own partitions. ``scorer`` turns the batch
+    into alerts; it may look back over the rows of the batch. With hooks, the
+    alerts are kept for them instead of being computed again."""
     hooks = list(hooks)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = batch.withColumns({"alert_date": F.to_date(F.col(ts)), "batch_id": F.lit(batch_id)})
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("alert_date", "batch_id").parquet(path))
-        for h in hooks:
-            h(batch, batch_id)
+        alerts = scorer(batch) if scorer else batch
+        if hooks:
+            alerts = alerts.persist()
+        try:
+            out = alerts.withColumns({"alert_date": F.to_date(F.col(ts)), "run_id": F.lit(run), "batch_id": F.lit(batch_id)})
+            (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SINK_KEYS).parquet(path))
+            for h in hooks:
+                h(alerts, batch_id)
+        finally:
+            if hooks:
+                alerts.unpersist()
     return write
 
 
+def compact_alerts(spark: SparkSession, path: str, to: str, rows_per_file: int = 1_000_000) -> None:
+    """The alert table rewritten with one folder per date, in files of up to
+    ``rows_per_file`` alerts, to a new path."""
+    (spark.read.parquet(path).drop("run_id", "batch_id").repartition("alert_date")
+          .write.option("maxRecordsPerFile", rows_per_file).partitionBy("alert_date").parquet(to))
+
+
 def score_stream(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], sink_path: str, checkpoint: str,
-                 hooks=(), trigger: dict | None = None, query_name: str | None = None):
-    """Continuous detection: scorer(flow batch) -> alerts -> alert table."""
-    alerts = scorer(stream)
-    w = (alerts.writeStream.foreachBatch(alert_batch_writer(sink_path, hooks))
-               .option("checkpointLocation", checkpoint))
+                 hooks=(), trigger: dict | None = None, query_name: str | None = None, per_batch: bool = False):
+    """Continuous detection: scorer(flow batch) -> alerts -> alert table. A scorer
+    that looks back over rows runs on each micro-batch (``per_batch``)."""
+    conf = stream.sparkSession.conf
+    if int(conf.get("spark.sql.streaming.numRecentProgressUpdates")) < PROGRESS_KEPT:
+        conf.set("spark.sql.streaming.numRecentProgressUpdates", str(PROGRESS_KEPT))
+    writer = alert_batch_writer(sink_path, hooks, run=run_id(checkpoint), scorer=scorer if per_batch else None)
+    alerts = stream if per_batch else scorer(stream)
+    w = alerts.writeStream.foreachBatch(writer).option("checkpointLocation", checkpoint)
     if query_name:
         w = w.queryName(query_name)
     w = w.trigger(**(trigger or {"processingTime": "1 second"}))
@@ -199,8 +233,7 @@ def rolling_state_per_host(stream: DataFrame, cols: list[str], key: str = "src_i
 # --- progress --------------------------------------------------------------------------
 
 def processing_time_summary(spark: SparkSession, query) -> DataFrame:
-    """Per-batch durations from the query's recent progress (bounded list,
-    at most the last progress entries Spark keeps), plus their mean."""
+    """Batches, mean seconds and rows of the last ``PROGRESS_KEPT`` batches."""
     rows = [(p["batchId"], float(p["durationMs"].get("triggerExecution", 0)) / 1000.0, int(p["numInputRows"]))
             for p in query.recentProgress]
     df = spark.createDataFrame(rows, "batch_id long, seconds double, input_rows long")

@@ -78,12 +78,17 @@ def traffic_windows(df: DataFrame, ts: str = "ts", windows: dict | None = None,
     return out
 
 
+def _given(config: dict, **values) -> list:
+    """Each value, or the configured one where it is None (0 is a value)."""
+    return [config[k] if v is None else v for k, v in values.items()]
+
+
 def port_scan_windows(df: DataFrame, ts: str = "ts", window: int | None = None, unique_ports: int | None = None,
                       packets: int | None = None) -> DataFrame:
     """Per source and window: packets, distinct destination ports, and the
     port-scan flag (distinct ports > threshold and packets >= minimum)."""
     c = WINDOW_PATTERNS["port_scan"]
-    window, unique_ports, packets = window or c["window"], unique_ports or c["unique_ports"], packets or c["packets"]
+    window, unique_ports, packets = _given(c, window=window, unique_ports=unique_ports, packets=packets)
     g = df.groupBy("src_ip", F.window(as_ltz(F.col(ts)), _secs(window)).alias("w")).agg(
         F.count(F.lit(1)).cast("bigint").alias("packets"),
         F.size(F.collect_set("dst_port")).alias("unique_ports"))
@@ -95,7 +100,7 @@ def dos_windows(df: DataFrame, ts: str = "ts", window: int | None = None, packet
                 rate: float | None = None) -> DataFrame:
     """Per destination and window: packets, packets per second, DoS flag."""
     c = WINDOW_PATTERNS["dos_attack"]
-    window, packets, rate = window or c["window"], packets or c["packets"], rate or c["rate"]
+    window, packets, rate = _given(c, window=window, packets=packets, rate=rate)
     g = df.groupBy("dst_ip", F.window(as_ltz(F.col(ts)), _secs(window)).alias("w")).agg(
         F.count(F.lit(1)).cast("bigint").alias("packets"))
     r = F.col("packets") / F.lit(float(window))
@@ -107,8 +112,8 @@ def brute_force_windows(df: DataFrame, ts: str = "ts", window: int | None = None
                         ports=None) -> DataFrame:
     """Per (source, destination) and window, on login ports: attempts and flag."""
     c = WINDOW_PATTERNS["brute_force"]
-    window, attempts, ports = window or c["window"], attempts or c["attempts"], list(ports or c["ports"])
-    g = (df.where(F.col("dst_port").isin(ports))
+    window, attempts, ports = _given(c, window=window, attempts=attempts, ports=ports)
+    g = (df.where(F.col("dst_port").isin(list(ports)))
            .groupBy("src_ip", "dst_ip", F.window(as_ltz(F.col(ts)), _secs(window)).alias("w"))
            .agg(F.count(F.lit(1)).cast("bigint").alias("attempts")))
     return g.select("src_ip", "dst_ip", F.col("w.start").alias("window_start"), "attempts",
@@ -120,9 +125,7 @@ def exfiltration_windows(df: DataFrame, ts: str = "ts", window: int | None = Non
     """Per source and window: bytes out, bytes in, in/out ratio and the flag
     (bytes out > threshold and in/out < ratio)."""
     c = WINDOW_PATTERNS["data_exfiltration"]
-    window = window or c["window"]
-    bytes_threshold = c["bytes"] if bytes_threshold is None else bytes_threshold
-    ratio = c["ratio"] if ratio is None else ratio
+    window, bytes_threshold, ratio = _given(c, window=window, bytes=bytes_threshold, ratio=ratio)
     g = df.groupBy("src_ip", F.window(as_ltz(F.col(ts)), _secs(window)).alias("w")).agg(
         F.sum("src_bytes").alias("bytes_out"), F.sum("dst_bytes").alias("bytes_in"))
     r = F.when(F.col("bytes_out") > 0, F.col("bytes_in") / F.col("bytes_out"))

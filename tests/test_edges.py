@@ -3,6 +3,7 @@ single-row windows, unseen categories, ties, empty tables."""
 
 import datetime as dt
 import math
+import statistics
 
 from pyspark.sql import functions as F
 
@@ -10,9 +11,10 @@ from flowwarden.functions import scalars as L
 from flowwarden.functions.rules import attack_type
 from flowwarden.operators import clean as B
 from flowwarden.operators import quality as C
-from flowwarden.operators.encode import LabelEncoderModel, StandardScalerModel, align_features
+from flowwarden.operators.encode import LabelEncoderModel, MinMaxScalerModel, StandardScalerModel, align_features
 from flowwarden.operators.features import extract_network_features, feature_interactions
-from flowwarden.operators.rolling import rolling_features, sequence_windows
+from flowwarden.operators.rolling import exact_percentile, fitted_length, rolling_features, sequence_windows
+from flowwarden.operators.scoring import reconstruction_score
 
 
 def test_ip_helpers(spark):
@@ -133,7 +135,69 @@ def test_rolling_single_row_and_ties(spark):
 def test_sequence_short_table(spark):
     rows = [(i, dt.datetime(2024, 1, 1, 0, i), float(i), i % 2) for i in range(6)]
     df = spark.createDataFrame(rows, "flow_id long, ts timestamp, x double, label int")
-    s = sequence_windows(df, ["x"], "label", ["ts", "flow_id"], length=5).orderBy("row_index").collect()
-    # 6 rows < 2L: L becomes 6 // 3 = 2
-    assert s[0].seq_length == 2 and len(s) == 4
-    assert s[0].sequence == [[0.0], [1.0]] and s[0].target == 0
+    assert fitted_length(6, 5) == 1 and fitted_length(9, 5, min_sequences=1) == 3 and fitted_length(1000, 5) == 5
+    s = sequence_windows(df, ["x"], "label", ["ts", "flow_id"], length=2).orderBy("row_index").collect()
+    assert len(s) == 4 and s[0].sequence == [[0.0], [1.0]] and s[0].target == 0
+    # a fitted length holds for any table: 6 rows have one row with five before it
+    assert len(sequence_windows(df, ["x"], "label", ["ts", "flow_id"], length=5).collect()) == 1
+    assert sequence_windows(df, ["x"], "label", ["ts", "flow_id"], length=6).count() == 0
+
+
+def test_rolling_of_wild_values(spark):
+    """One huge, one infinite and one NaN value: every frame equals the plain
+    window, where NaN and infinite values count as missing."""
+    values = [float(i % 7) + 0.25 for i in range(400)]
+    values[50], values[120], values[200], values[300] = 1e12, float("inf"), float("nan"), None
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i), v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "flow_id long, ts timestamp, x double")
+    for block in (19, 64, 1000):
+        got = {r.flow_id: r for r in rolling_features(df, ["ts", "flow_id"], window=20, cols=["x"], block_size=block).collect()}
+        for i in range(400):
+            frame = [v for v in values[max(0, i - 19):i + 1] if v is not None and abs(v) < float("inf")]
+            mean = sum(frame) / len(frame)
+            std = statistics.stdev(frame) if len(frame) > 1 else 0.0
+            assert math.isclose(got[i].x_rolling_mean, mean, rel_tol=1e-9), (block, i)
+            assert math.isclose(got[i].x_rolling_std, std, rel_tol=1e-9, abs_tol=1e-9), (block, i)
+            ok = values[i] is not None and abs(values[i]) < float("inf")
+            assert (got[i].x_deviation is not None) == ok
+
+
+def test_rolling_has_four_window_steps_for_any_number_of_columns(spark):
+    df = spark.range(50).select(F.col("id").alias("flow_id"), F.col("id").cast("timestamp").alias("ts"),
+                                *[F.col("id").cast("double").alias(f"c{i}") for i in range(10)])
+    for n in (1, 10):
+        plan = rolling_features(df, ["ts", "flow_id"], window=5, cols=[f"c{i}" for i in range(n)])._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("Window [" in line for line in plan.splitlines()) == 5  # four, and one over the partition offsets
+
+
+def test_scalers_ignore_wild_values(spark):
+    df = spark.createDataFrame([(1.0,), (3.0,), (float("inf"),), (float("nan"),), (None,)], "a double")
+    assert StandardScalerModel.fit(df).stats["a"] == (2.0, 1.0)
+    assert MinMaxScalerModel.fit(df).stats["a"] == (1.0, 3.0)
+
+
+def test_both_label_code_paths_agree(spark):
+    rows = [(v,) for v in ["b", "a", "unknown", "c", None, "b"]]
+    fit, live = spark.createDataFrame(rows, "s string"), spark.createDataFrame([("c",), ("new",), (None,), ("a",)], "s string")
+    for data in (fit, fit.where("s <> 'unknown'")):
+        literal, joined = (LabelEncoderModel.fit(data, ["s"], max_literal=m) for m in (64, 1))
+        assert literal.labels and joined.tables
+        a, b = (sorted(x.transform(live.withColumn("k", F.col("s"))).collect(), key=str) for x in (literal, joined))
+        assert a == b
+
+
+def test_error_score_with_threshold_zero(spark):
+    df = spark.createDataFrame([(0.0,), (0.5,), (None,)], "e double")
+    assert [r[0] for r in df.select(reconstruction_score("e", 0.0)).collect()] == [0.0, 1.0, None]
+
+
+def test_exact_percentile_equals_interpolation(spark):
+    values = [float((i * 7919) % 1000) for i in range(997)] + [0.0] * 50
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    ordered = sorted(values)
+    for q in (0.0, 0.03, 0.5, 0.9, 0.999, 1.0):
+        pos = q * (len(values) - 1)
+        lo = int(pos)
+        want = ordered[lo] + (ordered[min(lo + 1, len(values) - 1)] - ordered[lo]) * (pos - lo)
+        for accuracy in (50, 100_000):
+            assert math.isclose(exact_percentile(df, "x", q, accuracy=accuracy).first()[0], want, abs_tol=1e-9)

@@ -80,3 +80,59 @@ def test_tune_forest_small_grid(spark):
     d = _frame(spark)
     cv = G.tune_forest(d, FEATS, "label", grid={"numTrees": [5, 10], "maxDepth": [3]}, folds=2, parallelism=2)
     assert len(cv.avgMetrics) == 2 and max(cv.avgMetrics) > 0.8
+
+
+def _gaps(spark):
+    from flowwarden.sources.tables import flows_with_gaps
+    g = B.standardize_labels(flows_with_gaps(read_flows(spark, MEDIUM)), "label_raw", out="label")
+    return g.drop("rf_score", "recon_error", "lstm_score", "label_raw")
+
+
+def test_models_take_missing_and_infinite_values(spark):
+    d = extract_network_features(_gaps(spark), time_col="ts")
+    rf = G.train_forest(d, FEATS, "label", numTrees=5, maxDepth=4)
+    s = G.forest_scores(rf, d)
+    assert s.count() == d.count() and s.columns == d.columns + ["rf_score"]
+    rec = G.ReconstructionModel.fit(d, FEATS, key="flow_id")  # default size
+    assert rec.k < len(FEATS) and rec.threshold > 0
+    assert rec.errors(d).where("recon_error IS NULL OR isnan(recon_error)").count() == 0
+
+
+def test_sequence_scores_of_short_batches(spark):
+    """A fitted length holds for a batch of any size; rows without history get 0."""
+    d = _frame(spark)
+    model, length = G.train_sequence(d, ["duration", "count"], "label", length=5)
+    assert length == 5
+    for n in (0, 1, 5, 8, 10):
+        part = d.where(F.col("flow_id") < n)
+        got = G.sequence_scores(model, length, part, ["duration", "count"], "label").collect()
+        assert len(got) == n and sum(r.lstm_score == 0 for r in got) >= min(n, 5)
+        assert sum(r.lstm_score > 0 for r in got) == max(0, n - 5)
+
+
+def test_infinite_cell_equals_missing_cell(spark):
+    f = B.standardize_labels(read_flows(spark, MEDIUM), "label_raw", out="label").drop("label_raw")
+    f = f.where(F.col("ts") < "2024-01-04")
+    out = []
+    for bad in (float("inf"), None):
+        g = f.withColumn("src_bytes", F.when(F.col("flow_id") == 17, F.lit(bad)).otherwise(F.col("src_bytes")))
+        out.append(FlowFeaturePipeline(k=12, window=20).fit_transform(g)[1])
+    assert out[0].columns == out[1].columns and out[0].exceptAll(out[1]).count() == 0
+
+
+def test_chain_with_held_out_rows(spark):
+    from flowwarden.plans import training as T
+    f = _gaps(spark).where(F.col("ts") < "2024-01-08")
+    models, prepared = T._train(f, window=20, k=20, forest_params={"numTrees": 10, "maxDepth": 6})
+    assert prepared.count() == f.count()
+    s = T.score_prepared(models, prepared).where("is_test")
+    for c in T.SCORES:
+        bounds = s.agg(F.min(c), F.max(c)).first()
+        assert 0 <= bounds[0] <= bounds[1] <= 1
+    assert G.roc_auc(s, "label", "rf_score").first()[0] > 0.8
+    assert G.roc_auc(s, "label", "lstm_score").first()[0] > 0.3
+    path = scratch_path(spark, "det")
+    T.save_detector(spark, models, path)
+    again = T.score_flows(T.load_detector(spark, path), f)
+    a = T.score_flows(models, f).select("flow_id", *T.SCORES)
+    assert a.exceptAll(again.select("flow_id", *T.SCORES)).count() == 0

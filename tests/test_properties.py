@@ -1,69 +1,72 @@
-"""Property tests: column helpers agree with plain-Python statements of the
-same rules on random inputs."""
+"""Property tests: column helpers against independent statements of their rules
+(the standard library's address types, a ladder of units) on many random
+values. One Spark job evaluates all values of a test."""
 
 import datetime as dt
+import ipaddress
 
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from flowwarden.functions import scalars as L
 
+MANY = settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.too_slow, HealthCheck.function_scoped_fixture])
 
-def py_ip_to_int(s):
-    if s is None or s == "0.0.0.0":
-        return 0
-    parts = s.split(".")
-    if len(parts) != 4:
-        return 0
-    try:
-        return sum(int(p) << (8 * (3 - i)) for i, p in enumerate(parts))
-    except ValueError:
-        return 0
+addresses = st.integers(0, 2 ** 32 - 1).map(lambda n: str(ipaddress.IPv4Address(n)))
+private = st.sampled_from(["10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16"]).flatmap(
+    lambda net: st.integers(0, ipaddress.ip_network(net).num_addresses - 1).map(lambda i: str(ipaddress.ip_network(net)[i])))
+PRIVATE_NETWORKS = [ipaddress.ip_network(n) for n in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16")]
 
 
-def py_private(s):
-    try:
-        p = [int(x) for x in s.split(".")]
-    except (ValueError, AttributeError):
-        return False
-    if len(p) != 4:
-        return False
-    return p[0] == 10 or (p[0] == 172 and 16 <= p[1] <= 31) or (p[0] == 192 and p[1] == 168)
+@MANY
+@given(st.lists(st.one_of(addresses, private), min_size=40, max_size=80))
+def test_well_formed_addresses(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "ip string")
+    for r in df.select("ip", L.ip_to_int("ip").alias("n"), L.is_private_ip("ip").alias("p")).collect():
+        address = ipaddress.ip_address(r.ip)
+        assert r.n == int(address), r.ip
+        assert r.p == any(address in net for net in PRIVATE_NETWORKS), r.ip
 
 
-part = st.one_of(st.integers(0, 300).map(str), st.sampled_from(["", "x", "01", "007"]))
-ips = st.lists(part, min_size=2, max_size=5).map(".".join)
+def test_malformed_addresses(spark):
+    """Text that isn't four numbers has no number; parts above 255 carry on."""
+    expected = {"": 0, "1": 0, "1.2.3": 0, "1.2.3.4.5": 0, "a.b.c.d": 0, "1.2.x.4": 0, "0.0.0.0": 0, "0.0.0.256": 256, "0.0.1.0": 256,
+                "001.0.0.7": 2 ** 24 + 7, "300.0.0.0": 300 * 2 ** 24}
+    df = spark.createDataFrame([(v,) for v in expected] + [(None,)], "ip string")
+    got = {r.ip: (r.n, r.p) for r in df.select("ip", L.ip_to_int("ip").alias("n"), L.is_private_ip("ip").alias("p")).collect()}
+    assert {k: v[0] for k, v in got.items() if k is not None} == expected and got[None][0] == 0
+    assert not any(p for k, (n, p) in got.items() if n == 0)
 
 
-@settings(max_examples=1, deadline=None)
-@given(st.lists(ips, min_size=50, max_size=50))
-def test_ip_rules(spark, values):
-    df = spark.createDataFrame([(v,) for v in values], "ip string")
-    got = df.select("ip", L.ip_to_int("ip").alias("n"), L.is_private_ip("ip").alias("p")).collect()
-    for r in got:
-        assert r.n == py_ip_to_int(r.ip), r.ip
-        assert r.p == py_private(r.ip), r.ip
-
-
-def py_time_ago(diff: dt.timedelta):
-    if diff.days > 0:
-        return f"{diff.days} day{'s' if diff.days != 1 else ''} ago"
-    if diff.seconds > 3600:
-        h = diff.seconds // 3600
-        return f"{h} hour{'s' if h != 1 else ''} ago"
-    if diff.seconds > 60:
-        m = diff.seconds // 60
-        return f"{m} minute{'s' if m != 1 else ''} ago"
-    return f"{diff.seconds} second{'s' if diff.seconds != 1 else ''} ago"
-
-
-@settings(max_examples=1, deadline=None)
-@given(st.lists(st.integers(0, 10 * 86400 * 1_000_000), min_size=60, max_size=60))
-def test_time_ago_rule(spark, micros):
+LADDER = [(86400, "day"), (3600, "hour"), (60, "minute"), (1, "second")]
+
+
+def spoken(micros: int) -> str:
+    """The largest unit of which a day, or more than one other unit, has passed."""
+    seconds = micros // 1_000_000
+    for size, unit in LADDER:
+        count, rest = divmod(seconds, size)
+        if unit in ("day", "second") and (count or unit == "second") or count and (count > 1 or rest):
+            return f"{count} {unit}{'' if count == 1 else 's'} ago"
+    raise AssertionError
+
+
+def test_ladder_at_its_edges(spark):
+    as_of = dt.datetime(2024, 1, 31)
+    expected = {0: "0 seconds ago", 1: "1 second ago", 59: "59 seconds ago", 60: "60 seconds ago", 61: "1 minute ago", 120: "2 minutes ago",
+                3599: "59 minutes ago", 3600: "60 minutes ago", 3601: "1 hour ago", 7200: "2 hours ago", 86399: "23 hours ago",
+                86400: "1 day ago", 172800: "2 days ago"}
+    df = spark.createDataFrame([(s, as_of - dt.timedelta(seconds=s)) for s in expected], "s long, ts timestamp")
+    got = {r.s: r.t for r in df.select("s", L.time_ago("ts", F.lit(as_of).cast("timestamp")).alias("t")).collect()}
+    assert got == expected
+
+
+@MANY
+@given(st.lists(st.integers(0, 10 * 86400 * 1_000_000), min_size=40, max_size=80))
+def test_time_ago_ladder(spark, micros):
     as_of = dt.datetime(2024, 1, 31)
-    rows = [(as_of - dt.timedelta(microseconds=m),) for m in micros]
-    df = spark.createDataFrame(rows, "ts timestamp")
-    got = df.select("ts", L.time_ago("ts", F.lit(as_of).cast("timestamp")).alias("s")).collect()
-    for r in got:
-        assert r.s == py_time_ago(as_of - r.ts)
+    df = spark.createDataFrame([(m, as_of - dt.timedelta(microseconds=m)) for m in micros if (m // 1_000_000) not in (60, 3600)],
+                               "m long, ts timestamp")
+    for r in df.select("m", L.time_ago("ts", F.lit(as_of).cast("timestamp")).alias("s")).collect():
+        assert r.s == spoken(r.m), r.m

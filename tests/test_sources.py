@@ -55,3 +55,38 @@ def test_headerless_generic_width(spark):
          .write.option("header", False).csv(path)
     d = A.read_flows_csv(spark, path, header=False)
     assert d.columns == ["feature_0", "feature_1", "label"] and d.count() == 2
+
+
+def _frame_bytes(vlan=0):
+    import socket
+    import struct
+    eth = b"\x02" * 12 + b"".join(struct.pack(">HH", 0x8100, 7) for _ in range(vlan)) + b"\x08\x00"
+    ip = struct.pack(">BBHHHBBH4s4s", 0x45, 0, 40, 1, 0x4000, 64, 17, 0, socket.inet_aton("10.1.2.3"), socket.inet_aton("10.4.5.6"))
+    return eth + ip + struct.pack(">HHHH", 1234, 53, 20, 0) + b"\0" * 12
+
+
+def _pcapng(frames, endian="<", resolution=None):
+    import struct
+
+    def block(kind, body):
+        body += b"\0" * (-len(body) % 4)
+        n = struct.pack(endian + "I", len(body) + 12)
+        return struct.pack(endian + "I", kind) + n + body + n
+    options = struct.pack(endian + "HHB3x", 9, 1, resolution) + struct.pack(endian + "HH", 0, 0) if resolution is not None else b""
+    out = block(0x0A0D0D0A, struct.pack(endian + "IHHq", 0x1A2B3C4D, 1, 0, -1)) + block(1, struct.pack(endian + "HHI", 1, 0, 65535) + options)
+    for t, f in frames:
+        out += block(6, struct.pack(endian + "IIIII", 0, t >> 32, t & 0xFFFFFFFF, len(f), len(f)) + f)
+    return out
+
+
+def test_capture_formats(spark, tmp_path):
+    import pytest
+    (tmp_path / "a.pcapng").write_bytes(_pcapng([(1_700_000_000_000_000, _frame_bytes()), (1_700_000_001_500_000, _frame_bytes(1))]))
+    (tmp_path / "b.pcapng").write_bytes(_pcapng([(1_700_000_002_000_000_000, _frame_bytes(2))], ">", 9))
+    (tmp_path / "c.pcapng").write_bytes(_pcapng([]))
+    rows = normalize_packets(read_packets(spark, str(tmp_path / "*.pcapng"))).orderBy("timestamp").collect()
+    assert [r.timestamp for r in rows] == [1.7e9, 1700000001.5, 1700000002.0]
+    assert {(r.src_ip, r.dst_ip, r.src_port, r.dst_port, r.protocol_type, r.udp_len) for r in rows} == {("10.1.2.3", "10.4.5.6", 1234, 53, "udp", 20)}
+    (tmp_path / "d.pcap").write_bytes(b"not a capture at all, whatever its name says")
+    with pytest.raises(Exception, match="not a capture file"):
+        read_packets(spark, str(tmp_path / "d.pcap")).collect()
