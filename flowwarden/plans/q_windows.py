@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 from ..operators import clean as B
 from ..operators.rolling import frequency_encode, importance_summary, rolling_features, sequence_windows
 from ..functions.scalars import round_half_up
-from ..oracle import label_sql, rnd, with_flows
-from ..sources.tables import read_flows
+from ..oracle import label_sql, rnd, with_flows, with_gaps
+from ..sources.tables import flows_with_gaps, read_flows
 from .catalog import register
 
-# Integer-valued inputs: their frame means are exact at 6 decimals, so the
-# engine comparison cannot flip on a float summation-order tie.
-ROLL_COLS = ["src_port", "packet_size", "tcp_flags", "count", "srv_count", "num_failed_logins"]
+# The first ten numeric columns of a flow. Over the view with gaps: infinite
+# values count as missing. Two decimals, moved off the ties that means of decimals
+# fall on, so that the engines' summation orders don't show.
+OFF_TIE = 1e-7
+ROLL_COLS = ["src_port", "dst_port", "duration", "src_bytes", "dst_bytes", "packet_size", "tcp_flags", "count", "srv_count",
+             "num_failed_logins"]
 ROLL_W = 100
 
 
@@ -21,21 +24,21 @@ def _r4(c):
     return round_half_up(c, 6)
 
 
-def _roll_sql(c, w="w"):
-    q = f'"{c}"'
-    return (f"{rnd(f'avg({q}) OVER {w}', 6)} AS {c}_rolling_mean, "
-            f"{rnd(f'COALESCE(stddev_samp({q}) OVER {w}, 0)', 6)} AS {c}_rolling_std, "
-            f"{rnd(f'abs({q} - avg({q}) OVER {w})', 6)} AS {c}_deviation")
+def _roll_sql(c, w="w", digits=6, off=0.0):
+    q, plus = f'"{c}"', f" + {off:.7f}" if off else ""
+    return (f"{rnd(f'avg({q}) OVER {w}{plus}', digits)} AS {c}_rolling_mean, "
+            f"{rnd(f'COALESCE(stddev_samp({q}) OVER {w}, 0){plus}', digits)} AS {c}_rolling_std, "
+            f"{rnd(f'abs({q} - avg({q}) OVER {w}){plus}', digits)} AS {c}_deviation")
 
 
-@register("rolling_features", with_flows(
-    "SELECT flow_id, " + ", ".join(_roll_sql(c) for c in ROLL_COLS)
-    + f" FROM flows WINDOW w AS (ORDER BY ts, flow_id ROWS BETWEEN {ROLL_W - 1} PRECEDING AND CURRENT ROW)"))
+@register("rolling_features", with_gaps(
+    "SELECT flow_id, " + ", ".join(_roll_sql(c, digits=2, off=OFF_TIE) for c in ROLL_COLS)
+    + " FROM (SELECT * REPLACE (CASE WHEN isinf(src_bytes) THEN NULL ELSE src_bytes END AS src_bytes) FROM gaps) WINDOW w AS"
+    + f" (ORDER BY ts, flow_id ROWS BETWEEN {ROLL_W - 1} PRECEDING AND CURRENT ROW)"))
 def rolling_features_q(spark, sf):
-    f = read_flows(spark, sf).select("flow_id", "ts", *ROLL_COLS)
+    f = flows_with_gaps(read_flows(spark, sf))
     r = rolling_features(f, key=["ts", "flow_id"], window=ROLL_W, max_cols=10, exclude=("label", "flow_id"))
-    new = [c for c in r.columns if c not in f.columns]
-    return r.select("flow_id", *[_r4(F.col(c)).alias(c) for c in new])
+    return r.select("flow_id", *[round_half_up(F.col(c) + OFF_TIE, 2).alias(c) for c in r.columns if c not in f.columns])
 
 
 @register("rolling_features_per_host", with_flows(
