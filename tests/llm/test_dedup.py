@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from brute import byte_dedup, ngram_components, word_dedup
+from .brute import byte_dedup, ngram_components, word_dedup
 from pyspark.sql import functions as F
 
 from flowwarden.llm import ngram_join, substring_dedup, suffix_dedup
@@ -82,6 +82,27 @@ def test_null_ids_link_with_nothing(make, rows):
     assert {r.component_id for r in ngram_join.components(make(rows)).filter("doc_id IS NULL").collect()} == {None}
 
 
+@pytest.mark.parametrize("edits,shared", [(5, 0), (6, 2)])
+def test_families_around_no_original(make, edits, shared):
+    """Many edits of one text, most too far from each other and from any centre;
+    some pairs of them share edits and link across components."""
+    import random
+    r = random.Random(edits)
+    base = [f"v{i}" for i in range(260)]
+    rows = []
+    for i in range(70):
+        words = list(base)
+        if rows and i % 5 == 0 and shared:
+            words = rows[r.randrange(len(rows))][1].split(" ")
+        for _ in range(r.randint(1, edits) if not (rows and i % 5 == 0 and shared) else shared):
+            at = r.randrange(len(words))
+            words[at] = f"e{r.randrange(400)}"
+        rows.append((i, " ".join(words), None, "a"))
+    want = order(ngram_components(rows))
+    assert 5 < len({c for *_, c in want}) < 70
+    assert order([tuple(x) for x in ngram_join.components(make(rows), chunk_bytes=9000).collect()]) == want
+
+
 @pytest.mark.parametrize("count", [0, 10 ** 4, 10 ** 12])
 def test_linked_sets_share_a_signature(count):
     """Pigeonhole: whatever the allocation, linked sets meet in a signature."""

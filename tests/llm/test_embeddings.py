@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pytest
-from brute import reach
+from .brute import reach
 
 from flowwarden.llm import embedding_dedup
 

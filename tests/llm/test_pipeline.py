@@ -1,9 +1,9 @@
 from collections import Counter
 
 import pytest
-from brute import WORD, byte_dedup, reach, shingles
-from conftest import make_docs
-from test_packing import check_sequences, piece_rows
+from .brute import WORD, byte_dedup, reach, shingles
+from .conftest import make_docs
+from .test_packing import check_sequences, piece_rows
 
 import corpus_pipeline as P
 from flowwarden.llm import mixing, quality_rules

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import duckdb
 import pytest
-from brute import WORD
+from .brute import WORD
 from pyspark.sql import functions as F
 
 from flowwarden.llm import mixing, quality_rules
