@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 6 << 20
 NO_ID = -(1 << 63)
+#: A key in more chunks is frequent.
+FREQUENT = 16
 
 SENT = "bucket int, chunk int, keys binary"
 ANSWER = "step int, chunk int, bucket int, seen binary, mixed binary"
@@ -109,11 +111,12 @@ def top_bits(h: np.ndarray, buckets: int, bits: int = 32) -> tuple[np.ndarray, n
     return ((h >> np.uint64(64 - b)) if b else np.zeros_like(h)).astype(np.uint32), (h >> shift).astype(np.uint32)
 
 
-def answers(sent: DataFrame, step: int, dtype: np.dtype | str, where: str) -> DataFrame:
+def answers(sent: DataFrame, step: int, dtype: np.dtype | str, where: str, frequent: int = FREQUENT) -> DataFrame:
     """Bitmaps over each array of keys. ``seen``: the key is in a chunk before this
     one (``earlier``), in any ``other`` chunk, or in another chunk where one of the
     two is an index entry by its lowest bit, which isn't part of the key
-    (``probed``). ``mixed``: the key's group has several keys."""
+    (``probed``). ``mixed``: the key's group has several keys; without groups, more
+    than ``frequent`` chunks have the key."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk")
@@ -140,6 +143,10 @@ def answers(sent: DataFrame, step: int, dtype: np.dtype | str, where: str) -> Da
             indexed = np.repeat(np.add.reduceat((entries[order] & 1).astype(np.int64), starts), np.diff(np.append(starts, len(k))))
             seen = seen & (indexed > 0)  # an index entry is in another chunk, or is this one and another chunk probes it
         found["seen"][order] = seen
+        if not grouped and where == "other" and len(k):
+            starts = np.flatnonzero(~same[:-1])
+            chunks = np.diff(np.append(starts, len(k)))
+            found["mixed"][order] = np.repeat(chunks > frequent, chunks)
         ends = np.cumsum([len(p) for p in parts])
         bits = {n: pa.array([np.packbits(f[b - len(p):b]).tobytes() if f[b - len(p):b].any() else None
                              for p, b in zip(parts, ends)], pa.binary()) for n, f in found.items()}
@@ -149,7 +156,8 @@ def answers(sent: DataFrame, step: int, dtype: np.dtype | str, where: str) -> Da
     return sent.groupBy("bucket").applyInArrow(run, ANSWER)
 
 
-def in_steps(chunks: DataFrame, steps: list[tuple[Callable, np.dtype | str, str]], finish: Callable, schema: str | T.StructType) -> DataFrame:
+def in_steps(chunks: DataFrame, steps: list[tuple[Callable, np.dtype | str, str]], finish: Callable, schema: str | T.StructType,
+             frequent: int = FREQUENT) -> DataFrame:
     """Steps ``(keys, dtype, where)``: ``keys(table, answers) -> Keys`` of a chunk,
     given the answers to the steps before; then ``finish(table, answers)`` makes
     the chunk's result. The chunks are shuffled once and read again by each step."""
@@ -167,7 +175,7 @@ def in_steps(chunks: DataFrame, steps: list[tuple[Callable, np.dtype | str, str]
     for n, (keys, dtype, where) in enumerate(steps, 1):
         g = chunks.groupBy("chunk")
         sent = g.applyInArrow(alone(keys), SENT) if got is None else g.cogroup(got.groupBy("chunk")).applyInArrow(told(keys), SENT)
-        new = answers(sent, n, dtype, where)
+        new = answers(sent, n, dtype, where, frequent)
         got = new if got is None else got.unionByName(new)
     return chunks.groupBy("chunk").cogroup(got.groupBy("chunk")).applyInArrow(
         lambda t, a: finish(t, a if a.num_rows else none), schema)

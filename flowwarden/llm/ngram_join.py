@@ -10,9 +10,10 @@ a band and the one below it. How many segments of either kind a scheme has is
 decided by cost: signatures written, and chance partners at the band's count.
 
 Equal sets are joined as one. Signatures that no other document has are found
-without rows per signature (``firstseen``); documents that share one are linked
-to a centre of each signature's group, verified on whole sets, and only what
-stays in different components is compared pair by pair.
+without rows per signature (``firstseen``); documents that share one are
+verified on whole sets against a centre of each signature's group. Documents of a
+group that then are in different components are joined again by what they differ
+in from the centre, in which linked ones must agree.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .firstseen import CHUNK_BYTES, Keys, chunked, in_order, in_steps, top_bits
+from .firstseen import CHUNK_BYTES, FREQUENT, Keys, chunked, in_order, in_steps, top_bits
 from .mixing import WORD
 from .tables import written
 from .text import LOWER, WORDS, Slice, column_bytes, mix, windows_in_rows, word_hashes
@@ -43,11 +44,13 @@ _OTHER = np.uint64(0x8CB92BA72F3D8DD7)
 @dataclass
 class Schemes:
     """``start[k]`` is the least size in band k; ``subset`` and ``deletion`` count
-    the segments of each scheme."""
+    the segments of each scheme, ``spare`` the subset segments beyond the
+    pigeonhole's: so many empty or frequent ones a set can leave out."""
 
     start: np.ndarray
     subset: np.ndarray
     deletion: np.ndarray
+    spare: np.ndarray
 
     def band(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.start, n, "right") - 1
@@ -58,17 +61,29 @@ def differing(size_sum: int, percent: int = PERCENT) -> int:
     return size_sum * (100 - percent) // (100 + percent)
 
 
-def allocate(size: int, h: int, count: int) -> tuple[int, int]:
-    """Subset and deletion segments of least cost for sets of about ``size``, of
-    which there are ``count``, that may differ in ``h`` members."""
-    def cost(d: int) -> float:
-        s = max(0, h + 1 - 2 * d)
-        load = size / (s + d)
-        chance = s * math.exp(-2 * load) + d * ((1 + load) * math.exp(-load)) ** 2
+def allocate(size: int, h: int, count: int) -> tuple[int, int, int]:
+    """Subset, deletion and spare segments of least cost for sets of about
+    ``size``, of which there are ``count``, that may differ in ``h`` members.
+
+    Chance partners mostly agree in empty segments. Spare segments let a set leave
+    its empty ones out, and segments that many chunks hold (of a common passage):
+    as long as these are no more than the spare ones, linked sets still agree in
+    another segment. What linked sets agree in is empty or frequent for both."""
+    def cost(at: tuple[int, int]) -> float:
+        d, spare = at
+        s = max(0, h + 1 + spare - 2 * d)
+        load = size / max(1, s + d)
+        empty = s * math.exp(-load)
+        term, more = math.exp(-empty), 1.0  # more: that a set has more empty segments than spare ones
+        for k in range(spare + 1):
+            more -= term
+            term *= empty / (k + 1)
+        chance = s * math.exp(-2 * load) * max(more, 0.0) + d * ((1 + load) * math.exp(-load)) ** 2
         return s + d * (1 + load) + PARTNER * count * chance / 2
     most = (h + 2) // 2
-    d = min({*range(0, min(most, 8) + 1), *np.linspace(0, most, 17).astype(int).tolist()}, key=cost)
-    return max(0, h + 1 - 2 * d), d
+    deletions = {*range(0, min(most, 8) + 1), *np.linspace(0, most, 9).astype(int).tolist()}
+    d, spare = min(((d, z) for d in sorted(deletions) for z in (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32) if z <= h + 4), key=cost)
+    return max(0, h + 1 + spare - 2 * d), d, spare
 
 
 def schemes(largest: int, counts: dict[int, int], percent: int = PERCENT) -> Schemes:
@@ -78,11 +93,11 @@ def schemes(largest: int, counts: dict[int, int], percent: int = PERCENT) -> Sch
     start.append(max(start[-1] + 1, -(-start[-1] * 100 // percent)))
     sizes = np.array(sorted(counts) or [1])
     number = np.array([counts[n] for n in sizes] if counts else [0])
-    pairs = []
+    found = []
     for lo, hi, below in zip(start[:-1], start[1:], [1, *start[:-2]]):
         many = int(number[(sizes >= below) & (sizes < hi)].sum())
-        pairs.append(allocate(lo, differing(2 * (hi - 1), percent), many))
-    return Schemes(np.array(start[:-1]), np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
+        found.append(allocate(lo, differing(2 * (hi - 1), percent), many))
+    return Schemes(np.array(start[:-1]), *(np.array(x) for x in zip(*found)))
 
 
 class _Sets:
@@ -127,16 +142,18 @@ class _Sets:
         again = k.answered(answers, 1)[k.of] | (k.first[k.of] != np.arange(len(self.some)))
         return self.some[~again]
 
-    def signatures(self, rows: np.ndarray, by: Schemes) -> tuple[np.ndarray, np.ndarray]:
-        """Signatures of some rows, and the row of each."""
+    def signatures(self, rows: np.ndarray, by: Schemes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Signatures of some rows, the row of each, and its use: twice the row, and
+        one more for the second scheme, if it is a subset segment's, else -1. By
+        use, how many more segments can be left out."""
         use = np.zeros(len(self.ids), bool)
         use[rows] = True
         at = use[self.owner]
         member, owner = self.member[at], self.owner[at]
         weight = mix(member ^ _OTHER)
         band = by.band(np.maximum(self.size, 1))
-        found, of = [], []
-        for scheme in (band, band + 1):
+        found, of, use_of, left = [], [], [], np.full(2 * len(self.ids), -1)
+        for second, scheme in enumerate((band, band + 1)):
             subset, deletion = by.subset[scheme], by.deletion[scheme]
             segments = np.where(use, subset + deletion, 0)
             base = np.cumsum(segments) - segments
@@ -146,30 +163,44 @@ class _Sets:
             row = np.repeat(np.arange(len(segments)), segments)
             number = np.arange(len(sums)) - base[row]
             salt = mix((scheme[row].astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64) + np.uint64(1))
-            found.append(mix(sums + salt))
-            of.append(row)
+            empty = np.bincount(base[owner] + seg, minlength=len(sums)) == 0
+            empty &= number >= deletion[row]
+            spare = by.spare[scheme] - np.bincount(row[empty], minlength=len(segments))
+            left[second::2] = np.where(use, spare, -1)
+            write = ~(empty & (spare >= 0)[row])
+            found.append(mix(sums + salt)[write])
+            of.append(row[write])
+            use_of.append(np.where(number >= deletion[row], 2 * row + second, -1)[write])
             one_less = seg < deletion[owner]
             place = (base[owner] + seg)[one_less]
             found.append(mix(sums[place] - weight[one_less] + salt[place]))
             of.append(owner[one_less])
-        return np.concatenate(found), np.concatenate(of)
+            use_of.append(np.full(int(one_less.sum()), -1))
+        return np.concatenate(found), np.concatenate(of), np.concatenate(use_of), left
 
 
 SETS = "doc_id long, n int, key long, key2 long, signatures array<long>, members binary"
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that link, with their whole sets compared: the sets of all b
-    travel to a, in salted groups that each hold a's set once."""
+def _at_centre(pairs: DataFrame, sets: DataFrame, run, schema: str) -> DataFrame:
+    """``run(own, ids, parts, table)`` for each centre a of ``pairs`` (a, b, ...):
+    the sets of all b travel to a, in salted groups that each hold a's set once."""
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / VERIFY_ROWS).cast("long").alias("parts"))
-    salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"))
+    salted = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("parts"))).drop("parts")
     centre = salted.select("a", "salt", F.col("a").alias("b")).distinct()
-    rows = salted.unionByName(centre).join(sets.select(F.col("doc_id").alias("b"), "members"), "b")
+    rows = salted.unionByName(centre, allowMissingColumns=True).join(sets.select(F.col("doc_id").alias("b"), "members"), "b")
 
-    def run(t: pa.Table) -> pa.Table:
+    def group(t: pa.Table) -> pa.Table:
         a, ids = t.column("a")[0].as_py(), t.column("b").to_numpy()
         parts = [np.frombuffer(x, "<u8") for x in t.column("members").to_pylist()]
-        own = next(p for p, i in zip(parts, ids) if i == a)
+        return run(a, next(p for p, i in zip(parts, ids) if i == a), ids, parts, t)
+
+    return rows.groupBy("a", "salt").applyInArrow(group, schema)
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that link, with their whole sets compared."""
+    def run(a: int, own: np.ndarray, ids: np.ndarray, parts: list[np.ndarray], t: pa.Table) -> pa.Table:
         n = np.array([len(p) for p in parts])
         every = np.concatenate(parts)
         hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
@@ -177,15 +208,47 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         good = (100 * both >= percent * (n + len(own) - both)) & (ids != a)
         return pa.table({"a": pa.array(np.full(good.sum(), a), pa.int64()), "b": pa.array(ids[good], pa.int64())})
 
-    return rows.groupBy("a", "salt").applyInArrow(run, "a long, b long")
+    return _at_centre(pairs, sets, run, "a long, b long")
+
+
+def _differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, component, probe) -> also ``index`` and ``probes``: members by which b
+    is found, and by which it finds, among the documents of centre a.
+
+    Let D be the members in which a document differs from the centre. Two documents
+    of different components have one that doesn't link with the centre. If their D
+    were disjoint, both would be near enough to link with it; so the D of linked
+    ones share members: at least half of what their sizes exceed the allowed
+    difference by, and all but the allowed difference. A document thus is found by
+    a prefix of its D in any fixed order; what the centre lacks goes first, which
+    few other documents share."""
+    def run(a: int, own: np.ndarray, ids: np.ndarray, parts: list[np.ndarray], t: pa.Table) -> pa.Table:
+        probe = t.column("probe").to_pylist()
+        found, finds = [], []
+        for i, x in zip(range(len(ids)), parts):
+            place = np.minimum(np.searchsorted(own, x), len(own) - 1)
+            common = own[place] == x
+            lost = np.ones(len(own), bool)
+            lost[place[common]] = False
+            d = np.concatenate([x[~common], own[lost]]).view(np.int64)
+            longer = max(0, len(x) - len(own))
+            give = -(-longer * (100 - percent) // (100 + percent)) + 1 if longer else 0
+            apart = (len(x) + len(x) * 100 // percent) * (100 - percent) // (100 + percent)  # most that a linked one differs in
+            shared = max(1, len(d) - apart, -(-(len(d) + 1 - give) // 2))  # least overlap with a document that doesn't link with a
+            found.append(d[:max(0, len(d) - shared + 1)])
+            finds.append(d[:len(d) - max(1, len(d) - apart) + 1] if probe[i] and len(d) else d[:0])
+        return pa.table({"a": t.column("a"), "b": t.column("b"), "index": pa.array(found, pa.list_(pa.int64())),
+                         "probes": pa.array(finds, pa.list_(pa.int64()))}).filter(pa.array(ids != a))
+
+    return _at_centre(pairs, sets, run, "a long, b long, index array<long>, probes array<long>")
 
 
 def _may_link(n: str, m: str, percent: int):
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m))
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT,
-               chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+               chunk_bytes: int = CHUNK_BYTES, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links,
     itself included) for each row of ``docs``.
 
@@ -211,11 +274,15 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def finish(t: pa.Table, answers: pa.Table) -> pa.Table:
         x = _Sets(t, ngram)
         rows = x.firsts(answers, buckets)
-        signature, of = x.signatures(rows, by)
+        signature, of, use, left = x.signatures(rows, by)
         k = Keys(*top_bits(signature, buckets))
         lo = np.minimum.reduceat(of[k.order], k.starts) if len(k.starts) else of
         hi = np.maximum.reduceat(of[k.order], k.starts) if len(k.starts) else of
         shared = (k.answered(answers, 2) | (lo != hi))[k.of]
+        # frequent segments are left out like empty ones, as far as the spare ones reach
+        frequent = k.answered(answers, 2, "mixed")[k.of] & (use >= 0)
+        many = np.bincount(use[frequent], minlength=len(left))
+        shared &= ~(frequent & (many <= left)[use])
         signature, of = signature[shared], of[shared]
         order = np.lexsort((signature, of))
         cut = np.searchsorted(of[order], np.arange(len(x.ids) + 1))
@@ -225,7 +292,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          "key2": pa.array(x.key2.view(np.int64)), "signatures": pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(signature)),
                          "members": pa.array(members, pa.binary())})
 
-    found = written(in_steps(chunks, [(set_keys, "<u8", "earlier"), (signature_keys, "<u4", "other")], finish, SETS), "ngram-sets")
+    found = written(in_steps(chunks, [(set_keys, "<u8", "earlier"), (signature_keys, "<u4", "other")], finish, SETS, frequent), "ngram-sets")
     named = found.filter(F.col("doc_id").isNotNull())
     sets = named.filter(F.col("members").isNotNull()).select("doc_id", "n", "members")
     shared = named.filter(F.size("signatures") > 0).select("doc_id", "n", F.explode("signatures").alias("signature")).distinct()
@@ -234,19 +301,24 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the centre of a group shares its signatures with most documents: an original, rather than its copies
     popular = shared.groupBy("doc_id").agg(F.sum("rows").alias("popular"))
     members = written(shared.join(popular, "doc_id").drop("rows"), "ngram-groups")
-    centre = members.groupBy("signature").agg(F.max(F.struct("popular", (-F.col("doc_id")).alias("id"), "n")).alias("c"))
-    centre = centre.select("signature", (-F.col("c.id")).alias("a"), F.col("c.n").alias("an"))
-    pairs = (members.join(centre, "signature").filter((F.col("a") != F.col("doc_id")) & _may_link("n", "an", percent))
-             .select("a", F.col("doc_id").alias("b")).distinct())
+    centre = members.groupBy("signature").agg(F.max(F.struct("popular", (-F.col("doc_id")).alias("id"))).alias("c"))
+    pairs = written(members.join(centre.select("signature", (-F.col("c.id")).alias("a")), "signature").filter(F.col("a") != F.col("doc_id"))
+                    .select("a", F.col("doc_id").alias("b")).distinct(), "ngram-pairs")
     links = written(_verify(pairs, sets, percent), "ngram-links")
     group = connected_components(links)
-    # what shares a signature across components is compared in full
-    labelled = (members.join(group, F.col("doc_id") == F.col("node"), "left").select("signature", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")))
-    open_groups = labelled.groupBy("signature").agg((F.min("component") != F.max("component")).alias("open")).filter("open").select("signature")
-    labelled = written(labelled.join(open_groups, "signature"), "ngram-open")
-    left, right = labelled, labelled.select("signature", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    rest = (left.join(right, "signature").filter((F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("other")) & _may_link("n", "m", percent))
-            .select(F.col("doc_id").alias("a"), "b").distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    # centres whose documents are in several components: partners may have been missed there
+    of = group.select(F.col("node").alias("b"), F.col("component").alias("own"))
+    to = group.select(F.col("node").alias("a"), F.col("component").alias("theirs"))
+    labelled = pairs.join(of, "b", "left").join(to, "a", "left").select("a", "b", F.coalesce("own", "b").alias("component"), F.coalesce("theirs", "a").alias("theirs"))
+    labelled = labelled.select("a", "b", "component", (F.col("component") != F.col("theirs")).alias("probe"))
+    open_centres = labelled.filter("probe").select("a").distinct()
+    labelled = written(labelled.join(open_centres, "a"), "ngram-open")
+    apart = written(_differences(labelled.select("a", "b", "probe"), sets, percent).join(labelled.select("a", "b", "component"), ["a", "b"])
+                    .join(sets.select(F.col("doc_id").alias("b"), "n"), "b"), "ngram-apart")
+    index = apart.select("a", "b", "n", "component", F.explode("index").alias("member"))
+    probes = apart.select("a", F.col("b").alias("c"), F.col("n").alias("m"), F.col("component").alias("other"), F.explode("probes").alias("member"))
+    rest = (index.join(probes, ["a", "member"]).filter((F.col("b") != F.col("c")) & (F.col("component") != F.col("other")) & _may_link("n", "m", percent))
+            .select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct())
     more = written(_verify(rest, sets, percent), "ngram-more")
     if not more.isEmpty():
         group = connected_components(links.union(more))

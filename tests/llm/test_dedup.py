@@ -100,27 +100,45 @@ def test_families_around_no_original(make, edits, shared):
         rows.append((i, " ".join(words), None, "a"))
     want = order(ngram_components(rows))
     assert 5 < len({c for *_, c in want}) < 70
-    assert order([tuple(x) for x in ngram_join.components(make(rows), chunk_bytes=9000).collect()]) == want
+    for frequent in (16, 1):
+        assert order([tuple(x) for x in ngram_join.components(make(rows), chunk_bytes=9000, frequent=frequent).collect()]) == want
 
 
-@pytest.mark.parametrize("count", [0, 10 ** 4, 10 ** 12])
-def test_linked_sets_share_a_signature(count):
+def test_common_passages(make):
+    """Documents that share passages but don't link, and copies of some of them."""
+    import random
+    r = random.Random(3)
+    passages = [" ".join(f"p{k}x{i}" for i in range(40)) for k in range(4)]
+    rows = []
+    for i in range(60):
+        text = " ".join([passages[i % 4], *[f"t{r.randrange(10 ** 6)}" for _ in range(r.choice([10, 40, 120]))], passages[(i + 1) % 4]])
+        if rows and i % 7 == 0:
+            text = rows[r.randrange(len(rows))][1] + " more"
+        rows.append((i, text, None, "a"))
+    for percent in (90, 80):
+        got = ngram_join.components(make(rows), percent=percent, chunk_bytes=2000, frequent=3).collect()
+        assert order([tuple(x) for x in got]) == order(ngram_components(rows, percent))
+
+
+@pytest.mark.parametrize("count,percent", [(0, 90), (10 ** 4, 90), (10 ** 12, 90), (10 ** 4, 80), (10 ** 8, 80), (10 ** 6, 60)])
+def test_linked_sets_share_a_signature(count, percent):
     """Pigeonhole: whatever the allocation, linked sets meet in a signature."""
     draw = np.random.default_rng(3)
-    by = ngram_join.schemes(400, {n: count for n in range(1, 400)})
-    assert all(s + 2 * d >= ngram_join.differing(2 * (hi - 1)) + 1 for s, d, hi in zip(by.subset[:-1], by.deletion, by.start[1:]))
+    by = ngram_join.schemes(400, {n: count for n in range(1, 400)}, percent)
+    assert all(s + 2 * d >= ngram_join.differing(2 * (hi - 1), percent) + 1 + z
+               for s, d, z, hi in zip(by.subset[:-1], by.deletion, by.spare, by.start[1:]))
     if count == 10 ** 12:
         assert by.deletion.any()
-    for _ in range(150):
-        n = int(draw.integers(1, 350))
-        x = draw.integers(0, 1 << 63, n, dtype=np.uint64)
-        y = np.concatenate([x[int(n * draw.uniform(0, .08)):], draw.integers(0, 1 << 63, int(n * draw.uniform(0, .08)), dtype=np.uint64)])
+    for _ in range(400):
+        n, most = int(draw.integers(1, 350)), 0.6 * (1 - percent / 100)
+        x = draw.integers(0, 1 << 64, n, dtype=np.uint64)
+        y = np.concatenate([x[int(n * draw.uniform(0, most)):], draw.integers(0, 1 << 64, int(n * draw.uniform(0, most)), dtype=np.uint64)])
         both = len(np.intersect1d(x, y))
-        if len(y) and 100 * both >= 90 * (len(x) + len(y) - both):
+        if len(y) and 100 * both >= percent * (len(x) + len(y) - both):
             s = ngram_join._Sets.__new__(ngram_join._Sets)
             s.ids, s.size = np.arange(2), np.array([len(x), len(y)])
             s.member, s.owner = np.concatenate([x, y]), np.repeat([0, 1], s.size)
-            signature, of = s.signatures(np.arange(2), by)
+            signature, of, *_ = s.signatures(np.arange(2), by)
             assert np.intersect1d(signature[of == 0], signature[of == 1]).size
 
 
