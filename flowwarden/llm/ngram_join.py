@@ -23,17 +23,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .firstseen import CHUNK_BYTES, FREQUENT, Keys, chunked, in_order, in_steps, top_bits
+from .firstseen import CHUNK_BYTES, Keys, chunked, in_order, in_steps, top_bits
 from .mixing import WORD
 from .tables import written
 from .text import LOWER, WORDS, Slice, column_bytes, mix, windows_in_rows, word_hashes
 
 NGRAM = 3
 PERCENT = 90
+#: Spare segments as a share of the differences allowed.
+SPARE = 0.3
 #: Cost of one chance partner in signatures.
 PARTNER = 4.0
 #: Pairs of one centre that are verified in a task.
@@ -45,7 +47,7 @@ _OTHER = np.uint64(0x8CB92BA72F3D8DD7)
 class Schemes:
     """``start[k]`` is the least size in band k; ``subset`` and ``deletion`` count
     the segments of each scheme, ``spare`` the subset segments beyond the
-    pigeonhole's: so many empty or frequent ones a set can leave out."""
+    pigeonhole's: so many signatures a set can leave out."""
 
     start: np.ndarray
     subset: np.ndarray
@@ -61,14 +63,22 @@ def differing(size_sum: int, percent: int = PERCENT) -> int:
     return size_sum * (100 - percent) // (100 + percent)
 
 
+def least_spare(h: int) -> list[int]:
+    """Numbers of spare segments to choose from: a share of the differences
+    allowed for signatures of common passages, and more for empty ones."""
+    z = int(SPARE * h) + 4 if h > 1 else 0
+    return [z, *(z + k for k in (2, 4, 8, 16, 32) if z)]
+
+
 def allocate(size: int, h: int, count: int) -> tuple[int, int, int]:
     """Subset, deletion and spare segments of least cost for sets of about
     ``size``, of which there are ``count``, that may differ in ``h`` members.
 
-    Chance partners mostly agree in empty segments. Spare segments let a set leave
-    its empty ones out, and segments that many chunks hold (of a common passage):
-    as long as these are no more than the spare ones, linked sets still agree in
-    another segment. What linked sets agree in is empty or frequent for both."""
+    Chance partners mostly agree in empty segments and in those of a common
+    passage. Spare segments let each set leave out half as many signatures, the
+    empty and most frequent ones in one order of all signatures; linked sets then
+    still agree in the other half of the spare ones and one more (a prefix filter),
+    and a set that shares fewer has no partner."""
     def cost(at: tuple[int, int]) -> float:
         d, spare = at
         s = max(0, h + 1 + spare - 2 * d)
@@ -82,7 +92,7 @@ def allocate(size: int, h: int, count: int) -> tuple[int, int, int]:
         return s + d * (1 + load) + PARTNER * count * chance / 2
     most = (h + 2) // 2
     deletions = {*range(0, min(most, 8) + 1), *np.linspace(0, most, 9).astype(int).tolist()}
-    d, spare = min(((d, z) for d in sorted(deletions) for z in (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32) if z <= h + 4), key=cost)
+    d, spare = min(((d, z) for d in sorted(deletions) for z in least_spare(h)), key=cost)
     return max(0, h + 1 + spare - 2 * d), d, spare
 
 
@@ -142,17 +152,19 @@ class _Sets:
         again = k.answered(answers, 1)[k.of] | (k.first[k.of] != np.arange(len(self.some)))
         return self.some[~again]
 
-    def signatures(self, rows: np.ndarray, by: Schemes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def signatures(self, rows: np.ndarray, by: Schemes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Signatures of some rows, the row of each, and its use: twice the row, and
         one more for the second scheme, if it is a subset segment's, else -1. By
-        use, how many more segments can be left out."""
+        use, how many more segments can be left out, and in how many of the rest
+        linked sets agree at least."""
         use = np.zeros(len(self.ids), bool)
         use[rows] = True
         at = use[self.owner]
         member, owner = self.member[at], self.owner[at]
         weight = mix(member ^ _OTHER)
         band = by.band(np.maximum(self.size, 1))
-        found, of, use_of, left = [], [], [], np.full(2 * len(self.ids), -1)
+        found, of, use_of = [], [], []
+        left, need = np.zeros(2 * len(self.ids), int), np.ones(2 * len(self.ids), int)
         for second, scheme in enumerate((band, band + 1)):
             subset, deletion = by.subset[scheme], by.deletion[scheme]
             segments = np.where(use, subset + deletion, 0)
@@ -166,7 +178,10 @@ class _Sets:
             empty = np.bincount(base[owner] + seg, minlength=len(sums)) == 0
             empty &= number >= deletion[row]
             spare = by.spare[scheme] - np.bincount(row[empty], minlength=len(segments))
-            left[second::2] = np.where(use, spare, -1)
+            # half of the spare ones go, the empty ones first; the other half are agreements more
+            half, out = by.spare[scheme] // 2, by.spare[scheme] - spare
+            left[second::2] = np.where(use & (spare >= 0), np.maximum(half - out, 0), 0)
+            need[second::2] = np.where(use & (spare >= 0) & (deletion == 0), by.spare[scheme] + 1 - np.maximum(half, out), 1)
             write = ~(empty & (spare >= 0)[row])
             found.append(mix(sums + salt)[write])
             of.append(row[write])
@@ -176,10 +191,10 @@ class _Sets:
             found.append(mix(sums[place] - weight[one_less] + salt[place]))
             of.append(owner[one_less])
             use_of.append(np.full(int(one_less.sum()), -1))
-        return np.concatenate(found), np.concatenate(of), np.concatenate(use_of), left
+        return np.concatenate(found), np.concatenate(of), np.concatenate(use_of), left, need
 
 
-SETS = "doc_id long, n int, key long, key2 long, signatures array<long>, members binary"
+SETS = "doc_id long, n int, key long, key2 long, signatures array<struct<signature:long,scheme:int,spare:int,need:int>>, members binary"
 
 
 def _at_centre(pairs: DataFrame, sets: DataFrame, run, schema: str) -> DataFrame:
@@ -248,7 +263,7 @@ def _may_link(n: str, m: str, percent: int):
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT,
-               chunk_bytes: int = CHUNK_BYTES, frequent: int = FREQUENT) -> DataFrame:
+               chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links,
     itself included) for each row of ``docs``.
 
@@ -274,42 +289,49 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def finish(t: pa.Table, answers: pa.Table) -> pa.Table:
         x = _Sets(t, ngram)
         rows = x.firsts(answers, buckets)
-        signature, of, use, left = x.signatures(rows, by)
+        signature, of, use, left, need = x.signatures(rows, by)
         k = Keys(*top_bits(signature, buckets))
         lo = np.minimum.reduceat(of[k.order], k.starts) if len(k.starts) else of
         hi = np.maximum.reduceat(of[k.order], k.starts) if len(k.starts) else of
         shared = (k.answered(answers, 2) | (lo != hi))[k.of]
-        # frequent segments are left out like empty ones, as far as the spare ones reach
-        frequent = k.answered(answers, 2, "mixed")[k.of] & (use >= 0)
-        many = np.bincount(use[frequent], minlength=len(left))
-        shared &= ~(frequent & (many <= left)[use])
-        signature, of = signature[shared], of[shared]
+        signature, of, use = signature[shared], of[shared], use[shared]
         order = np.lexsort((signature, of))
         cut = np.searchsorted(of[order], np.arange(len(x.ids) + 1))
-        signature = signature[order].view(np.int64)
+        use = use[order]
+        written_as = pa.StructArray.from_arrays(
+            [pa.array(signature[order].view(np.int64)), pa.array(np.where(use < 0, 2, use % 2).astype(np.int32)),
+             pa.array(np.where(use < 0, 0, left[use]).astype(np.int32)), pa.array(np.where(use < 0, 1, need[use]).astype(np.int32))],
+            ["signature", "scheme", "spare", "need"])
         members = [x.member[x.bounds[i]:x.bounds[i + 1]].tobytes() if cut[i] < cut[i + 1] else None for i in range(len(x.ids))]
         return pa.table({"doc_id": x.rows.column("doc_id"), "n": pa.array(x.size.astype(np.int32)), "key": pa.array(x.key.view(np.int64)),
-                         "key2": pa.array(x.key2.view(np.int64)), "signatures": pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(signature)),
+                         "key2": pa.array(x.key2.view(np.int64)), "signatures": pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), written_as),
                          "members": pa.array(members, pa.binary())})
 
-    found = written(in_steps(chunks, [(set_keys, "<u8", "earlier"), (signature_keys, "<u4", "other")], finish, SETS, frequent), "ngram-sets")
+    found = written(in_steps(chunks, [(set_keys, "<u8", "earlier"), (signature_keys, "<u4", "other")], finish, SETS), "ngram-sets")
     named = found.filter(F.col("doc_id").isNotNull())
     sets = named.filter(F.col("members").isNotNull()).select("doc_id", "n", "members")
-    shared = named.filter(F.size("signatures") > 0).select("doc_id", "n", F.explode("signatures").alias("signature")).distinct()
+    shared = named.select("doc_id", "n", F.inline("signatures")).distinct()
+    size = shared.groupBy("signature").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    # in one order of all signatures, each set leaves out its most frequent ones, as many as it has spare,
+    # and a set that shares fewer of the rest than linked sets agree in has no partner
+    own = Window.partitionBy("doc_id", "scheme")
+    shared = (shared.join(size, "signature").withColumn("nth", F.row_number().over(own.orderBy(F.desc("rows"), "signature"))).filter("nth > spare")
+              .withColumn("have", F.count(F.lit(1)).over(own)).filter("have >= need").select("signature", "doc_id", "n").distinct())
+    shared = written(shared, "ngram-shared")
     size = shared.groupBy("signature").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    shared = written(shared.join(size, "signature"), "ngram-shared")
+    shared = shared.join(size, "signature")
     # the centre of a group shares its signatures with most documents: an original, rather than its copies
     popular = shared.groupBy("doc_id").agg(F.sum("rows").alias("popular"))
-    members = written(shared.join(popular, "doc_id").drop("rows"), "ngram-groups")
+    members = written(shared.join(popular, "doc_id"), "ngram-groups")
     centre = members.groupBy("signature").agg(F.max(F.struct("popular", (-F.col("doc_id")).alias("id"))).alias("c"))
     pairs = written(members.join(centre.select("signature", (-F.col("c.id")).alias("a")), "signature").filter(F.col("a") != F.col("doc_id"))
-                    .select("a", F.col("doc_id").alias("b")).distinct(), "ngram-pairs")
-    links = written(_verify(pairs, sets, percent), "ngram-links")
+                    .groupBy("a", F.col("doc_id").alias("b")).agg(F.max("rows").alias("rows")), "ngram-pairs")
+    links = written(_verify(pairs.select("a", "b"), sets, percent), "ngram-links")
     group = connected_components(links)
     # centres whose documents are in several components: partners may have been missed there
     of = group.select(F.col("node").alias("b"), F.col("component").alias("own"))
     to = group.select(F.col("node").alias("a"), F.col("component").alias("theirs"))
-    labelled = pairs.join(of, "b", "left").join(to, "a", "left").select("a", "b", F.coalesce("own", "b").alias("component"), F.coalesce("theirs", "a").alias("theirs"))
+    labelled = pairs.filter("rows > 2").join(of, "b", "left").join(to, "a", "left").select("a", "b", F.coalesce("own", "b").alias("component"), F.coalesce("theirs", "a").alias("theirs"))
     labelled = labelled.select("a", "b", "component", (F.col("component") != F.col("theirs")).alias("probe"))
     open_centres = labelled.filter("probe").select("a").distinct()
     labelled = written(labelled.join(open_centres, "a"), "ngram-open")

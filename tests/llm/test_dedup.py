@@ -100,8 +100,7 @@ def test_families_around_no_original(make, edits, shared):
         rows.append((i, " ".join(words), None, "a"))
     want = order(ngram_components(rows))
     assert 5 < len({c for *_, c in want}) < 70
-    for frequent in (16, 1):
-        assert order([tuple(x) for x in ngram_join.components(make(rows), chunk_bytes=9000, frequent=frequent).collect()]) == want
+    assert order([tuple(x) for x in ngram_join.components(make(rows), chunk_bytes=9000).collect()]) == want
 
 
 def test_common_passages(make):
@@ -116,7 +115,7 @@ def test_common_passages(make):
             text = rows[r.randrange(len(rows))][1] + " more"
         rows.append((i, text, None, "a"))
     for percent in (90, 80):
-        got = ngram_join.components(make(rows), percent=percent, chunk_bytes=2000, frequent=3).collect()
+        got = ngram_join.components(make(rows), percent=percent, chunk_bytes=2000).collect()
         assert order([tuple(x) for x in got]) == order(ngram_components(rows, percent))
 
 
@@ -138,8 +137,16 @@ def test_linked_sets_share_a_signature(count, percent):
             s = ngram_join._Sets.__new__(ngram_join._Sets)
             s.ids, s.size = np.arange(2), np.array([len(x), len(y)])
             s.member, s.owner = np.concatenate([x, y]), np.repeat([0, 1], s.size)
-            signature, of, *_ = s.signatures(np.arange(2), by)
+            signature, of, *rest = s.signatures(np.arange(2), by)
             assert np.intersect1d(signature[of == 0], signature[of == 1]).size
+            use, left, need = rest
+            for second in range(2):  # as many agree as the scheme says, whichever are left out first
+                mine = signature[use == second]
+                for other in (2, 3):
+                    both = np.intersect1d(mine, signature[use == other])
+                    kept = np.intersect1d(np.sort(mine)[left[second]:], np.sort(signature[use == other])[left[other]:])
+                    if both.size and by.band(np.array([len(x)]))[0] + second == by.band(np.array([len(y)]))[0] + other - 2:
+                        assert len(kept) >= min(need[second], need[other]) or by.deletion[by.band(np.array([len(x)]))[0] + second]
 
 
 def test_components_of_long_paths_and_hubs(spark):
