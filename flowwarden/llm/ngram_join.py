@@ -295,6 +295,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         hi = np.maximum.reduceat(of[k.order], k.starts) if len(k.starts) else of
         shared = (k.answered(answers, 2) | (lo != hi))[k.of]
         signature, of, use = signature[shared], of[shared], use[shared]
+        # without what goes as most frequent, too few are left for a partner: nothing of this scheme is needed
+        enough = np.bincount(use[use >= 0], minlength=len(left)) - left >= need
+        some = (use < 0) | enough[use]
+        signature, of, use = signature[some], of[some], use[some]
         order = np.lexsort((signature, of))
         cut = np.searchsorted(of[order], np.arange(len(x.ids) + 1))
         use = use[order]
@@ -310,13 +314,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = written(in_steps(chunks, [(set_keys, "<u8", "earlier"), (signature_keys, "<u4", "other")], finish, SETS), "ngram-sets")
     named = found.filter(F.col("doc_id").isNotNull())
     sets = named.filter(F.col("members").isNotNull()).select("doc_id", "n", "members")
-    shared = named.select("doc_id", "n", F.inline("signatures")).distinct()
+    shared = named.select("doc_id", "n", F.inline("signatures"))
     size = shared.groupBy("signature").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     # in one order of all signatures, each set leaves out its most frequent ones, as many as it has spare,
     # and a set that shares fewer of the rest than linked sets agree in has no partner
     own = Window.partitionBy("doc_id", "scheme")
     shared = (shared.join(size, "signature").withColumn("nth", F.row_number().over(own.orderBy(F.desc("rows"), "signature"))).filter("nth > spare")
-              .withColumn("have", F.count(F.lit(1)).over(own)).filter("have >= need").select("signature", "doc_id", "n").distinct())
+              .withColumn("have", F.count(F.lit(1)).over(own)).filter("have >= need").select("signature", "doc_id", "n"))
     shared = written(shared, "ngram-shared")
     size = shared.groupBy("signature").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     shared = shared.join(size, "signature")
