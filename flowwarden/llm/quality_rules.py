@@ -33,11 +33,11 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-LINES = "sketch string, lines array<struct<h:string,n:int>>"
+LINES = "line_set string, lines array<struct<h:string,n:int>>"
 
 
 def _line_stats(piece) -> tuple[list[int], list[str], list[list[dict]]]:
-    dup, sketches, rows = [], [], []
+    dup, sets, rows = [], [], []
     data = piece.data.tobytes()
     for lo, hi in zip(piece.off[:-1].tolist(), piece.off[1:].tolist()):
         seen, found, again = set(), {}, 0
@@ -51,9 +51,9 @@ def _line_stats(piece) -> tuple[list[int], list[str], list[list[dict]]]:
                 h = md5(b" ".join(words)).hexdigest()
                 found[h] = found.get(h, 0) + len(words)
         dup.append(again)
-        sketches.append("".join(sorted(found)[:2]))
+        sets.append(md5("".join(sorted(found)).encode()).hexdigest() if found else "")
         rows.append([{"h": h, "n": n} for h, n in found.items()])
-    return dup, sketches, rows
+    return dup, sets, rows
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,13 +69,13 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             again = covered(starts[count[back] > 1], REPEAT_WORDS, len(s))
             run = np.concatenate([[0], np.cumsum(again)])
             inside = ~IS_SPACE[p.data] & ((p.data & 0xC0) != 0x80)
-            dup, sketch, lines = _line_stats(p)
+            dup, sets, lines = _line_stats(p)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(p.first, p.rows), batch.column(1).slice(p.first, p.rows)]
                 + [pa.array(np.asarray(x, np.int64)) for x in (
                     n_words, p.per_row(inside), p.per_row(SYMBOLS[p.data]), dup, run[bounds[1:]] - run[bounds[:-1]])]
-                + [pa.array(sketch, pa.string()), pa.array(lines, line_type)],
-                ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "sketch", "lines"])
+                + [pa.array(sets, pa.string()), pa.array(lines, line_type)],
+                ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_set", "lines"])
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
@@ -83,9 +83,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """One row per row of ``docs``: doc_id, the statistics, words_on_frequent_lines,
     base_failed, depleted, kept.
 
-    Distinct documents are counted by a sketch (their two smallest line hashes):
-    copies of one document count once, so that copies don't turn its own lines
-    into boilerplate. A null text has no words and fails; a null host is a host
+    Distinct documents are counted by a hash of their whole set of lines: copies
+    of one document count once, so that copies don't turn its own lines into
+    boilerplate; documents that differ in any line count each. A null text has no words and fails; a null host is a host
     of its own; rows with the same id are judged each for itself; an empty table
     gives no rows. Other columns are not read."""
     spark = docs.sparkSession
@@ -94,13 +94,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     t = d.mapInArrow(_statistics, f"doc_id long, host string, {STATS}, {LINES}")
     t = written(t.withColumn("row", F.monotonically_increasing_id()), "line-stats")
     t = t.withColumn("host", F.coalesce(F.concat(F.lit("="), "host"), F.lit("")))
-    lines = t.select("row", "host", "sketch", F.inline("lines"))
-    limit = t.filter("sketch <> ''").groupBy("host", "sketch").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    often = (lines.groupBy("host", "h", "sketch").agg(F.lit(1).alias("one"))
+    lines = t.select("row", "host", "line_set", F.inline("lines"))
+    limit = t.filter("line_set <> ''").groupBy("host", "line_set").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    often = (lines.groupBy("host", "h", "line_set").agg(F.lit(1).alias("one"))
              .groupBy("host", "h").agg(F.count(F.lit(1)).alias("line_docs")).filter(F.col("line_docs") > min_line_docs))
     often = (often.join(limit, "host").filter(F.col("line_docs") * 100 > line_docs_pct * F.col("host_docs")).select("host", "h"))
     gone = lines.join(often, ["host", "h"]).groupBy("row").agg(F.sum("n").alias("gone"))
-    out = t.drop("lines", "sketch").join(gone, "row", "left").withColumn("gone", F.coalesce("gone", F.lit(0)).cast("long"))
+    out = t.drop("lines", "line_set").join(gone, "row", "left").withColumn("gone", F.coalesce("gone", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
     depleted = (F.col("n_words") - F.col("gone")) * 100 < keep_pct * F.col("n_words")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

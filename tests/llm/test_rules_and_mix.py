@@ -48,6 +48,15 @@ def test_boilerplate_depletes_but_copies_do_not(make):
     assert all(got[300 + i].words_on_frequent_lines == 0 for i in range(5))
 
 
+def test_documents_that_share_many_lines_count_each(make):
+    shared = [f"common line {k} of the whole site" for k in range(20)]
+    rows = [(i, "\n".join([*shared, " ".join(f"own{i}x{k}" for k in range(40))]), None, "h") for i in range(100)]
+    rows += [(1000 + i, " ".join(f"other{i}x{k}" for k in range(40)), None, "h") for i in range(3000)]  # 100 of 3100 is above 1 %
+    n = sum(len(x.split()) for x in shared)
+    got = quality_rules.judge(make(rows)).collect()
+    assert all(r.words_on_frequent_lines == (n if r.doc_id < 1000 else 0) for r in got)
+
+
 def test_mix_equals_sql(make, rows, tmp_path):
     df = make(rows)
     out = mixing.copies(df, group_rows=5)
