@@ -34,7 +34,7 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
                   "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td "
                   "tfoot th thead tr ul".split())
 CONTAINER = frozenset("aside center details div dl fieldset figure ol section span table ul".split())
-NOISE = frozenset("aside button dialog fieldset footer form header input label menu nav search head".split())
+NOISE = frozenset("aside button dialog fieldset footer header input label menu nav search head".split())
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb "
                         "breadcrumbs header masthead footer sidebar aside widget related share sharing social cookie cookies consent gdpr notice "
@@ -48,13 +48,14 @@ _TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({RAW.replace(' ', '|')})\b(?:[^>"']
                     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PARTS = re.compile(r"[^a-z]+")
+_HIDDEN = re.compile(r"""\btype\s*=\s*["']?hidden\b""", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "path", "noise", "main", "kids", "texts")
+    __slots__ = ("tag", "path", "noise", "main", "kids", "texts", "inputs")
 
     def __init__(self, tag: str, path: tuple[str, ...], noise: bool, main: bool):
-        self.tag, self.path, self.noise, self.main, self.kids, self.texts = tag, path, noise, main, [], []
+        self.tag, self.path, self.noise, self.main, self.kids, self.texts, self.inputs = tag, path, noise, main, [], [], False
 
 
 def _is_noise(tag: str, attributes: dict[str, str], in_main: bool) -> bool:
@@ -72,11 +73,31 @@ def _is_noise(tag: str, attributes: dict[str, str], in_main: bool) -> bool:
     return bool(words & NOISE_WORDS) and not (in_main and words & NOISE_WORDS <= {"header"})
 
 
-def blocks(page: str) -> tuple[list[tuple[str, tuple[Node, ...]]], bool]:
-    """Text blocks of a page in order, each with its open elements, and whether
-    the page marks its main text (article or main)."""
+Block = tuple[str, tuple[Node, ...]]
+
+
+def _words(found: list[Block]) -> int:
+    return sum(len(text.split()) for text, _ in found)
+
+
+def _drop_forms(found: list[Block]) -> None:
+    """Forms with inputs are noise, unless they hold more than half of the page's
+    words: then the form is around the page."""
+    forms = {id(n): n for _, over in found for n in over if n.tag == "form" and n.inputs and not n.noise}
+    if forms:
+        every = _words([b for b in found if not b[1][-1].noise])
+        inside = {k: [b for b in found if any(id(n) == k for n in b[1])] for k in forms}
+        small = [k for k in forms if 2 * _words([b for b in inside[k] if not b[1][-1].noise]) <= every]
+        for k in small:
+            for _, over in inside[k]:
+                for n in over[over.index(forms[k]):]:
+                    n.noise = True
+
+
+def blocks(page: str) -> list[Block]:
+    """Text blocks of a page in order, each with its open elements."""
     root = Node("html", (), False, False)
-    stack, out, buffer, marked = [root], [], [], False
+    stack, out, buffer = [root], [], []
 
     def flush() -> None:
         text = " ".join("".join(buffer).split())
@@ -87,12 +108,18 @@ def blocks(page: str) -> tuple[list[tuple[str, tuple[Node, ...]]], bool]:
     def close_to(depth: int) -> None:
         del stack[depth:]
 
+    def has_input() -> None:
+        for n in stack:
+            n.inputs |= n.tag == "form"
+
     at = 0
     for t in _TOKEN.finditer(page):
         if t.start() > at:
             buffer.append(html.unescape(page[at:t.start()]))
         at = t.end()
         if t[3] is None:
+            if t[1] and t[1].lower() in ("select", "textarea"):
+                has_input()
             continue
         tag = t[3].lower()
         block = tag in BLOCK
@@ -117,6 +144,8 @@ def blocks(page: str) -> tuple[list[tuple[str, tuple[Node, ...]]], bool]:
                     close_to(depth)
                 elif stack[depth].tag in SCOPE:
                     break
+        if tag == "button" or tag == "input" and not _HIDDEN.search(t[4]):
+            has_input()
         if tag in VOID or tag in ("html", "body"):
             continue
         attributes = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(t[4])} if t[4].strip(" /") else {}
@@ -124,14 +153,14 @@ def blocks(page: str) -> tuple[list[tuple[str, tuple[Node, ...]]], bool]:
         main = up.main or tag in ("article", "main")
         name = ".".join([tag, *sorted(attributes.get("class", "").split()), attributes.get("id", "")]) if attributes else tag
         node = Node(tag, (*up.path, name), up.noise or _is_noise(tag, attributes, up.main), main)
-        marked |= main and not node.noise
         up.kids.append(name)
         if not t[4].endswith("/"):
             stack.append(node)
     if at < len(page):
         buffer.append(html.unescape(page[at:]))
     flush()
-    return out, marked
+    _drop_forms(out)
+    return out
 
 
 def _hash(text: str) -> int:
@@ -143,8 +172,8 @@ def path_id(node: Node) -> int:
 
 
 def article(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text of a page without the branches in ``low``."""
-    found, marked = blocks(page)
+    """The main text of a page without the branches in ``low``. If article or main
+    elements hold at least half of its words, they are all of it."""
     ids: dict[tuple[str, ...], int] = {}
 
     def is_low(n: Node) -> bool:
@@ -154,8 +183,9 @@ def article(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
             ids[n.path] = path_id(n)
         return ids[n.path] in low
 
-    return "\n".join(text for text, over in found if not over[-1].noise and (over[-1].main or not marked)
-                     and not (low and any(is_low(n) for n in over)))
+    found = [(text, over) for text, over in blocks(page) if not over[-1].noise and not (low and any(is_low(n) for n in over))]
+    main = [(text, over) for text, over in found if over[-1].main]
+    return "\n".join(text for text, _ in (main if 2 * _words(main) >= _words(found) else found))
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +196,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for page in batch.column(1):
             found: dict[tuple[str, ...], tuple[Node, set[int]]] = {}
-            for text, over in blocks(page.as_py() or "")[0]:
+            for text, over in blocks(page.as_py() or ""):
                 if not over[-1].noise:
                     h = None
                     for n in over:

@@ -27,6 +27,20 @@ def test_article(page, text):
     assert article(page) == text
 
 
+STORY = "the story of the page stands in a div and is longer than its teaser"
+
+
+def test_a_teaser_does_not_stand_for_the_page():
+    assert article(f"<div class=x><p>{STORY}</p></div><div class=y><article>a teaser card</article></div>") == f"{STORY}\na teaser card"
+
+
+def test_a_form_around_the_page_stays():
+    page = f"<form method=post><input type=hidden name=__VIEWSTATE><input name=q><div><h1>Title</h1><p>{STORY}</p></div></form>"
+    assert article(page) == f"Title\n{STORY}"
+    assert article(f"<p>{STORY}</p><form><p>Your mail</p><input name=mail></form>") == STORY
+    assert article(f"<p>{STORY}</p><form><p>kept</p><input type=hidden></form>") == f"{STORY}\nkept"
+
+
 def site(n, notice="Members get free delivery this week"):
     """Pages whose frame no name tells: the same box on each, other text in the other box."""
     return [(i, f"http://shop.example/{i}", f"<div class='x1'>{notice}</div><div class='x2'><p>story {i} of {i * 7}</p><p>tail {i}</p></div>"
