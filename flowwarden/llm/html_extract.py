@@ -4,9 +4,12 @@ The element trees of all pages of a host are merged by path (tag, class and id
 from the body down). A node's content importance is one minus the mean entropy
 of its texts over the host's pages: 0 if every page shows the same texts, 1 if
 each shows its own. Its presentation importance is the entropy of its child
-sequences. Container branches that are low in both, on enough pages, are the
-site's frame and go from each page; so do elements whose name, role or class
-says that they aren't article text, which also serves hosts of few pages.
+sequences. Branches that are low in both, on enough pages, are the site's frame
+and go from each page; so does each text that most pages show at one place, though
+its neighbours vary. Pages of one text count once, and a page keeps such texts
+if little else would be left of it: copies of an article are no frame. Elements
+whose name, role or class says that they aren't article text go too, which also
+serves hosts of few pages.
 """
 
 from __future__ import annotations
@@ -26,6 +29,9 @@ from .tables import written
 LOW = 0.2
 #: and at least this many of its host's pages show it.
 MIN_PAGES = 10
+#: Elements other than containers, and single texts, stay on a page of which less
+#: than this percentage of words would be left.
+LEAST_PCT = 10
 
 # Element names and attribute words.
 RAW = "script style textarea title noscript template iframe svg math select object xmp"
@@ -34,6 +40,8 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
                   "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td "
                   "tfoot th thead tr ul".split())
 CONTAINER = frozenset("aside center details div dl fieldset figure ol section span table ul".split())
+#: Elements that can go as a whole. An article goes by its parts only.
+BRANCH = (BLOCK | CONTAINER) - {"html", "body", "article", "main"}
 NOISE = frozenset("aside button dialog fieldset footer header input label menu nav search head".split())
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb "
@@ -167,60 +175,88 @@ def _hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
+def _place(over: tuple[Node, ...]) -> Node:
+    """The element that a text belongs to: the innermost of the tree."""
+    return next((n for n in reversed(over) if n.tag in BRANCH or n.tag in ("article", "main")), over[0])
+
+
 def path_id(node: Node) -> int:
     return _hash("\n".join(node.path))
 
 
 def article(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text of a page without the branches in ``low``. If article or main
-    elements hold at least half of its words, they are all of it."""
-    ids: dict[tuple[str, ...], int] = {}
-
-    def is_low(n: Node) -> bool:
-        if n.tag not in CONTAINER:
-            return False
-        if n.path not in ids:
-            ids[n.path] = path_id(n)
-        return ids[n.path] in low
-
-    found = [(text, over) for text, over in blocks(page) if not over[-1].noise and not (low and any(is_low(n) for n in over))]
+    """The main text of a page without the branches and texts in ``low``. If article
+    or main elements hold at least half of its words, they are all of it."""
+    found = [(text, over) for text, over in blocks(page) if not over[-1].noise]
+    if low:
+        ids: dict[tuple[str, ...], int] = {}
+
+        def id_of(n: Node) -> int:
+            if n.path not in ids:
+                ids[n.path] = path_id(n)
+            return ids[n.path]
+
+        found = [(text, over) for text, over in found if not any(n.tag in CONTAINER and id_of(n) in low for n in over)]
+        rest = [(text, over) for text, over in found
+                if not any(n.tag in BRANCH and id_of(n) in low for n in over) and id_of(_place(over)) ^ _hash(text) not in low]
+        if 100 * _words(rest) >= LEAST_PCT * _words(found):
+            found = rest
     main = [(text, over) for text, over in found if over[-1].main]
     return "\n".join(text for text, _ in (main if 2 * _words(main) >= _words(found) else found))
 
 
+NODES = "page long, nodes array<struct<path:long,container:boolean,branch:boolean,style:long,texts:array<long>>>"
+
+
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each page its container nodes that hold text: path, child sequence and
-    texts, as hashes."""
-    kind = pa.list_(pa.struct([("path", pa.int64()), ("style", pa.int64()), ("texts", pa.list_(pa.int64()))]))
+    """For each page its nodes that hold text: path, child sequence and texts, as
+    hashes, and a hash of them all. Elements that don't go as a whole hold their
+    own texts only."""
+    kind = pa.list_(pa.struct([("path", pa.int64()), ("container", pa.bool_()), ("branch", pa.bool_()), ("style", pa.int64()), ("texts", pa.list_(pa.int64()))]))
     for batch in batches:
-        rows = []
+        pages, rows = [], []
         for page in batch.column(1):
             found: dict[tuple[str, ...], tuple[Node, set[int]]] = {}
             for text, over in blocks(page.as_py() or ""):
                 if not over[-1].noise:
-                    h = None
+                    h, place = _hash(text), _place(over)
                     for n in over:
-                        if n.tag in CONTAINER:
-                            h = _hash(text) if h is None else h
+                        if n.tag in BRANCH or n is place:
                             found.setdefault(n.path, (n, set()))[1].add(h)
-            rows.append([{"path": path_id(n), "style": _hash(" ".join(n.kids)), "texts": sorted(texts)} for n, texts in found.values()])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["host", "nodes"])
+            row = [{"path": path_id(n), "container": n.tag in CONTAINER, "branch": n.tag in BRANCH, "style": _hash(" ".join(n.kids)), "texts": sorted(texts)}
+                   for n, texts in found.values()]
+            pages.append(_hash(repr(sorted((n["path"], n["style"], n["texts"]) for n in row))))
+            rows.append(row)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages, pa.int64()), pa.array(rows, kind)], ["host", "page", "nodes"])
+
+
+def _tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, html) -> host, path, container, branch, pages, content, presentation of
+    each node; and host, path, text, n, pages of the texts that several pages show.
+    Pages of the same nodes count once."""
+    found = written(pages.mapInArrow(_nodes, f"host string, {NODES}").dropDuplicates(["host", "page"]), "page-nodes")
+    nodes = found.select("host", F.inline("nodes"))
+    kind = ["host", "path"]
+    in_pages = lambda n: F.when(F.col("pages") > 1, F.log(n) / F.log("pages")).otherwise(F.lit(0.0))
+    share = F.col("n") / F.col("pages")
+    of = nodes.groupBy(*kind, "style").agg(F.count(F.lit(1)).alias("n"), F.first("container").alias("container"), F.first("branch").alias("branch"))
+    pages_of = of.groupBy(*kind).agg(F.sum("n").alias("pages"))
+    texts = nodes.select(*kind, F.explode("texts").alias("text")).groupBy(*kind, "text").agg(F.count(F.lit(1)).alias("n"))
+    # a text of one page adds log(1) = 0: such texts are only counted
+    number = texts.groupBy(*kind).agg(F.count(F.lit(1)).alias("texts"))
+    often = texts.filter("n > 1").join(pages_of, kind)
+    content = (number.join(often.groupBy(*kind).agg(F.sum(in_pages(F.col("n"))).alias("entropy")), kind, "left")
+               .select(*kind, (1 - F.coalesce("entropy", F.lit(0.0)) / F.col("texts")).alias("content")))
+    style = (of.join(pages_of, kind).groupBy(*kind)
+             .agg(F.first("container").alias("container"), F.first("branch").alias("branch"), F.first("pages").alias("pages"),
+                  F.sum(-share * F.when(F.col("pages") > 1, F.log(share) / F.log("pages")).otherwise(F.lit(0.0))).alias("presentation")))
+    return style.join(content, kind), often.select(*kind, "text", "n", "pages", (1 - in_pages(F.col("n"))).alias("content"))
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """(host, html) -> host, path, pages, content, presentation: the importances
     of each container node of each host."""
-    found = written(pages.mapInArrow(_nodes, "host string, nodes array<struct<path:long,style:long,texts:array<long>>>"), "page-nodes")
-    nodes = found.select("host", F.inline("nodes"))
-    pages_of = nodes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"))
-    in_pages = lambda n: F.when(F.col("pages") > 1, F.log(n) / F.log("pages")).otherwise(F.lit(0.0))
-    content = (nodes.select("host", "path", F.explode("texts").alias("text")).groupBy("host", "path", "text").agg(F.count(F.lit(1)).alias("n"))
-               .join(pages_of, ["host", "path"]).groupBy("host", "path").agg((1 - F.avg(in_pages(F.col("n")))).alias("content")))
-    share = F.col("n") / F.col("pages")
-    style = (nodes.groupBy("host", "path", "style").agg(F.count(F.lit(1)).alias("n")).join(pages_of, ["host", "path"])
-             .groupBy("host", "path").agg(F.first("pages").alias("pages"), F.sum(-share * F.when(F.col("pages") > 1, F.log(share) / F.log("pages"))
-                                                                                .otherwise(F.lit(0.0))).alias("presentation")))
-    return style.join(content, ["host", "path"]).select("host", "path", "pages", "content", "presentation")
+    return _tree(pages)[0].filter("container").select("host", "path", "pages", "content", "presentation")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -234,8 +270,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     url = F.col(url_col).cast("string")
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
-    frame = (style_tree(p.select("host", "html")).filter((F.col("pages") >= min_pages) & (F.col("content") < low) & (F.col("presentation") < low))
-             .groupBy("host").agg(F.collect_set("path").alias("low")))  # the few templates of a host
+    nodes, texts = _tree(p.select("host", "html"))
+    branches = nodes.filter(F.col("branch") & (F.col("pages") >= min_pages) & (F.col("content") < low) & (F.col("presentation") < low)).select("host", "path")
+    single = texts.filter((F.col("n") >= min_pages) & (F.col("content") < low)).select("host", F.col("path").bitwiseXOR(F.col("text")).alias("path"))
+    frame = branches.unionByName(single).groupBy("host").agg(F.collect_set("path").alias("low"))  # the few templates of a host
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -61,6 +61,21 @@ def test_style_tree_removes_the_frame(spark):
     assert got[101].text == "" and got[101].url is None and got[102].text == "x" and got[103].text == "own" and got[104].text == ""
 
 
+def test_every_block_is_a_node(spark):
+    """A menu cell beside the article's, a constant item beside a varying one, and a
+    notice in a paragraph go; copies of an article stay."""
+    story = lambda i: " ".join(f"s{i}x{k}" for k in range(20))
+    page = lambda i, body: ("<table><tr><td><p>Home</p><p>Contact us</p></td><td><h1>Title {0}</h1><p>We use your data</p>{1}</td></tr></table>"
+                            "<ul><li>About</li><li>You are on page {0}</li></ul>").format(i, body)
+    rows = [(i, "http://t.example/", page(i, f"<p>{story(i)}</p>")) for i in range(40)]
+    rows += [(100 + i, "http://t.example/", page("same", f"<p>{story('same')}</p>")) for i in range(60)]  # one page often
+    rows += [(200 + i, "http://near.example/", f"<h1>Story</h1><p>{story('near')}</p><p>{story('near2')}</p><p>id{i}</p>") for i in range(30)]
+    got = {r.page_id: r.text for r in extract(rows_of(spark, rows)).collect()}
+    assert all(got[i] == f"Title {i}\n{story(i)}\nYou are on page {i}" for i in range(40))
+    assert {got[100 + i] for i in range(60)} == {f"Title same\n{story('same')}\nYou are on page same"}
+    assert all(got[200 + i] == f"Story\n{story('near')}\n{story('near2')}\nid{i}" for i in range(30))
+
+
 def test_importances(spark):
     t = style_tree(rows_of(spark, site(16)).select("host", "html")).collect()
     assert len(t) == 3 and {r.pages for r in t} == {16}
