@@ -71,15 +71,16 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inside = ~IS_SPACE[p.data] & ((p.data & 0xC0) != 0x80)
             dup, sets, lines = _line_stats(p)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(p.first, p.rows), batch.column(1).slice(p.first, p.rows)]
+                [batch.column(k).slice(p.first, p.rows) for k in (0, 1, 3)]
                 + [pa.array(np.asarray(x, np.int64)) for x in (
                     n_words, p.per_row(inside), p.per_row(SYMBOLS[p.data]), dup, run[bounds[1:]] - run[bounds[:-1]])]
                 + [pa.array(sets, pa.string()), pa.array(lines, line_type)],
-                ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_set", "lines"])
+                ["doc_id", "host", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_set", "lines"])
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-          min_line_docs: int = MIN_LINE_DOCS, line_docs_pct: float = LINE_DOCS_PCT, keep_pct: float = KEEP_PCT) -> DataFrame:
+          min_line_docs: int = MIN_LINE_DOCS, line_docs_pct: float = LINE_DOCS_PCT, keep_pct: float = KEEP_PCT,
+          key_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, the statistics, words_on_frequent_lines,
     base_failed, depleted, kept.
 
@@ -87,11 +88,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     of one document count once, so that copies don't turn its own lines into
     boilerplate; documents that differ in any line count each. A null text has no words and fails; a null host is a host
     of its own; rows with the same id are judged each for itself; an empty table
-    gives no rows. Other columns are not read."""
+    gives no rows. ``key_col``, if given, is a string that each row carries to its
+    verdict as ``key``; other columns are not read."""
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"),
-                    F.col(text_col).cast("string").alias("text"))
-    t = d.mapInArrow(_statistics, f"doc_id long, host string, {STATS}, {LINES}")
+                    F.col(text_col).cast("string").alias("text"), (F.col(key_col) if key_col else F.lit(None)).cast("string").alias("key"))
+    t = d.mapInArrow(_statistics, f"doc_id long, host string, key string, {STATS}, {LINES}")
     t = written(t.withColumn("row", F.monotonically_increasing_id()), "line-stats")
     t = t.withColumn("host", F.coalesce(F.concat(F.lit("="), "host"), F.lit("")))
     lines = t.select("row", "host", "line_set", F.inline("lines"))
@@ -105,4 +107,4 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     depleted = (F.col("n_words") - F.col("gone")) * 100 < keep_pct * F.col("n_words")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       F.col("gone").alias("words_on_frequent_lines"), failed.alias("base_failed"), depleted.alias("depleted"),
-                      (~failed & ~depleted).alias("kept"))
+                      (~failed & ~depleted).alias("kept"), *(["key"] if key_col else []))

@@ -73,3 +73,16 @@ def test_packing_stage_and_run(spark, stages):
     for got in (rows[5], P.run(spark, d).collect()):
         assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=repr) == piece_rows([(r.doc_id, r.text) for r in rows[4]])
         check_sequences(got)
+
+
+def test_each_row_by_its_own_text(spark, make):
+    """Rows that share an id, or have none, neither fall nor stay together."""
+    words = lambda k: " ".join(f"{k}w{j}" for j in range(40))
+    rows = [(None, words("a"), "en", "s"), (None, None, "en", "s"), (1, words("b"), "en", "s"), (1, "too short", "en", "s"),
+            (2, words("c"), "en", "s"), (3, words("c"), "en", "s"), (3, words("d"), "en", "s"), (4, words("e"), "en", "s"), (4, words("e"), "en", "s")]
+    good = P.quality(spark, make(rows), "")
+    ids = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    assert ids(good) == sorted(((r[0], r[1]) for r in rows if r[1] and len(r[1]) > 20), key=repr)
+    want = [(None, words("a")), (1, words("b")), (2, words("c")), (3, words("d")), (4, words("e"))]
+    left = P.near_duplicates(spark, good, "")
+    assert ids(left) == sorted(want, key=repr) and left.columns == good.columns
