@@ -82,6 +82,21 @@ def test_tune_forest_small_grid(spark):
     assert len(cv.avgMetrics) == 2 and max(cv.avgMetrics) > 0.8
 
 
+def test_tune_forest_query_has_the_full_grid(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from flowwarden.plans import q_ml
+
+    def fit(self, df):
+        return SimpleNamespace(avgMetrics=[0.5] * len(self.getEstimatorParamMaps()), getEstimator=self.getEstimator,
+                               getEstimatorParamMaps=self.getEstimatorParamMaps)
+
+    monkeypatch.setattr(G.CrossValidator, "fit", fit)
+    rows = q_ml.tune_forest_q(spark, MEDIUM).collect()
+    points = {(r.num_trees, r.max_depth, r.min_instances, r.min_info_gain) for r in rows}
+    assert len(rows) == len(points) == 81 and {r.num_trees for r in rows} == {50, 100, 200} and {r.max_depth for r in rows} == {10, 20, 30}
+
+
 def _gaps(spark):
     from flowwarden.sources.tables import flows_with_gaps
     g = B.standardize_labels(flows_with_gaps(read_flows(spark, MEDIUM)), "label_raw", out="label")
