@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_extract, language_id, mixing, ngram_join, packing, quality_fm, quality_rules, substring_dedup, suffix_dedup
+from . import byte_bpe, collocations, embedding_dedup, filter_audit, html_extract, language_id, mixing, ngram_join, packing, quality_fm, quality_rules, substring_dedup, suffix_dedup
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,50 @@ FROM comp LEFT JOIN links USING (vec_id)
 """
 
 
+PHRASES_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+t AS (SELECT lang, CAST(sum(len(ws)) AS HUGEINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, unnest(range(1, 6)) AS r(m)),
+f AS (SELECT lang, list_slice(ws, i, i + m - 1) AS ph, m, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, ph, m, f AS a, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+s AS (SELECT c.lang, c.ph, c.a, c.k, x.f AS l, y.f AS r, t.n, (1000 * c.a * t.n) // (x.f * y.f) AS score FROM c
+  JOIN f x ON x.lang = c.lang AND x.ph = list_slice(c.ph, 1, k) JOIN f y ON y.lang = c.lang AND y.ph = list_slice(c.ph, k + 1, c.m) JOIN t ON t.lang = c.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
+q AS (SELECT lang, ph, m, f, unnest(range(2, m)) AS j FROM f WHERE m > 2),
+inside AS (SELECT lang, list_slice(ph, i, i + j - 1) AS ph, max(f) AS longer FROM (SELECT *, unnest(range(1, m - j + 2)) AS i FROM q) GROUP BY ALL),
+o AS (SELECT b.lang, array_to_string(b.ph, ' ') AS phrase, a, l, r, n, score FROM b LEFT JOIN inside ON inside.lang = b.lang AND inside.ph = b.ph
+  WHERE coalesce(100 * longer < 100 * a, true))
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+  CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o) WHERE rank <= 2000
+"""
+
+AUDIT_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {WORDS_SQL} AS ws FROM documents),
+m AS (SELECT doc_id, part, list_value(len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+    regexp_matches(text, '[#$%&*|]'), coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false)) AS fails FROM d),
+lab AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(CASE WHEN good THEN 1 END) AS good, count(CASE WHEN toxic THEN 1 END) AS toxic
+  FROM m LEFT JOIN lab USING (doc_id) GROUP BY part, fails),
+letters AS (SELECT unnest(range(1, 6)) AS v),
+o AS (SELECT [a.v, b.v, c.v, d.v, e.v] AS f FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.v, b.v, c.v, d.v, e.v])) = 5),
+st AS (SELECT f, array_to_string(list_transform(f, lambda x: substr('ABCDE', x, 1)), '') AS filter_order, unnest(range(1, 6)) AS step FROM o),
+r AS (SELECT c.*, st.filter_order, st.step, st.f[st.step] AS filter, fails[st.f[st.step]] AS here,
+    list_bool_or(list_transform(list_slice(st.f, 1, st.step - 1), lambda x: fails[x])) AS before FROM c, st),
+t AS (SELECT part, filter_order, step, filter,
+    sum(CASE WHEN NOT here AND NOT coalesce(before, false) THEN n ELSE 0 END) AS kept, sum(CASE WHEN here AND NOT coalesce(before, false) THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN here AND before THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN here AND len(list_filter(fails, lambda x: x)) = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN here AND NOT coalesce(before, false) THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN here AND NOT coalesce(before, false) THEN toxic ELSE 0 END) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM t
+"""
+
+
 @register("op1_suffix_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that repeat a smaller document, per document."""
@@ -153,3 +197,24 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_fm.fit(docs.join(labels, F.col("doc_id") == F.col("id")))
     out = quality_fm.score(docs, model)
     return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@register("op11_collocations", PHRASES_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of every language."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+@register("op12_byte_bpe")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and their bytes."""
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), offsets=False)
+    d = byte_bpe.decode(ids)
+    return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+                    F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register("op13_filter_audit", AUDIT_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each source in every order."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
