@@ -65,30 +65,32 @@ def _bytes(batch: pa.RecordBatch) -> list[bytes]:
     return batch.column(1).cast(pa.large_binary()).fill_null(b"").to_pylist()
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the distinct texts of a batch and of their prefixes."""
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    for batch in batches:
-        texts = set(_bytes(batch))
-        rows = [(_hash(t), len(t), [_hash(t[:d]) for d in DEPTHS]) for t in texts]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 3, kinds)], ["text", "bytes", "prefixes"])
+def _prefixes(depths: tuple[int, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hashes of the distinct texts of a batch and of their prefixes."""
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        for batch in batches:
+            texts = set(_bytes(batch))
+            rows = [(_hash(t), len(t), [_hash(t[:d]) for d in depths]) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 3, kinds)], ["text", "bytes", "prefixes"])
+    return run
 
 
 def _hash(b: bytes) -> int:
     return int.from_bytes(md5(b).digest()[:8], "little", signed=True)
 
 
-def heavy_prefixes(docs: DataFrame) -> tuple[list[set[int]], int]:
+def heavy_prefixes(docs: DataFrame, depths: tuple[int, ...] = DEPTHS) -> tuple[list[set[int]], int]:
     """Hashes of the prefixes of each depth that weigh more than a range should, and
     the number of ranges. Weights are bytes of distinct texts; as the weights of one
     depth add up to all bytes, no depth has more heavy prefixes than there are ranges."""
     spark = docs.sparkSession
-    t = docs.mapInArrow(_prefixes, "text long, bytes long, prefixes array<long>")
+    t = docs.mapInArrow(_prefixes(depths), "text long, bytes long, prefixes array<long>")
     t = written(t.groupBy("text").agg(F.first("bytes").alias("bytes"), F.first("prefixes").alias("prefixes")), "text-prefixes")
     total = t.agg(F.sum("bytes")).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
     weights = t.select(F.posexplode("prefixes").alias("depth", "prefix"), "bytes").groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes"))
-    heavy = [set() for _ in DEPTHS]
+    heavy = [set() for _ in depths]
     for r in weights.filter(F.col("bytes") > total / ranges).collect():
         heavy[r.depth].add(r.prefix)
     return heavy, ranges
@@ -156,11 +158,11 @@ def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _closed(trie.closed)
 
 
-def first_holders(docs: DataFrame) -> DataFrame:
+def first_holders(docs: DataFrame, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
     """(doc_id, key) for every distinct text of rows (doc_id, text) with an id: the
     least id that holds it, and the text's digest."""
     docs = docs.filter("doc_id IS NOT NULL")
-    heavy, ranges = heavy_prefixes(docs)
+    heavy, ranges = heavy_prefixes(docs, depths)
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The texts of a batch once, with their least ids and prefix lengths."""
@@ -172,9 +174,9 @@ def first_holders(docs: DataFrame) -> DataFrame:
             depth = []
             for text in least:
                 k = 0
-                while k < len(DEPTHS) and heavy[k] and _hash(text[:DEPTHS[k]]) in heavy[k]:
+                while k < len(depths) and heavy[k] and _hash(text[:depths[k]]) in heavy[k]:
                     k += 1
-                depth.append(DEPTHS[k] if k < len(DEPTHS) else len(text))
+                depth.append(depths[k] if k < len(depths) else len(text))
             yield pa.RecordBatch.from_arrays([pa.array(least.values(), pa.int64()), pa.array(least, pa.binary()), pa.array(depth, pa.int32())],
                                              ["doc_id", "text", "depth"])
 
@@ -183,12 +185,12 @@ def first_holders(docs: DataFrame) -> DataFrame:
     return t.select("doc_id", "text").mapInArrow(_tries, "doc_id long, key binary")
 
 
-def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
+def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source", depths: tuple[int, ...] = DEPTHS) -> DataFrame:
     """doc_id, part and mask (bit k: the text fails filter k of ``FILTERS``) of every row."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"),
                     F.col(text_col).cast("string").alias("text"))
     alone = d.mapInArrow(_marks, "doc_id long, part string, mask int, key binary")
-    first = first_holders(d.select("doc_id", "text")).withColumn("first", F.lit(True))
+    first = first_holders(d.select("doc_id", "text"), depths).withColumn("first", F.lit(True))
     out = alone.join(first, ["doc_id", "key"], "left")
     copy = F.col("first").isNull() & F.col("doc_id").isNotNull()
     return out.select("doc_id", "part", (F.col("mask") + F.when(copy, 16).otherwise(0)).alias("mask"))
@@ -227,7 +229,7 @@ def _reduce(t: pa.Table) -> pa.Table:
 
 
 def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source",
-          good: Column | None = None, toxic: Column | None = None) -> DataFrame:
+          good: Column | None = None, toxic: Column | None = None, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
     """One row per part, order of the filters and step: documents kept after the
     step, removed in it, redundant (they fail its filter but went before), failing
     its filter only, good and toxic ones removed in it, and the filter's removed
@@ -242,7 +244,7 @@ def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     toxic = F.col("toxic") == 1 if toxic is None else toxic
     flags = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(good, F.lit(False)).alias("good"), F.coalesce(toxic, F.lit(False)).alias("toxic"))
              .filter("doc_id IS NOT NULL AND (good OR toxic)").groupBy("doc_id").agg(F.max("good").alias("good"), F.max("toxic").alias("toxic")))
-    found = masks(docs, id_col, text_col, part_col).join(flags, "doc_id", "left")
+    found = masks(docs, id_col, text_col, part_col, depths).join(flags, "doc_id", "left")
     counts = found.groupBy("part", "mask").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("good"), 1)).alias("good"),
                                                F.count(F.when(F.col("toxic"), 1)).alias("toxic"))
     return counts.groupBy("part").applyInArrow(_reduce, AUDIT)
