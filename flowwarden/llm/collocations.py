@@ -29,9 +29,11 @@ INSIDE_PCT = 100
 TOP = 2000
 NO_LANG = "und"
 #: Text in which equal suffixes are counted before they travel.
-CHUNK_BYTES = 1 << 24
+CHUNK_BYTES = 1 << 23
+#: Suffixes of a chunk that are kept in one row.
+ROW_SUFFIXES = 200_000
 #: Suffixes in a cell, and in a prefix that need not be dealt out by more words.
-CELL_SUFFIXES = 1_000_000
+CELL_SUFFIXES = 500_000
 PREFIX_SUFFIXES = CELL_SUFFIXES // 4
 
 BLANK, STOP = np.zeros(256, bool), np.zeros(256, bool)
@@ -49,7 +51,7 @@ def _pack(x: np.ndarray) -> bytes:
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
+    return np.frombuffer(b, f"<u{b[0]}", offset=1)
 
 
 def _words(piece: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
@@ -70,20 +72,21 @@ def _words(piece: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array,
     stops = np.concatenate([[0], np.cumsum(STOP[data])])
     goes_on = np.zeros(len(s), bool)
     goes_on[:-1] = (row[1:] == row[:-1]) & (stops[s[1:]] == stops[e[:-1]])
-    return row, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1, goes_on, coded.dictionary.cast(pa.binary())
+    return row, coded.indices.to_numpy(zero_copy_only=False) + 1, goes_on, coded.dictionary.cast(pa.binary())
 
 
 def _suffixes(ids: np.ndarray, goes_on: np.ndarray, lang: np.ndarray, max_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct suffixes (a row of ids each, 0 behind the end), their languages and counts."""
     n = len(ids)
     number, groups = pd.factorize(lang)
+    most = int(ids.max(initial=0)) + 1
     follows = np.ones(n, bool)
     columns = []
     for k in range(max_words):
-        at, left = np.zeros(n, np.int64), max(n - k, 0)
+        at, left = np.zeros(n, np.int32), max(n - k, 0)
         at[:left] = ids[k:] * follows[:left]
         columns.append(at)
-        number, groups = pd.factorize(number * (int(ids.max(initial=0)) + 1) + at)
+        number, groups = pd.factorize(number * most + at)
         follows[:left] &= goes_on[k:]
         follows[left:] = False
     first = np.zeros(len(groups), np.int64)
@@ -100,10 +103,28 @@ def _counted(max_words: int):
                 row, ids, goes_on, words = _words(p)
                 if len(ids):
                     suffix, lang, n = _suffixes(ids, goes_on, code[p.first + row], max_words)
-                    yield _packed([(names, words, lang, suffix, n)])
+                    parts = -(-len(n) // ROW_SUFFIXES)
+                    for _, r in _split(names, words, lang, suffix, n, _share(_prefix_hashes(names, words, lang, suffix[:, :1])[:, 0], parts)):
+                        yield _packed([r])
     return run
 
 
+def _share(h: np.ndarray, parts: int) -> np.ndarray:
+    """Number of the part that a hash falls to: parts follow one another in the order
+    of hashes, so that more parts are parts of fewer ones."""
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _split(langs: list[str], words: pa.Array, lang: np.ndarray, suffix: np.ndarray, n: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, tuple]]:
+    """The suffixes of each part with the words that they use."""
+    order = np.argsort(part, kind="stable")
+    ends = np.flatnonzero(np.concatenate([part[order][1:] != part[order][:-1], [True]])) + 1
+    for lo, hi in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
+        own = order[lo:hi]
+        ids, used = pd.factorize(np.concatenate([np.zeros(1, suffix.dtype), suffix[own].ravel()]))
+        yield int(part[own[0]]), (langs, words.take(pa.array(used[1:].astype(np.int64) - 1)), lang[own], ids[1:], n[own])
+
+
 def _packed(rows: list, cells: list[int] | None = None) -> pa.RecordBatch:
     bounds = np.concatenate([[0], np.cumsum([len(r[1]) for r in rows])]).astype(np.int32)
     cols = [pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array(bounds), pa.concat_arrays([r[1] for r in rows])),
@@ -179,17 +200,12 @@ def _dealt(max_words: int, hot: list[np.ndarray], cells: int):
                 h = _prefix_hashes(langs, words, lang, suffix)
                 length = (suffix > 0).sum(1)
                 by = np.minimum(np.minimum(_depths(h, suffix, hot), length), max_words)
-                cell = (h[np.arange(len(h)), by - 1] % np.uint64(cells)).astype(np.int64)
-                order = np.argsort(cell, kind="stable")
-                ends = np.flatnonzero(np.concatenate([cell[order][1:] != cell[order][:-1], [True]])) + 1
                 rows, numbers, size = [], [], 0
-                for lo, hi in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
-                    own = order[lo:hi]
-                    ids, used = pd.factorize(np.concatenate([[0], suffix[own].ravel()]))
-                    rows.append((langs, words.take(pa.array(used[1:] - 1)), lang[own], ids[1:], n[own]))
-                    numbers.append(int(cell[own[0]]))
-                    size += hi - lo
-                    if size > 1 << 18:
+                for cell, r in _split(langs, words, lang, suffix, n, _share(h[np.arange(len(h)), by - 1], cells)):
+                    rows.append(r)
+                    numbers.append(cell)
+                    size += len(r[2])
+                    if size > ROW_SUFFIXES:
                         yield _packed(rows, numbers)
                         rows, numbers, size = [], [], 0
                 if rows:
@@ -213,7 +229,7 @@ def three_way(suffix: np.ndarray, weight: np.ndarray, depth: np.ndarray, least:
     last = suffix.shape[1] - 1
     while len(pointer):
         at = column[part]
-        key = suffix[pointer, at]
+        key = suffix[pointer, at].astype(np.int64)
         pivot = np.zeros((3, len(column)), np.int64)
         pivot[0, part], pivot[1, part[::-1]] = key, key[::-1]
         middle = len(part) // 2
@@ -250,16 +266,16 @@ def _cell(max_words: int, least: int, hot: list[np.ndarray]):
         words = pa.concat_arrays([p[1].cast(pa.large_binary()) for p in parts]).dictionary_encode()
         langs = sorted({x for p in parts for x in p[0]})
         nth = {x: k for k, x in enumerate(langs)}
-        code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        code = words.indices.to_numpy(zero_copy_only=False).astype(np.int32) + 1
         ends = np.cumsum([len(p[1]) for p in parts])
-        suffix = np.concatenate([np.concatenate([[0], code[e - len(p[1]):e]])[p[3]] for p, e in zip(parts, ends)])
-        lang = np.concatenate([np.array([nth[x] for x in p[0]], np.int64)[p[2]] for p in parts])
+        suffix = np.concatenate([np.concatenate([np.zeros(1, np.int32), code[e - len(p[1]):e]])[p[3]] for p, e in zip(parts, ends)])
+        lang = np.concatenate([np.array([nth[x] for x in p[0]], np.int32)[p[2]] for p in parts])
         weight = np.concatenate([p[4] for p in parts])
         depth = np.ones(len(suffix), np.int64)
         if any(map(len, hot)):
             depth = _depths(_prefix_hashes(langs, words.dictionary, lang, suffix), suffix, hot)
         full = np.concatenate([lang[:, None] + 1, suffix], 1)
-        row, size, count = three_way(full.astype(np.int32), weight, depth, least)
+        row, size, count = three_way(full, weight, depth, least)
         text = words.dictionary
         out = [b" ".join(text.take(pa.array(suffix[r, :k] - 1)).to_pylist()) for r, k in zip(row.tolist(), size.tolist())]
         return pa.Table.from_arrays([pa.array([langs[k] for k in lang[row].tolist()], pa.string()), pa.array(out, pa.binary()).cast(pa.string()),
