@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .tables import written
 from .text import BYTES, LOWER, SYMBOL, Slice, mix, slices
 
@@ -30,8 +31,8 @@ TOP = 2000
 NO_LANG = "und"
 #: Text in which equal suffixes are counted before they travel.
 CHUNK_BYTES = 1 << 23
-#: Suffixes of a chunk that are kept in one row.
-ROW_SUFFIXES = 200_000
+#: Suffixes of a chunk that are kept in one row, so that ids mostly take two bytes.
+ROW_SUFFIXES = 32_000
 #: Suffixes in a cell, and in a prefix that need not be dealt out by more words.
 CELL_SUFFIXES = 500_000
 PREFIX_SUFFIXES = CELL_SUFFIXES // 4
@@ -69,9 +70,9 @@ def _words(piece: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array,
     column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
     coded = column.dictionary_encode()
     row = np.searchsorted(piece.off, s, "right") - 1
-    stops = np.concatenate([[0], np.cumsum(STOP[data])])
+    stops = np.flatnonzero(STOP[data])
     goes_on = np.zeros(len(s), bool)
-    goes_on[:-1] = (row[1:] == row[:-1]) & (stops[s[1:]] == stops[e[:-1]])
+    goes_on[:-1] = (row[1:] == row[:-1]) & (np.searchsorted(stops, s[1:]) == np.searchsorted(stops, e[:-1]))
     return row, coded.indices.to_numpy(zero_copy_only=False) + 1, goes_on, coded.dictionary.cast(pa.binary())
 
 
@@ -205,7 +206,7 @@ def _dealt(max_words: int, hot: list[np.ndarray], cells: int):
                     rows.append(r)
                     numbers.append(cell)
                     size += len(r[2])
-                    if size > ROW_SUFFIXES:
+                    if size >= ROW_SUFFIXES:
                         yield _packed(rows, numbers)
                         rows, numbers, size = [], [], 0
                 if rows:
@@ -299,7 +300,8 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     or more in a language (lang, phrase, words, f), and all words of each (lang, n)."""
     spark = docs.sparkSession
     d = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    chunks = written(d.mapInArrow(_counted(max_words), PACKED), "suffixes")
+    # rows of a checkpoint are read one by one; a column reader would hold a whole row group of them
+    chunks = cut_lineage(d.mapInArrow(_counted(max_words), PACKED))
     # a prefix above the limit has half of it in chunks that hold at least this many
     least = max(1, prefix_suffixes // (2 * max(1, chunks.count())))
     loads = written(chunks.mapInArrow(_loads(max_words, least), LOADS), "suffix-loads")
