@@ -1,9 +1,11 @@
 """Phrase collocation mining by sorting suffix pointers.
 
-A suffix is up to ``max_words`` words from a place in a piece of text. Tasks that
-read text count equal suffixes of their part. Suffixes are then dealt out by
-their leading words: by one word, or by as many as it takes to leave no prefix
-with more suffixes than a cell should get. In a cell, a multikey three-way
+A suffix is up to ``max_words`` words from a place in a piece of text. Leading words
+are counted first, over all text: suffixes of words below the least count are
+abandoned, and the others end before the first such word. Tasks that read text count
+equal suffixes of their part. Suffixes are then dealt out by their leading words: by
+one word, or by as many as it takes to leave no prefix with more suffixes than a
+cell should get. In a cell, a multikey three-way
 quicksort partitions the suffix pointers by one word after another, all
 partitions of a round at once: the size of an equal partition is the count of its
 phrase, and partitions below the least count are abandoned.
@@ -33,6 +35,9 @@ NO_LANG = "und"
 CHUNK_BYTES = 1 << 23
 #: Suffixes of a chunk that are kept in one row, so that ids mostly take two bytes.
 ROW_SUFFIXES = 32_000
+#: Bits that say which words occur often enough. Words of the same bit pass together,
+#: so that the table has this size whatever the vocabulary; counts don't depend on it.
+WORD_BITS = 1 << 25
 #: Suffixes in a cell, and in a prefix that need not be dealt out by more words.
 CELL_SUFFIXES = 500_000
 PREFIX_SUFFIXES = CELL_SUFFIXES // 4
@@ -95,21 +100,53 @@ def _suffixes(ids: np.ndarray, goes_on: np.ndarray, lang: np.ndarray, max_words:
     return np.stack([c[first] for c in columns], 1), lang[first], np.bincount(number, minlength=len(groups))
 
 
-def _counted(max_words: int):
+def _read(batches: Iterator[pa.RecordBatch]):
+    """Words of every chunk with their languages: as ``_words`` gives them."""
+    for batch in batches:
+        langs = batch.column(0).dictionary_encode()
+        code, names = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64), langs.dictionary.to_pylist()
+        for p in slices(batch.column(1), CHUNK_BYTES):
+            row, ids, goes_on, words = _words(p)
+            if len(ids):
+                yield names, code[p.first + row], ids, goes_on, words
+
+
+def _leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the words of a chunk by language and word, and by language."""
+    kinds = (pa.string(), pa.int64(), pa.int64())
+    for names, lang, ids, _, words in _read(batches):
+        pairs, groups = pd.factorize(lang * (len(words) + 1) + ids)
+        n = np.bincount(pairs, minlength=len(groups))
+        own, word = np.divmod(groups, len(words) + 1)
+        h = _prefix_hashes(names, words, own, word[:, None])[:, 0].view(np.int64)
+        total = np.bincount(lang, minlength=len(names))
+        cols = ([None] * len(n) + names, h.tolist() + [None] * len(names), np.concatenate([n, total]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["lang", "prefix", "n"])
+
+
+def _counted(max_words: int, often: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = batch.column(0).dictionary_encode()
-            code, names = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64), langs.dictionary.to_pylist()
-            for p in slices(batch.column(1), CHUNK_BYTES):
-                row, ids, goes_on, words = _words(p)
-                if len(ids):
-                    suffix, lang, n = _suffixes(ids, goes_on, code[p.first + row], max_words)
-                    parts = -(-len(n) // ROW_SUFFIXES)
-                    for _, r in _split(names, words, lang, suffix, n, _share(_prefix_hashes(names, words, lang, suffix[:, :1])[:, 0], parts)):
-                        yield _packed([r])
+        for names, lang, ids, goes_on, words in _read(batches):
+            pairs, groups = pd.factorize(lang * (len(words) + 1) + ids)
+            own, word = np.divmod(groups, len(words) + 1)
+            slot = _slot(_prefix_hashes(names, words, own, word[:, None])[:, 0])
+            good = ((often[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0)[pairs]
+            goes_on[:-1] &= good[1:]
+            kept = np.flatnonzero(good)
+            if not len(kept):
+                continue
+            # a word that stays is followed by one that stays wherever its piece goes on
+            suffix, lang, n = _suffixes(ids[kept], goes_on[kept], lang[kept], max_words)
+            parts = -(-len(n) // ROW_SUFFIXES)
+            for _, r in _split(names, words, lang, suffix, n, _share(_prefix_hashes(names, words, lang, suffix[:, :1])[:, 0], parts)):
+                yield _packed([r])
     return run
 
 
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h.view(np.uint64) & np.uint64(WORD_BITS - 1)).astype(np.int64)
+
+
 def _share(h: np.ndarray, parts: int) -> np.ndarray:
     """Number of the part that a hash falls to: parts follow one another in the order
     of hashes, so that more parts are parts of fewer ones."""
@@ -156,29 +193,26 @@ def _prefix_hashes(langs: list[str], words: pa.Array, lang: np.ndarray, suffix:
     return np.stack(out, 1)
 
 
-LOADS = "words int, lang string, prefix long, suffixes long, n long"
+LOADS = "words int, prefix long, suffixes long"
 
 
 def _loads(max_words: int, least: int):
-    """Suffixes and words of a chunk by language, and suffixes by prefix, where a
-    chunk has at least ``least`` of them."""
+    """Suffixes of a chunk, and by prefix, where there are at least ``least``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 langs, words, lang, suffix, n = _unpacked(batch, k, max_words)
                 h = _prefix_hashes(langs, words, lang, suffix)
-                there = np.bincount(lang, minlength=len(langs))
-                total = np.bincount(lang, n, minlength=len(langs)).astype(np.int64)
-                rows = [(0, name, 0, int(a), int(b)) for name, a, b in zip(langs, there, total) if a]
+                rows = [(0, 0, len(h))]
                 left = np.arange(len(h))
                 for m in range(1, max_words):
                     left = left[suffix[left, m - 1] > 0]
                     number, prefixes = pd.factorize(h[left, m - 1])
                     count = np.bincount(number, minlength=len(prefixes))
-                    rows += [(m, None, int(p), int(c), 0) for p, c in zip(prefixes[count >= least].view(np.int64), count[count >= least])]
+                    rows += [(m, int(p), int(c)) for p, c in zip(prefixes[count >= least].view(np.int64), count[count >= least])]
                     left = left[count[number] >= least]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                    list(zip(*rows)) or [()] * 5, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], [c.split()[0] for c in LOADS.split(", ")])
+                    list(zip(*rows)), (pa.int32(), pa.int64(), pa.int64()))], [c.split()[0] for c in LOADS.split(", ")])
     return run
 
 
@@ -300,8 +334,16 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     or more in a language (lang, phrase, words, f), and all words of each (lang, n)."""
     spark = docs.sparkSession
     d = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    words = d.mapInArrow(_leading, "lang string, prefix long, n long").groupBy("lang", "prefix").agg(F.sum("n").alias("n"))
+    words = written(words.filter(F.col("prefix").isNull() | (F.col("n") >= min_count)), "leading-words")
+    slot = F.col("prefix").bitwiseAND(F.lit(WORD_BITS - 1))
+    bits = words.filter("prefix IS NOT NULL").groupBy((F.shiftright(slot, 15)).alias("block")).agg(
+        F.bitmap_construct_agg(slot.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
+    often = np.zeros(WORD_BITS >> 3, np.uint8)
+    for r in bits.collect():  # at most WORD_BITS bits in all
+        often[r.block << 12:(r.block + 1) << 12] = np.frombuffer(r.bits, np.uint8)
     # rows of a checkpoint are read one by one; a column reader would hold a whole row group of them
-    chunks = cut_lineage(d.mapInArrow(_counted(max_words), PACKED))
+    chunks = cut_lineage(d.mapInArrow(_counted(max_words, often), PACKED))
     # a prefix above the limit has half of it in chunks that hold at least this many
     least = max(1, prefix_suffixes // (2 * max(1, chunks.count())))
     loads = written(chunks.mapInArrow(_loads(max_words, least), LOADS), "suffix-loads")
@@ -313,8 +355,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     dealt = chunks.mapInArrow(_dealt(max_words, hot, cells), f"cell long, {PACKED}")
     found = dealt.groupBy("cell").applyInArrow(_cell(max_words, min_count, hot), PHRASES)
     found = found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= min_count)
-    words = loads.filter("words = 0").groupBy("lang").agg(F.sum("n").alias("n"))
-    return written(found, "phrases"), words
+    return written(found, "phrases"), words.filter("prefix IS NULL").select("lang", "n")
 
 
 def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, min_count: int = MIN_COUNT,
