@@ -32,14 +32,14 @@ INSIDE_PCT = 100
 TOP = 2000
 NO_LANG = "und"
 #: Text in which equal suffixes are counted before they travel.
-CHUNK_BYTES = 1 << 23
+CHUNK_BYTES = 1 << 21
 #: Suffixes of a chunk that are kept in one row, so that ids mostly take two bytes.
 ROW_SUFFIXES = 32_000
 #: Bits that say which words occur often enough. Words of the same bit pass together,
 #: so that the table has this size whatever the vocabulary; counts don't depend on it.
 WORD_BITS = 1 << 25
 #: Suffixes in a cell, and in a prefix that need not be dealt out by more words.
-CELL_SUFFIXES = 500_000
+CELL_SUFFIXES = 250_000
 PREFIX_SUFFIXES = CELL_SUFFIXES // 4
 
 BLANK, STOP = np.zeros(256, bool), np.zeros(256, bool)
