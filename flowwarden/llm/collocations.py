@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from .tables import written
 from .text import BYTES, LOWER, SYMBOL, Slice, mix, slices
 
@@ -33,8 +32,8 @@ TOP = 2000
 NO_LANG = "und"
 #: Text in which equal suffixes are counted before they travel.
 CHUNK_BYTES = 1 << 21
-#: Suffixes of a chunk that are kept in one row, so that ids mostly take two bytes.
-ROW_SUFFIXES = 32_000
+#: Suffixes that leave a task together.
+BATCH_SUFFIXES = 32_000
 #: Bits that say which words occur often enough. Words of the same bit pass together,
 #: so that the table has this size whatever the vocabulary; counts don't depend on it.
 WORD_BITS = 1 << 25
@@ -47,7 +46,7 @@ BLANK[[0x20, 0x09]] = True
 STOP[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
 
-PACKED = "langs array<string>, words array<binary>, lang binary, suffix binary, n binary"
+PACKED = "cell long, langs array<string>, words binary, sizes binary, lang binary, suffix binary, n binary"
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -124,23 +123,19 @@ def _leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["lang", "prefix", "n"])
 
 
-def _counted(max_words: int, often: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for names, lang, ids, goes_on, words in _read(batches):
-            pairs, groups = pd.factorize(lang * (len(words) + 1) + ids)
-            own, word = np.divmod(groups, len(words) + 1)
-            slot = _slot(_prefix_hashes(names, words, own, word[:, None])[:, 0])
-            good = ((often[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0)[pairs]
-            goes_on[:-1] &= good[1:]
-            kept = np.flatnonzero(good)
-            if not len(kept):
-                continue
+def _counted(batches: Iterator[pa.RecordBatch], max_words: int, often: np.ndarray):
+    """Distinct suffixes of every chunk, with their languages, counts and prefix hashes."""
+    for names, lang, ids, goes_on, words in _read(batches):
+        pairs, groups = pd.factorize(lang * (len(words) + 1) + ids)
+        own, word = np.divmod(groups, len(words) + 1)
+        slot = _slot(_prefix_hashes(names, words, own, word[:, None])[:, 0])
+        good = ((often[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0)[pairs]
+        goes_on[:-1] &= good[1:]
+        kept = np.flatnonzero(good)
+        if len(kept):
             # a word that stays is followed by one that stays wherever its piece goes on
-            suffix, lang, n = _suffixes(ids[kept], goes_on[kept], lang[kept], max_words)
-            parts = -(-len(n) // ROW_SUFFIXES)
-            for _, r in _split(names, words, lang, suffix, n, _share(_prefix_hashes(names, words, lang, suffix[:, :1])[:, 0], parts)):
-                yield _packed([r])
-    return run
+            suffix, own, n = _suffixes(ids[kept], goes_on[kept], lang[kept], max_words)
+            yield names, words, own, suffix, n, _prefix_hashes(names, words, own, suffix)
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -148,8 +143,7 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 
 def _share(h: np.ndarray, parts: int) -> np.ndarray:
-    """Number of the part that a hash falls to: parts follow one another in the order
-    of hashes, so that more parts are parts of fewer ones."""
+    """Number of the part that a hash falls to."""
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
@@ -163,24 +157,33 @@ def _split(langs: list[str], words: pa.Array, lang: np.ndarray, suffix: np.ndarr
         yield int(part[own[0]]), (langs, words.take(pa.array(used[1:].astype(np.int64) - 1)), lang[own], ids[1:], n[own])
 
 
-def _packed(rows: list, cells: list[int] | None = None) -> pa.RecordBatch:
-    bounds = np.concatenate([[0], np.cumsum([len(r[1]) for r in rows])]).astype(np.int32)
-    cols = [pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array(bounds), pa.concat_arrays([r[1] for r in rows])),
-            *[pa.array([_pack(r[k].ravel()) for r in rows], pa.binary()) for k in (2, 3, 4)]]
-    names = ["langs", "words", "lang", "suffix", "n"]
-    return pa.RecordBatch.from_arrays([*([pa.array(cells, pa.int64())] if cells is not None else []), *cols], [*(["cell"] if cells is not None else []), *names])
+def _packed(rows: list[tuple[int, tuple]]) -> pa.RecordBatch:
+    """Rows (cell, suffixes with their words) for the exchange."""
+    texts = [_blob(r[1]) for _, r in rows]
+    cols = [pa.array([c for c, _ in rows], pa.int64()), pa.array([r[0] for _, r in rows], pa.list_(pa.string())),
+            pa.array([data.tobytes() for data, _ in texts], pa.binary()), pa.array([_pack(np.diff(off)) for _, off in texts], pa.binary()),
+            *[pa.array([_pack(r[k].ravel()) for _, r in rows], pa.binary()) for k in (2, 3, 4)]]
+    return pa.RecordBatch.from_arrays(cols, ["cell", "langs", "words", "sizes", "lang", "suffix", "n"])
 
 
-def _unpacked(batch, k: int, max_words: int):
-    get = lambda c: batch.column(c)[k]
-    return get("langs").as_py(), get("words").values, _unpack(get("lang").as_py()), _unpack(get("suffix").as_py()).reshape(-1, max_words), _unpack(get("n").as_py())
+def _unpacked(t: pa.Table, k: int, max_words: int):
+    get = lambda c: t.column(c)[k].as_py()
+    off = np.concatenate([[0], np.cumsum(_unpack(get("sizes")), dtype=np.int64)])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(get("words"))])
+    return get("langs"), words, _unpack(get("lang")), _unpack(get("suffix")).reshape(-1, max_words), _unpack(get("n"))
 
 
-def _hashes(values: pa.Array) -> np.ndarray:
+def _blob(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all values, and where each begins."""
     col = values.cast(pa.large_binary())
-    off = np.frombuffer(col.buffers()[1], np.int64)[col.offset:col.offset + len(col) + 1]
-    data = np.frombuffer(col.buffers()[2], np.uint8)[off[0]:off[-1]] if col.buffers()[2] is not None else np.zeros(0, np.uint8)
-    return BYTES.ranges(BYTES.running(SYMBOL[data]), off[:-1] - off[0], off[1:] - off[0])
+    off = np.frombuffer(col.buffers()[1], np.int64)[col.offset:col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
+    raw = col.buffers()[2] if len(col) else None
+    return np.frombuffer(raw, np.uint8)[off[0]:off[-1]] if raw is not None else np.zeros(0, np.uint8), off - off[0]
+
+
+def _hashes(values: pa.Array) -> np.ndarray:
+    data, off = _blob(values)
+    return BYTES.ranges(BYTES.running(SYMBOL[data]), off[:-1], off[1:])
 
 
 def _prefix_hashes(langs: list[str], words: pa.Array, lang: np.ndarray, suffix: np.ndarray) -> np.ndarray:
@@ -196,23 +199,20 @@ def _prefix_hashes(langs: list[str], words: pa.Array, lang: np.ndarray, suffix:
 LOADS = "words int, prefix long, suffixes long"
 
 
-def _loads(max_words: int, least: int):
+def _loads(max_words: int, often: np.ndarray, least: int):
     """Suffixes of a chunk, and by prefix, where there are at least ``least``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                langs, words, lang, suffix, n = _unpacked(batch, k, max_words)
-                h = _prefix_hashes(langs, words, lang, suffix)
-                rows = [(0, 0, len(h))]
-                left = np.arange(len(h))
-                for m in range(1, max_words):
-                    left = left[suffix[left, m - 1] > 0]
-                    number, prefixes = pd.factorize(h[left, m - 1])
-                    count = np.bincount(number, minlength=len(prefixes))
-                    rows += [(m, int(p), int(c)) for p, c in zip(prefixes[count >= least].view(np.int64), count[count >= least])]
-                    left = left[count[number] >= least]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                    list(zip(*rows)), (pa.int32(), pa.int64(), pa.int64()))], [c.split()[0] for c in LOADS.split(", ")])
+        for *_, suffix, _, h in _counted(batches, max_words, often):
+            rows = [(0, 0, len(h))]
+            left = np.arange(len(h))
+            for m in range(1, max_words):
+                left = left[suffix[left, m - 1] > 0]
+                number, prefixes = pd.factorize(h[left, m - 1])
+                count = np.bincount(number, minlength=len(prefixes))
+                rows += [(m, int(p), int(c)) for p, c in zip(prefixes[count >= least].view(np.int64), count[count >= least])]
+                left = left[count[number] >= least]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                list(zip(*rows)), (pa.int32(), pa.int64(), pa.int64()))], [c.split()[0] for c in LOADS.split(", ")])
     return run
 
 
@@ -227,24 +227,19 @@ def _depths(h: np.ndarray, suffix: np.ndarray, hot: list[np.ndarray]) -> np.ndar
     return depth
 
 
-def _dealt(max_words: int, hot: list[np.ndarray], cells: int):
+def _dealt(max_words: int, often: np.ndarray, hot: list[np.ndarray], cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                langs, words, lang, suffix, n = _unpacked(batch, k, max_words)
-                h = _prefix_hashes(langs, words, lang, suffix)
-                length = (suffix > 0).sum(1)
-                by = np.minimum(np.minimum(_depths(h, suffix, hot), length), max_words)
-                rows, numbers, size = [], [], 0
-                for cell, r in _split(langs, words, lang, suffix, n, _share(h[np.arange(len(h)), by - 1], cells)):
-                    rows.append(r)
-                    numbers.append(cell)
-                    size += len(r[2])
-                    if size >= ROW_SUFFIXES:
-                        yield _packed(rows, numbers)
-                        rows, numbers, size = [], [], 0
-                if rows:
-                    yield _packed(rows, numbers)
+        for langs, words, lang, suffix, n, h in _counted(batches, max_words, often):
+            by = np.minimum(np.minimum(_depths(h, suffix, hot), (suffix > 0).sum(1)), max_words)
+            rows, size = [], 0
+            for cell, r in _split(langs, words, lang, suffix, n, _share(h[np.arange(len(h)), by - 1], cells)):
+                rows.append((cell, r))
+                size += len(r[2])
+                if size >= BATCH_SUFFIXES:
+                    yield _packed(rows)
+                    rows, size = [], 0
+            if rows:
+                yield _packed(rows)
     return run
 
 
@@ -296,8 +291,7 @@ PHRASES = "lang string, phrase string, words int, f long"
 
 def _cell(max_words: int, least: int, hot: list[np.ndarray]):
     def run(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        parts = [_unpacked(_OneChunk(t), k, max_words) for k in range(t.num_rows)]
+        parts = [_unpacked(t, k, max_words) for k in range(t.num_rows)]
         words = pa.concat_arrays([p[1].cast(pa.large_binary()) for p in parts]).dictionary_encode()
         langs = sorted({x for p in parts for x in p[0]})
         nth = {x: k for k, x in enumerate(langs)}
@@ -318,23 +312,13 @@ def _cell(max_words: int, least: int, hot: list[np.ndarray]):
     return run
 
 
-class _OneChunk:
-    """Columns of a table of one chunk by name."""
-
-    def __init__(self, t: pa.Table):
-        self.columns = {name: t.column(name).combine_chunks() for name in t.column_names if name != "cell"}
-
-    def column(self, name: str) -> pa.Array:
-        return self.columns[name]
-
-
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, min_count: int = MIN_COUNT,
                   cell_suffixes: int = CELL_SUFFIXES, prefix_suffixes: int = PREFIX_SUFFIXES) -> tuple[DataFrame, DataFrame]:
     """Counts of all phrases of up to ``max_words`` words that occur ``min_count`` times
     or more in a language (lang, phrase, words, f), and all words of each (lang, n)."""
     spark = docs.sparkSession
     d = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    words = d.mapInArrow(_leading, "lang string, prefix long, n long").groupBy("lang", "prefix").agg(F.sum("n").alias("n"))
+    words = d.mapInArrow(_leading, "lang string, prefix long, n long").groupBy("lang", "prefix").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("chunks"))
     words = written(words.filter(F.col("prefix").isNull() | (F.col("n") >= min_count)), "leading-words")
     slot = F.col("prefix").bitwiseAND(F.lit(WORD_BITS - 1))
     bits = words.filter("prefix IS NOT NULL").groupBy((F.shiftright(slot, 15)).alias("block")).agg(
@@ -342,17 +326,16 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     often = np.zeros(WORD_BITS >> 3, np.uint8)
     for r in bits.collect():  # at most WORD_BITS bits in all
         often[r.block << 12:(r.block + 1) << 12] = np.frombuffer(r.bits, np.uint8)
-    # rows of a checkpoint are read one by one; a column reader would hold a whole row group of them
-    chunks = cut_lineage(d.mapInArrow(_counted(max_words, often), PACKED))
     # a prefix above the limit has half of it in chunks that hold at least this many
-    least = max(1, prefix_suffixes // (2 * max(1, chunks.count())))
-    loads = written(chunks.mapInArrow(_loads(max_words, least), LOADS), "suffix-loads")
+    chunks = words.filter("prefix IS NULL").agg(F.sum("chunks")).first()[0] or 1
+    least = max(1, prefix_suffixes // (2 * chunks))
+    loads = written(d.mapInArrow(_loads(max_words, often, least), LOADS).groupBy("words", "prefix").agg(F.sum("suffixes").alias("suffixes")), "suffix-loads")
     total = loads.filter("words = 0").agg(F.sum("suffixes")).first()[0] or 0
     cells = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // cell_suffixes))
     # at most 2 * total / prefix_suffixes prefixes of each number of words
-    heavy = loads.filter("words > 0").groupBy("words", "prefix").agg(F.sum("suffixes").alias("s")).filter(2 * F.col("s") >= prefix_suffixes).collect()
+    heavy = loads.filter((F.col("words") > 0) & (2 * F.col("suffixes") >= prefix_suffixes)).collect()
     hot = [np.array([r.prefix for r in heavy if r.words == m], np.int64).view(np.uint64) for m in range(1, max_words)]
-    dealt = chunks.mapInArrow(_dealt(max_words, hot, cells), f"cell long, {PACKED}")
+    dealt = d.mapInArrow(_dealt(max_words, often, hot, cells), PACKED)
     found = dealt.groupBy("cell").applyInArrow(_cell(max_words, min_count, hot), PHRASES)
     found = found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= min_count)
     return written(found, "phrases"), words.filter("prefix IS NULL").select("lang", "n")
