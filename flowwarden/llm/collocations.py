@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,14 +32,14 @@ INSIDE_PCT = 100
 TOP = 2000
 NO_LANG = "und"
 #: Text in which equal suffixes are counted before they travel.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 23
 #: Suffixes that leave a task together.
 BATCH_SUFFIXES = 32_000
 #: Bits that say which words occur often enough. Words of the same bit pass together,
 #: so that the table has this size whatever the vocabulary; counts don't depend on it.
 WORD_BITS = 1 << 25
 #: Suffixes in a cell, and in a prefix that need not be dealt out by more words.
-CELL_SUFFIXES = 250_000
+CELL_SUFFIXES = 1_000_000
 PREFIX_SUFFIXES = CELL_SUFFIXES // 4
 
 BLANK, STOP = np.zeros(256, bool), np.zeros(256, bool)
@@ -49,14 +50,24 @@ _TIMES = np.uint64(0x9E3779B97F4A7C15)
 PACKED = "cell long, langs array<string>, words binary, sizes binary, lang binary, suffix binary, n binary"
 
 
+def _squeezed(data: bytes | np.ndarray) -> bytes:
+    raw = data if isinstance(data, bytes) else data.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _loose(b: bytes) -> bytes:
+    n = int.from_bytes(b[:8], "little")
+    return pa.Codec("zstd").decompress(b[8:], n, asbytes=True) if n else b""
+
+
 def _pack(x: np.ndarray) -> bytes:
     """Non-negative numbers in as few bytes each as the largest one takes; the first byte says how many."""
     width = next(w for w in (1, 2, 4, 8) if int(x.max(initial=0)) < 1 << (8 * w - (w == 8)))
-    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+    return bytes([width]) + _squeezed(x.astype(f"<u{width}"))
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, f"<u{b[0]}", offset=1)
+    return np.frombuffer(_loose(b[1:]), f"<u{b[0]}")
 
 
 def _words(piece: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
@@ -148,29 +159,36 @@ def _share(h: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _split(langs: list[str], words: pa.Array, lang: np.ndarray, suffix: np.ndarray, n: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, tuple]]:
-    """The suffixes of each part with the words that they use."""
+    """The suffixes of each part with the words that they use. Words and suffixes are
+    in order, in which they squeeze well."""
     order = np.argsort(part, kind="stable")
     ends = np.flatnonzero(np.concatenate([part[order][1:] != part[order][:-1], [True]])) + 1
     for lo, hi in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
         own = order[lo:hi]
         ids, used = pd.factorize(np.concatenate([np.zeros(1, suffix.dtype), suffix[own].ravel()]))
-        yield int(part[own[0]]), (langs, words.take(pa.array(used[1:].astype(np.int64) - 1)), lang[own], ids[1:], n[own])
+        texts = words.take(pa.array(used[1:].astype(np.int64) - 1))
+        by_text = pc.array_sort_indices(texts).to_numpy()
+        place = np.zeros(len(used), np.int64)
+        place[by_text + 1] = np.arange(1, len(used))
+        rows = place[ids[1:]].reshape(-1, suffix.shape[1])
+        nth = np.argsort((lang[own].astype(np.int64) * len(used) + rows[:, 0]) * len(used) + rows[:, min(1, rows.shape[1] - 1)])
+        yield int(part[own[0]]), (langs, texts.take(pa.array(by_text)), lang[own][nth], rows[nth], n[own][nth])
 
 
 def _packed(rows: list[tuple[int, tuple]]) -> pa.RecordBatch:
     """Rows (cell, suffixes with their words) for the exchange."""
     texts = [_blob(r[1]) for _, r in rows]
     cols = [pa.array([c for c, _ in rows], pa.int64()), pa.array([r[0] for _, r in rows], pa.list_(pa.string())),
-            pa.array([data.tobytes() for data, _ in texts], pa.binary()), pa.array([_pack(np.diff(off)) for _, off in texts], pa.binary()),
-            *[pa.array([_pack(r[k].ravel()) for _, r in rows], pa.binary()) for k in (2, 3, 4)]]
+            pa.array([_squeezed(data) for data, _ in texts], pa.binary()), pa.array([_pack(np.diff(off)) for _, off in texts], pa.binary()),
+            *[pa.array([_pack(r[k].T.ravel()) for _, r in rows], pa.binary()) for k in (2, 3, 4)]]
     return pa.RecordBatch.from_arrays(cols, ["cell", "langs", "words", "sizes", "lang", "suffix", "n"])
 
 
 def _unpacked(t: pa.Table, k: int, max_words: int):
     get = lambda c: t.column(c)[k].as_py()
     off = np.concatenate([[0], np.cumsum(_unpack(get("sizes")), dtype=np.int64)])
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(get("words"))])
-    return get("langs"), words, _unpack(get("lang")), _unpack(get("suffix")).reshape(-1, max_words), _unpack(get("n"))
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(_loose(get("words")))])
+    return get("langs"), words, _unpack(get("lang")), _unpack(get("suffix")).reshape(max_words, -1).T, _unpack(get("n"))
 
 
 def _blob(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:

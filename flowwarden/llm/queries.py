@@ -52,9 +52,9 @@ ln AS (SELECT doc_id, host, line, regexp_extract_all(translate(line, 'ABCDEFGHIJ
     FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d)),
 l AS (SELECT doc_id, host, line, md5(array_to_string(ws, ' ')) AS h, len(ws) AS n FROM ln WHERE len(ws) > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l GROUP BY doc_id),
-sk AS (SELECT doc_id, array_to_string(list_slice(list_sort(list_distinct(list(h))), 1, 2), '') AS sketch FROM l GROUP BY doc_id),
-hosts AS (SELECT host, count(DISTINCT sketch) AS host_docs FROM l JOIN sk USING (doc_id) GROUP BY host),
-often AS (SELECT host, h FROM (SELECT host, h, count(DISTINCT sketch) AS line_docs FROM l JOIN sk USING (doc_id) GROUP BY host, h)
+sets AS (SELECT doc_id, md5(array_to_string(list_sort(list_distinct(list(h))), '')) AS line_set FROM l GROUP BY doc_id),
+hosts AS (SELECT host, count(DISTINCT line_set) AS host_docs FROM l JOIN sets USING (doc_id) GROUP BY host),
+often AS (SELECT host, h FROM (SELECT host, h, count(DISTINCT line_set) AS line_docs FROM l JOIN sets USING (doc_id) GROUP BY host, h)
     JOIN hosts USING (host) WHERE line_docs > {quality_rules.MIN_LINE_DOCS} AND line_docs * 100 > {quality_rules.LINE_DOCS_PCT} * host_docs),
 gone AS (SELECT doc_id, sum(n) AS n FROM l JOIN often USING (host, h) GROUP BY doc_id),
 f AS (SELECT d.doc_id, len(ws) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
