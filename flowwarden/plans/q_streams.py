@@ -250,3 +250,134 @@ def stream_model_alerts(spark, sf):
     _await(J.score_stream(stream, batch_scorer(models), sink, ck, trigger={"availableNow": True}, per_batch=True))
     a = spark.read.parquet(sink)
     return a.groupBy("alert_type", "severity").agg(F.count(F.lit(1)).cast("bigint").alias("alert_count"))
+
+
+def _land_late(spark, sf, files: int = 4):
+    """The events as ``files`` files in time order, but for every third row, which
+    comes up to 90 minutes late; and every file repeats the last half day of the one
+    before. Returns the folder and the schema."""
+    e = read_table(spark, sf, "events")
+    at = F.unix_seconds(F.col("ts").cast("timestamp")) + F.when(F.col("event_id") % 3 == 0, F.lit(5400)).otherwise(F.lit(0))
+    lo, hi = e.agg(F.min(at), F.max(at)).first()
+    path, step = J.scratch_path(spark, "late"), -(-(hi - lo + 1) // files)
+    for k in range(files):
+        first = lo + k * step
+        e.where(at.between(first - (43_200 if k else 0), first + step - 1)).coalesce(1).write.mode("append").parquet(path)
+    return path, e.schema
+
+
+def _once(spark, sf, delay="1 day"):
+    """Those files as a stream of flows, one file a batch, under one watermark, each flow once."""
+    from ..sources.tables import flows_from_events
+    path, schema = _land_late(spark, sf)
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return J.with_dedup(W.event_time(flows_from_events(raw), "ts", "event_time"), "flow_id", "event_time", delay)
+
+
+def _closed(spark, frame):
+    out = J.scratch_path(spark, "closed")
+    _await(J.write_windows(frame, out, J.scratch_path(spark, "closed-ckpt")))
+    return spark.read.parquet(out).withColumn("window_start", _fmt("window_start"))
+
+
+def _closed_sql(seconds: int) -> str:
+    """Windows that the watermark, a day behind the newest event, has passed."""
+    return f"floor(epoch(ts) / {seconds}) * {seconds} + {seconds} <= (SELECT epoch(max(ts)) FROM flows) - 86400"
+
+
+@register("stream_port_scan", with_flows(f"""
+SELECT src_ip, {_bucket_sql(3600)} AS window_start, CAST(count(*) AS BIGINT) AS packets,
+ CAST(count(DISTINCT dst_port) AS INTEGER) AS unique_ports, count(DISTINCT dst_port) > 1 AND count(*) >= 2 AS is_port_scan
+FROM flows WHERE {_closed_sql(3600)} GROUP BY 1, 2"""))
+def stream_port_scan(spark, sf):
+    """Port scans over files that land out of order and repeat rows: dedup state and
+    window state under one watermark, ports as bitmaps."""
+    return _closed(spark, W.port_scan_windows(_once(spark, sf), "event_time", 3600, 1, 2, bitmap=True))
+
+
+@register("stream_dos", with_flows(f"""
+SELECT dst_ip, {_bucket_sql(3600)} AS window_start, CAST(count(*) AS BIGINT) AS packets, round(count(*) / 3600.0, 8) AS rate,
+ count(*) > 3 AND count(*) / 3600.0 >= 0.001 AS is_dos FROM flows WHERE {_closed_sql(3600)} GROUP BY 1, 2"""))
+def stream_dos(spark, sf):
+    """Floods over the same files."""
+    return _closed(spark, W.dos_windows(_once(spark, sf), "event_time", 3600, 3, 0.001)).withColumn("rate", F.round("rate", 8))
+
+
+@register("stream_brute_force", with_flows(f"""
+SELECT src_ip, dst_ip, {_bucket_sql(86400)} AS window_start, CAST(count(*) AS BIGINT) AS attempts, count(*) > 1 AS is_brute_force
+FROM flows WHERE dst_port IN (22, 23, 21, 3389) AND {_closed_sql(86400)} GROUP BY 1, 2, 3"""))
+def stream_brute_force(spark, sf):
+    """Login attempts over the same files."""
+    return _closed(spark, W.brute_force_windows(_once(spark, sf), "event_time", 86400, 1))
+
+
+@register("stream_exfiltration", with_flows(f"""
+SELECT src_ip, {_bucket_sql(86400)} AS window_start, round(sum(src_bytes), 4) AS bytes_out, round(sum(dst_bytes), 4) AS bytes_in,
+ round(sum(dst_bytes) / sum(src_bytes), 6) AS in_out_ratio,
+ COALESCE(sum(src_bytes) > 20000 AND sum(dst_bytes) / sum(src_bytes) < 1.0, false) AS is_exfiltration
+FROM flows WHERE {_closed_sql(86400)} GROUP BY 1, 2"""))
+def stream_exfiltration(spark, sf):
+    """Outgoing bytes over the same files."""
+    e = _closed(spark, W.exfiltration_windows(_once(spark, sf), "event_time", 86400, 20000, 1.0))
+    return e.withColumns({"bytes_out": F.round("bytes_out", 4), "bytes_in": F.round("bytes_in", 4), "in_out_ratio": F.round("in_out_ratio", 6)})
+
+
+@register("stream_running_totals", with_scored("""
+SELECT CAST(count(*) AS BIGINT) AS total_flows,
+ CAST(sum(CASE WHEN (rf_score + recon_score + lstm_score) / 3.0 > 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS anomalies_detected, true AS never_fell FROM scored"""))
+def stream_running_totals(spark, sf):
+    """Running totals in complete mode over the same files, published batch by batch;
+    the last version, and whether no version fell below the one before."""
+    from pyspark.sql import Window
+    scored = S.anomaly_scores(with_model_scores(_once(spark, sf).drop("event_time")), SCORE_COLS)
+    path = J.scratch_path(spark, "totals")
+    _await(W.running_totals(scored).writeStream.outputMode("complete").foreachBatch(J.totals_writer(path))
+           .option("checkpointLocation", J.scratch_path(spark, "totals-ckpt")).trigger(availableNow=True).start())
+    v = spark.read.option("recursiveFileLookup", True).parquet(path)  # one row a version
+    before = Window.orderBy("version")
+    v = v.withColumn("fell", (F.col("total_flows") < F.lag("total_flows", 1, 0).over(before)) | (F.col("anomalies_detected") < F.lag("anomalies_detected", 1, 0).over(before)))
+    last = F.max_by(F.struct("total_flows", "anomalies_detected"), "version")
+    return v.agg(last.alias("last"), (~F.bool_or("fell")).alias("never_fell")).select("last.*", "never_fell")
+
+
+@register("stream_sequences", with_flows("""
+, s AS (SELECT flow_id, src_ip, ts, list(packet_size) OVER w AS sizes, list(src_bytes) OVER w AS bytes
+  FROM flows WINDOW w AS (PARTITION BY src_ip ORDER BY ts, flow_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
+SELECT flow_id, src_ip, coalesce(len(sizes) = 5, false) AS has_history, CASE WHEN len(sizes) = 5 THEN CAST(sizes[1] AS DOUBLE) END AS oldest_size,
+ CASE WHEN len(sizes) = 5 THEN CAST(list_sum(sizes) AS DOUBLE) END AS total_size, CASE WHEN len(sizes) = 5 THEN bytes[5] END AS newest_bytes
+FROM s WHERE ts < (SELECT max(ts) FROM flows) - INTERVAL 1 DAY"""))
+def stream_sequences(spark, sf):
+    """The five rows of its host before each row, over the same files: dedup, then
+    keyed state that waits for the watermark."""
+    from ..streaming.sequences import STATE_CONF, sequence_stream, started_with
+    out = J.scratch_path(spark, "sequences")
+    with started_with(spark, STATE_CONF):
+        s = sequence_stream(_once(spark, sf), ["packet_size", "src_bytes"], 5, delay=None, idle_ms=400 * 24 * 3_600_000)
+        q = s.writeStream.format("parquet").option("path", out).option("checkpointLocation", J.scratch_path(spark, "sequences-ckpt")).trigger(availableNow=True).start()
+    _await(q)
+    x = F.col("sequence")
+    return spark.read.parquet(out).select(
+        "flow_id", "src_ip", x.isNotNull().alias("has_history"), x[0][0].alias("oldest_size"),
+        F.aggregate(x, F.lit(0.0), lambda n, row: n + row[0]).alias("total_size"), x[4][1].alias("newest_bytes"))
+
+
+@register("stream_equals_batch", "SELECT CAST(0 AS BIGINT) AS only_in_batch, CAST(0 AS BIGINT) AS only_in_stream, CAST(0 AS BIGINT) AS late")
+def stream_equals_batch(spark, sf):
+    """Alerts of a stream in several batches, out of order, with fitted look-back
+    features and models, against those of the batch job: what only one of them has."""
+    from ..operators import clean as B
+    from .training import batch_scorer, carried_scorer, train_detector
+    scores = ["rf_score", "recon_error", "lstm_score", "label_raw"]
+    f = read_flows(spark, sf)
+    models = train_detector(B.standardize_labels(f, "label_raw", out="label").drop(*scores), window=20, k=20, forest_params={"numTrees": 20, "maxDepth": 8})
+    f = f.drop(*scores)
+    sink, ck = J.scratch_path(spark, "carried"), J.scratch_path(spark, "carried-ckpt")
+    scorer = carried_scorer(models, sink, J.scratch_path(spark, "carried-state"), J.run_id(ck), delay_seconds=86_400)
+    q = _once(spark, sf).drop("event_time", *scores).writeStream.foreachBatch(scorer).option("checkpointLocation", ck).trigger(availableNow=True).start()
+    _await(q)
+    scorer.finish(spark, q.lastProgress["batchId"], f.schema)
+    key = ["alert_id", "severity", "alert_type"]
+    got, want = spark.read.parquet(sink).select(*key).withColumn("side", F.lit(1)), batch_scorer(models)(f).select(*key).withColumn("side", F.lit(-1))
+    d = got.unionByName(want).groupBy(*key).agg(F.sum("side").alias("d"))
+    n = lambda c: F.coalesce(F.sum(F.greatest(c, F.lit(0))), F.lit(0)).cast("long")
+    return d.agg(n(-F.col("d")).alias("only_in_batch"), n(F.col("d")).alias("only_in_stream"), F.lit(scorer.late).cast("long").alias("late"))

@@ -170,6 +170,15 @@ def write_windows(agg: DataFrame, path: str, checkpoint: str, trigger: dict | No
                .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 
+def totals_writer(path: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function for a global aggregate in complete mode: each batch
+    publishes its totals as a version of its own, which a batch that runs again
+    replaces. Readers take the highest version."""
+    def write(totals: DataFrame, batch_id: int) -> None:
+        totals.withColumn("version", F.lit(batch_id).cast("long")).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+    return write
+
+
 # --- keyed state: per-host rolling statistics ----------------------------------------
 
 def rolling_state_per_host(stream: DataFrame, cols: list[str], key: str = "src_ip", order=("event_time", "flow_id"),

@@ -95,14 +95,16 @@ def _rows(df: DataFrame, features: list[str], key: str, id_col: str, event_time:
 
 
 def sequence_stream(stream: DataFrame, features: list[str], length: int = 5, key: str = "src_ip", id_col: str = "flow_id",
-                    event_time: str = "event_time", delay: str = "1 hour", idle_ms: int = 24 * 3_600_000) -> DataFrame:
+                    event_time: str = "event_time", delay: str | None = "1 hour", idle_ms: int = 24 * 3_600_000) -> DataFrame:
     """Every row of a stream that the watermark has passed: key, id, event time and
     ``sequence``, the features of the host's ``length`` rows before it, oldest first
     (null while there are fewer). Rows of one time go by id. Rows older than the
     watermark when they land are dropped by Spark and counted in its progress. A
     host that is idle for ``idle_ms`` of event time starts anew. Start the query with
     ``started_with(spark, STATE_CONF)``."""
-    s = _rows(stream, features, key, id_col, event_time).withWatermark(event_time, delay)
+    s = _rows(stream, features, key, id_col, event_time)
+    if delay is not None:  # None: the stream has a watermark
+        s = s.withWatermark(event_time, delay)
     out = T.StructType([T.StructField(key, T.StringType()), T.StructField("row_id", T.LongType()), T.StructField("at_micros", T.LongType()),
                         T.StructField("sequence", T.ArrayType(T.ArrayType(T.DoubleType())))])
     state = HostSequences(key, length, len(features), idle_ms)

@@ -10,13 +10,19 @@ set per (window, source) is bounded by the 65,536 possible ports.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import as_ltz
 from ..schemas import TRAFFIC_WINDOWS, WINDOW_PATTERNS
 
 
+def _time(df: DataFrame, ts: str) -> Column:
+    """Event time for windows; a TIMESTAMP column as it is, with its watermark."""
+    return F.col(ts) if df.schema[ts].dataType == T.TimestampType() else as_ltz(F.col(ts))
+
+
 def _secs(n):
     return f"{int(n)} seconds"
 
@@ -83,15 +89,26 @@ def _given(config: dict, **values) -> list:
     return [config[k] if v is None else v for k, v in values.items()]
 
 
+def port_bitmap_count(port: str) -> Column:
+    """Distinct ports as an aggregate whose state is two bitmaps of 32,768 bits,
+    however many ports there are; what is no port counts as missing."""
+    half = 1 << 15
+    at = F.col(port).cast("long")
+    low, high = F.when(at.between(0, half - 1), at), F.when(at.between(half, 2 * half - 1), at - half)
+    return (F.bitmap_count(F.bitmap_construct_agg(low)) + F.bitmap_count(F.bitmap_construct_agg(high))).cast("int")
+
+
 def port_scan_windows(df: DataFrame, ts: str = "ts", window: int | None = None, unique_ports: int | None = None,
-                      packets: int | None = None) -> DataFrame:
+                      packets: int | None = None, bitmap: bool = False) -> DataFrame:
     """Per source and window: packets, distinct destination ports, and the
-    port-scan flag (distinct ports > threshold and packets >= minimum)."""
+    port-scan flag (distinct ports > threshold and packets >= minimum). With
+    ``bitmap`` the ports are kept as a bitmap of fixed size instead of a growing
+    set, as streams want it."""
     c = WINDOW_PATTERNS["port_scan"]
     window, unique_ports, packets = _given(c, window=window, unique_ports=unique_ports, packets=packets)
-    g = df.groupBy("src_ip", F.window(as_ltz(F.col(ts)), _secs(window)).alias("w")).agg(
+    g = df.groupBy("src_ip", F.window(_time(df, ts), _secs(window)).alias("w")).agg(
         F.count(F.lit(1)).cast("bigint").alias("packets"),
-        F.size(F.collect_set("dst_port")).alias("unique_ports"))
+        (port_bitmap_count("dst_port") if bitmap else F.size(F.collect_set("dst_port"))).alias("unique_ports"))
     return g.select("src_ip", F.col("w.start").alias("window_start"), "packets", "unique_ports",
                     ((F.col("unique_ports") > unique_ports) & (F.col("packets") >= packets)).alias("is_port_scan"))
 
@@ -101,7 +118,7 @@ def dos_windows(df: DataFrame, ts: str = "ts", window: int | None = None, packet
     """Per destination and window: packets, packets per second, DoS flag."""
     c = WINDOW_PATTERNS["dos_attack"]
     window, packets, rate = _given(c, window=window, packets=packets, rate=rate)
-    g = df.groupBy("dst_ip", F.window(as_ltz(F.col(ts)), _secs(window)).alias("w")).agg(
+    g = df.groupBy("dst_ip", F.window(_time(df, ts), _secs(window)).alias("w")).agg(
         F.count(F.lit(1)).cast("bigint").alias("packets"))
     r = F.col("packets") / F.lit(float(window))
     return g.select("dst_ip", F.col("w.start").alias("window_start"), "packets", r.alias("rate"),
@@ -114,7 +131,7 @@ def brute_force_windows(df: DataFrame, ts: str = "ts", window: int | None = None
     c = WINDOW_PATTERNS["brute_force"]
     window, attempts, ports = _given(c, window=window, attempts=attempts, ports=ports)
     g = (df.where(F.col("dst_port").isin(list(ports)))
-           .groupBy("src_ip", "dst_ip", F.window(as_ltz(F.col(ts)), _secs(window)).alias("w"))
+           .groupBy("src_ip", "dst_ip", F.window(_time(df, ts), _secs(window)).alias("w"))
            .agg(F.count(F.lit(1)).cast("bigint").alias("attempts")))
     return g.select("src_ip", "dst_ip", F.col("w.start").alias("window_start"), "attempts",
                     (F.col("attempts") > attempts).alias("is_brute_force"))
@@ -126,7 +143,7 @@ def exfiltration_windows(df: DataFrame, ts: str = "ts", window: int | None = Non
     (bytes out > threshold and in/out < ratio)."""
     c = WINDOW_PATTERNS["data_exfiltration"]
     window, bytes_threshold, ratio = _given(c, window=window, bytes=bytes_threshold, ratio=ratio)
-    g = df.groupBy("src_ip", F.window(as_ltz(F.col(ts)), _secs(window)).alias("w")).agg(
+    g = df.groupBy("src_ip", F.window(_time(df, ts), _secs(window)).alias("w")).agg(
         F.sum("src_bytes").alias("bytes_out"), F.sum("dst_bytes").alias("bytes_in"))
     r = F.when(F.col("bytes_out") > 0, F.col("bytes_in") / F.col("bytes_out"))
     return g.select("src_ip", F.col("w.start").alias("window_start"), "bytes_out", "bytes_in", r.alias("in_out_ratio"),
