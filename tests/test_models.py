@@ -82,19 +82,25 @@ def test_tune_forest_small_grid(spark):
     assert len(cv.avgMetrics) == 2 and max(cv.avgMetrics) > 0.8
 
 
-def test_tune_forest_query_has_the_full_grid(spark, monkeypatch):
-    from types import SimpleNamespace
-
-    from flowwarden.plans import q_ml
-
-    def fit(self, df):
-        return SimpleNamespace(avgMetrics=[0.5] * len(self.getEstimatorParamMaps()), getEstimator=self.getEstimator,
-                               getEstimatorParamMaps=self.getEstimatorParamMaps)
-
-    monkeypatch.setattr(G.CrossValidator, "fit", fit)
-    rows = q_ml.tune_forest_q(spark, MEDIUM).collect()
-    points = {(r.num_trees, r.max_depth, r.min_instances, r.min_info_gain) for r in rows}
-    assert len(rows) == len(points) == 81 and {r.num_trees for r in rows} == {50, 100, 200} and {r.max_depth for r in rows} == {10, 20, 30}
+def test_grid_search_votes_are_the_models(spark, tmp_path):
+    """Votes of all trees are the model's probabilities, those of the first trees a
+    part of them; every point of the grid has an F1 of its folds."""
+    import numpy as np
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import vector_to_array
+
+    from flowwarden.operators.grid import Nodes, grid_search_forest
+    d = _frame(spark)
+    x = G.drop_inputs(G.Pipeline(stages=G.input_stages(FEATS)).fit(d).transform(d)).select("label", "features")
+    m = RandomForestClassifier(labelCol="label", numTrees=6, maxDepth=5, seed=3).fit(x)
+    m.write().save(f"{tmp_path}/m")
+    nodes = Nodes(spark.read.parquet(f"{tmp_path}/m/data").collect())
+    rows = m.transform(x).select(vector_to_array("features").alias("x"), vector_to_array("probability")[1].alias("p")).limit(300).collect()
+    votes = nodes.votes(np.array([r.x for r in rows]), [2, 6])
+    assert np.allclose(votes[6], [r.p for r in rows]) and not np.allclose(votes[2], votes[6])
+    got = grid_search_forest(d, FEATS, grid={"numTrees": [3, 6], "maxDepth": [2, 4], "minInstancesPerNode": [1], "minInfoGain": [0.0]}, folds=2).collect()
+    assert {(r.num_trees, r.max_depth) for r in got} == {(3, 2), (6, 2), (3, 4), (6, 4)} and all(0 <= r.mean_f1 <= 1 for r in got)
+    assert max(r.mean_f1 for r in got) > 0.8
 
 
 def _gaps(spark):
