@@ -98,9 +98,13 @@ def test_grid_search_votes_are_the_models(spark, tmp_path):
     rows = m.transform(x).select(vector_to_array("features").alias("x"), vector_to_array("probability")[1].alias("p")).limit(300).collect()
     votes = nodes.votes(np.array([r.x for r in rows]), [2, 6])
     assert np.allclose(votes[6], [r.p for r in rows]) and not np.allclose(votes[2], votes[6])
+    assert nodes.depth() == max(t.depth for t in m.trees)
     got = grid_search_forest(d, FEATS, grid={"numTrees": [3, 6], "maxDepth": [2, 4], "minInstancesPerNode": [1], "minInfoGain": [0.0]}, folds=2).collect()
     assert {(r.num_trees, r.max_depth) for r in got} == {(3, 2), (6, 2), (3, 4), (6, 4)} and all(0 <= r.mean_f1 <= 1 for r in got)
     assert max(r.mean_f1 for r in got) > 0.8
+    f1 = {(r.num_trees, r.max_depth): r.mean_f1 for r in grid_search_forest(d, FEATS, grid={"numTrees": [3], "maxDepth": [2, 25, 30], "minInstancesPerNode": [40], "minInfoGain": [0.01]}, folds=2).collect()}
+    alone = grid_search_forest(d, FEATS, grid={"numTrees": [3], "maxDepth": [25], "minInstancesPerNode": [40], "minInfoGain": [0.01]}, folds=2).first()
+    assert f1[3, 25] == f1[3, 30] == alone.mean_f1  # one forest stands for both
 
 
 def _gaps(spark):
