@@ -8,7 +8,7 @@ from ..functions.scalars import round_half_up
 from ..operators import clean as B
 from ..operators import models as G
 from ..operators.grid import grid_search_forest
-from ..operators.encode import LabelEncoderModel, MinMaxScalerModel, StandardScalerModel, align_features
+from ..operators.encode import LabelEncoderModel, MinMaxScalerModel, StandardScalerModel, align_features, select_columns
 from ..operators.features import extract_network_features
 from ..operators.rolling import exact_percentile, importance_summary
 from ..operators.select import anova_f_scores, mutual_info_scores, top_k
@@ -100,6 +100,25 @@ def anova_f_scores_q(spark, sf):
     return s.select("feature", round_half_up(F.col("score"), 4).alias("f_score"), F.col("rank").cast("int"), "selected")
 
 
+@register("select_fitted", with_flows(f"""
+, g AS (SELECT feature, y, CAST(count(*) AS DOUBLE) AS n, sum(value) AS s, sum(value * value) AS ss
+        FROM {_LONG} WHERE value IS NOT NULL GROUP BY feature, y),
+t AS (SELECT feature, sum(n) AS nn, sum(s) AS sa, sum(ss) AS ssa, CAST(count(*) AS DOUBLE) AS k,
+             sum(s * s / n) AS br FROM g GROUP BY feature),
+f AS (SELECT feature, CASE WHEN k > 1 AND nn > k AND ssa - br > 0
+             THEN ((br - sa * sa / nn) / (k - 1)) / ((ssa - br) / (nn - k)) END AS score FROM t),
+p AS (SELECT * FROM (VALUES {_POS}) v(feature, position)),
+best AS (SELECT feature FROM f JOIN p USING (feature) ORDER BY score DESC NULLS LAST, position LIMIT 4)
+SELECT feature, CAST(count(*) AS BIGINT) AS rows, round(sum(value), 2) AS total FROM {_LONG} l JOIN best USING (feature) GROUP BY feature"""))
+def select_fitted(spark, sf):
+    """A fitted selection applied to flows without fitting again."""
+    d = _labelled(spark, sf)
+    best = [r.feature for r in top_k(anova_f_scores(d, "label", SELECT_COLS), 4).where("selected").collect()]  # four names
+    x = select_columns(d, best, keep=["flow_id"])
+    long = x.unpivot(["flow_id"], [F.col(f"`{c}`").cast("double").alias(c) for c in best], "feature", "value").where("value IS NOT NULL")
+    return long.groupBy("feature").agg(F.count(F.lit(1)).cast("bigint").alias("rows"), F.round(F.sum("value"), 2).alias("total"))
+
+
 @register("mutual_info_scores", with_flows(f"""
 , l AS (SELECT * FROM {_LONG} WHERE value IS NOT NULL),
 mm AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM l GROUP BY feature),

@@ -381,3 +381,19 @@ def stream_equals_batch(spark, sf):
     d = got.unionByName(want).groupBy(*key).agg(F.sum("side").alias("d"))
     n = lambda c: F.coalesce(F.sum(F.greatest(c, F.lit(0))), F.lit(0)).cast("long")
     return d.agg(n(-F.col("d")).alias("only_in_batch"), n(F.col("d")).alias("only_in_stream"), F.lit(scorer.late).cast("long").alias("late"))
+
+
+@register("stream_event_time", with_flows("""
+SELECT flow_id, flow_id % 97 <> 0 AS had_time, CASE WHEN flow_id % 97 <> 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS event_time, true AS has_event_time
+FROM flows"""))
+def stream_event_time(spark, sf):
+    """Live records, some without a time, landed as JSON and read as a stream: event
+    time is the record's, or else its arrival."""
+    landing, out = J.scratch_path(spark, "timeless"), J.scratch_path(spark, "timed")
+    ev = J.flow_events_from_flows(read_flows(spark, sf))
+    ev.withColumn("timestamp", F.when(F.col("flow_id") % 97 != 0, F.col("timestamp"))).repartition(2).write.json(landing)
+    s = J.default_event_time(J.read_flow_stream(spark, landing, "json", max_files_per_trigger=1))
+    _await(s.writeStream.format("parquet").option("path", out).option("checkpointLocation", J.scratch_path(spark, "timed-ckpt")).trigger(availableNow=True).start())
+    had = F.col("timestamp").isNotNull()
+    return spark.read.parquet(out).select("flow_id", had.alias("had_time"), F.when(had, _fmt("event_time")).alias("event_time"),
+                                          F.col("event_time").isNotNull().alias("has_event_time"))
