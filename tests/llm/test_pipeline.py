@@ -85,3 +85,9 @@ def test_each_row_by_its_own_text(spark, make):
     want = [(None, words("a")), (1, words("b")), (2, words("c")), (3, words("d")), (4, words("e"))]
     left = P.near_duplicates(spark, good, "")
     assert ids(left) == sorted(want, key=repr) and left.columns == good.columns
+
+
+def test_no_documents(spark, make, tmp_path):
+    """An empty table goes through all stages."""
+    make([]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert P.run(spark, str(tmp_path)).collect() == []
