@@ -90,3 +90,90 @@ def test_copies_of_an_article_stay(spark):
 
 def test_empty_table(spark):
     assert extract(rows_of(spark, site(1)).limit(0)).count() == 0
+
+
+LONG_STORY = " ".join(f"word{i}" for i in range(60))
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='post-content no-sidebar'>{}</div>", "<article class='post comments-open'>{}</article>", "<section class=has-share>{}</section>",
+    "<div id=page class=header-fixed>{}</div>", "<table class=menu-left><tr><td>{}</table>", "<div class='layout-sidebar'>{}</div><p>end</p>"])
+def test_a_class_word_does_not_take_the_story(page):
+    assert article(page.format(LONG_STORY)).startswith(LONG_STORY)
+
+
+def test_compounds_of_noise_words_go():
+    noise = "<div class='site-header'>Site</div><div class='comment-list'>{}</div><div class='sidebar-left'><p>more</p></div>".format(LONG_STORY * 3)
+    assert article(noise + f"<div>{LONG_STORY}</div>") == LONG_STORY
+    assert article(f"<div class='page-widget'>{LONG_STORY * 3}</div><article>{LONG_STORY}</article>") == LONG_STORY
+
+
+def test_long_blocks_beside_the_article_stay():
+    second = " ".join(f"tail{i}" for i in range(55))
+    assert article(f"<article><p>{LONG_STORY}</p></article><div>{second}</div><p>short</p>") == f"{LONG_STORY}\n{second}"
+
+
+def test_inline_elements():
+    assert article("<article><p>a <math><mi>x</mi></math> b <button>Share</button><span hidden>no</span> c</p></article>") == "a x b c"
+
+
+@pytest.mark.parametrize("page", ["<a " * 333_333, '<a "' * 250_000, '<a b="' * 160_000, "<div>x" * 50_000, "<form><input>y" * 50_000, "<!--" * 250_000,
+                                  "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "<b>" * 50_000 + "<p>z</p>" * 50_000, "<script " * 100_000])
+def test_hostile_markup_takes_linear_time(page):
+    from time import process_time
+
+    def seconds(text):
+        start = process_time()
+        article(text)
+        return process_time() - start
+
+    assert seconds(page) < 20 * max(seconds(page[:len(page) // 8]), 0.05)  # a square would be 64
+
+
+def test_depth_beyond_the_tree(spark):
+    deep = "<div>" * 5_000
+    rows = [(i, "http://deep.example/", f"{deep}<p>the frame</p><p>story {i}</p>") for i in range(12)]
+    got = {r.page_id: r.text for r in extract(rows_of(spark, rows)).collect()}
+    assert got == {i: f"story {i}" for i in range(12)}
+
+
+def brute_tree(pages):
+    """Pages, content and presentation by path, counted page by page."""
+    import math
+
+    from flowwarden.llm.html_extract import CONTAINER, parse
+    seen, kept = set(), []
+    for page in pages:
+        found = {}
+        for text, n in parse(page)[1]:
+            while n:
+                if n.tag in CONTAINER:
+                    found.setdefault(n.path, (" ".join(n.kids), set()))[1].add(text)
+                n = n.up
+        key = repr(sorted((p, k, sorted(t)) for p, (k, t) in found.items()))
+        if key not in seen:
+            seen.add(key)
+            kept.append(found)
+    out = {}
+    for path in {p for f in kept for p in f}:
+        here = [f[path] for f in kept if path in f]
+        m = len(here)
+        log = lambda x: math.log(x) / math.log(m) if m > 1 else 0.0
+        texts = {t for _, ts in here for t in ts}
+        styles = [sum(k == s for k, _ in here) / m for s in {k for k, _ in here}]
+        content = 1 - sum(log(sum(t in ts for _, ts in here)) for t in texts) / len(texts)
+        out[path] = (m, round(content, 9), round(-sum(q * log(q) for q in styles), 9))
+    return out
+
+
+def test_importances_equal_brute_force(spark):
+    rows = site(16) + [(50 + i, "http://shop.example/", f"<div class=x1><p>Members</p>{'<p>more</p>' * (i % 3)}</div><div><ul><li>a<li>b{i % 4}</ul></div>") for i in range(12)]
+    got = {r.path: (r.pages, round(r.content, 9), round(r.presentation, 9) + 0.0) for r in style_tree(rows_of(spark, rows).select("host", "html")).collect()}
+    assert got == {p: (m, c, s + 0.0) for p, (m, c, s) in brute_tree([r[2] for r in rows]).items()}
+
+
+def test_templates_beyond_the_broadcast_bound(spark, monkeypatch):
+    rows = rows_of(spark, site(30))
+    want = sorted(map(tuple, extract(rows).collect()))
+    monkeypatch.setattr("flowwarden.llm.html_extract.BROADCAST_PATHS", 0)
+    assert sorted(map(tuple, extract(rows).collect())) == want
