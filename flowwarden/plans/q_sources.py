@@ -84,6 +84,25 @@ def pcap_packets(spark, sf):
                     "tcp_flags", "udp_len", "label")
 
 
+@register("pcap_ranges", with_flows("""
+SELECT CAST(epoch_us(ts) AS BIGINT) AS timestamp_us, CASE WHEN v6 THEN greatest(packet_size, 70) ELSE packet_size END AS packet_size,
+ CASE WHEN arp THEN '0.0.0.0' WHEN v6 THEN '::ffff:' || src_ip ELSE src_ip END AS src_ip,
+ CASE WHEN arp THEN '0.0.0.0' WHEN v6 THEN '::ffff:' || dst_ip ELSE dst_ip END AS dst_ip,
+ CASE WHEN arp THEN 0 WHEN v6 THEN greatest(packet_size, 70) - 14 ELSE packet_size - 14 END AS ip_len,
+ CASE WHEN arp OR v6 THEN 0 ELSE 2 END AS ip_flags, CASE WHEN arp THEN 'other' ELSE protocol_type END AS protocol_type,
+ CASE WHEN protocol_type IN ('tcp', 'udp') THEN src_port ELSE 0 END AS src_port,
+ CASE WHEN protocol_type IN ('tcp', 'udp') THEN dst_port ELSE 0 END AS dst_port,
+ CASE WHEN v6 THEN greatest(packet_size, 70) - 62 WHEN protocol_type = 'udp' THEN packet_size - 34 ELSE 0 END AS udp_len
+FROM (SELECT *, protocol_type = 'icmp' AND rf_score >= 0.9 AS arp, protocol_type = 'udp' AND flow_id % 3 = 0 AS v6 FROM flows)"""))
+def pcap_ranges(spark, sf):
+    """Flows in two classic and two next-generation files, some as IPv6, decoded in ranges of 256 KiB."""
+    folder = scratch_path(spark, "pcap-mixed")
+    write_pcap_files(read_flows(spark, sf), folder, 4, mixed=True)
+    p = normalize_packets(read_packets(spark, os.path.join(folder, "*.pcap"), range_bytes=256 << 10))
+    return p.select(F.round(F.col("timestamp") * 1e6).cast("bigint").alias("timestamp_us"), "packet_size", "src_ip", "dst_ip", "ip_len",
+                    "ip_flags", "protocol_type", "src_port", "dst_port", "udp_len")
+
+
 @register("file_manifest")
 def file_manifest(spark, sf):
     """MD5 and size of the given table files, with the acceptance check

@@ -90,3 +90,65 @@ def test_capture_formats(spark, tmp_path):
     (tmp_path / "d.pcap").write_bytes(b"not a capture at all, whatever its name says")
     with pytest.raises(Exception, match="not a capture file"):
         read_packets(spark, str(tmp_path / "d.pcap")).collect()
+
+
+def _mixed_captures(folder):
+    """Captures whose frames look like records themselves, of both kinds and byte
+    orders, with sections and interfaces in the middle, and one long frame."""
+    import struct
+    frames = [_frame_bytes(i % 3) + bytes(i % 50) for i in range(300)]
+    inner = b"".join(struct.pack("<IIII", 1_700_000_000, 5, 16, 16) + b"\0" * 16 for _ in range(40))  # a capture within a frame
+    frames[50], frames[120] = _frame_bytes() + inner, _frame_bytes() + bytes(9_000)
+    for name, e in (("little.pcap", "<"), ("big.pcap", ">")):
+        out = struct.pack(e + "IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
+        for i, f in enumerate(frames):
+            out += struct.pack(e + "IIII", 1_700_000_000 + i, i, len(f), len(f)) + f
+        (folder / name).write_bytes(out)
+    at = [(1_700_000_000_000_000 + i, f) for i, f in enumerate(frames)]
+    nested = _frame_bytes() + _pcapng(at[:8])[48:]
+    (folder / "sections.pcapng").write_bytes(_pcapng(at[:130]) + _pcapng([(t * 1000, f) for t, f in at[130:200]], ">", 9)
+                                             + _pcapng(at[200:] + [(1_800_000_000_000_000, nested)]))
+    return 2 * len(frames) + len(frames) + 1
+
+
+def test_any_range_size_gives_the_same_packets(spark, tmp_path):
+    n = _mixed_captures(tmp_path)
+    rows = lambda size: sorted(map(str, read_packets(spark, str(tmp_path / "*"), range_bytes=size).collect()))
+    whole = rows(1 << 30)
+    assert len(whole) == n
+    largest = max(f.stat().st_size for f in tmp_path.iterdir())
+    for parts in (3, 7):
+        assert rows(largest // parts + 1) == whole
+    times = {r.timestamp for r in read_packets(spark, str(tmp_path / "sections.pcapng"), range_bytes=2_000).collect()}
+    assert times == {(1_700_000_000_000_000 + i) / 1e6 for i in range(300)} | {1.8e9}
+    assert read_packets(spark, str(tmp_path / "*"), max_packets=10, range_bytes=8_000).count() == 30
+
+
+def test_cut_off_captures(spark, tmp_path):
+    import pytest
+    _mixed_captures(tmp_path)
+    (tmp_path / "cut.pcap").write_bytes((tmp_path / "little.pcap").read_bytes()[:-20])
+    got = read_packets(spark, str(tmp_path / "cut.pcap"), range_bytes=3_000).orderBy("packet_index").collect()
+    assert len(got) == 300 and got[-1].packet_size == len(_frame_bytes(299 % 3)) + 299 % 50 - 20
+    (tmp_path / "cut.pcapng").write_bytes((tmp_path / "sections.pcapng").read_bytes()[:-20])
+    with pytest.raises(Exception, match="cut.pcapng: cut off in a block"):
+        read_packets(spark, str(tmp_path / "cut.pcapng"), range_bytes=3_000).collect()
+
+
+def test_ipv6_extension_headers():
+    import socket
+    import struct
+
+    from flowwarden.sources.pcap import _decode
+    src, dst = socket.inet_pton(socket.AF_INET6, "2001:db8::1"), socket.inet_pton(socket.AF_INET6, "fe80::2")
+    udp = struct.pack(">HHHH", 5353, 53, 8, 0)
+
+    def packet(first, rest):
+        return b"\x02" * 12 + b"\x86\xdd" + struct.pack(">IHBB", 6 << 28, len(rest), first, 9) + src + dst + rest
+
+    routing, auth = bytes([51, 1]) + bytes(14), bytes([17, 4]) + bytes(22)
+    fragment = lambda at: bytes([17, 0]) + struct.pack(">HI", at << 3, 7)
+    for pkt, port in ((packet(17, udp), 5353), (packet(43, routing + auth + udp), 5353), (packet(44, fragment(0) + udp), 5353),
+                      (packet(44, fragment(3) + udp), None), (packet(0, bytes([17, 200])), None), (packet(17, b""), None)):
+        row = _decode("f", 0, 0.0, len(pkt), pkt)
+        assert (row["src_ip"], row["dst_ip"], row["ip_ttl"], row.get("udp_src_port")) == ("2001:db8::1", "fe80::2", 9, port)
