@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
-from .rolling import exact_percentile, fitted_length, prefix_sums, sequence_windows
+from ..session import cut_lineage
+from .rolling import exact_percentile, fitted_length, global_index, prefix_sums, range_partitions, sequence_windows
 
 FOREST_DEFAULTS = {"numTrees": 100, "maxDepth": 20, "minInstancesPerNode": 1, "seed": 42}
 #: Bound of the class counts that weighting collects.
@@ -44,6 +45,22 @@ def train_test_split(df: DataFrame, key_col: str, seed: int = 42, test_fraction:
     return df.where(~flag), df.where(flag)
 
 
+def stratified_split(df: DataFrame, key_col: str, label: str = "label", seed: int = 42, test_fraction: float = 0.2, out: str = "is_test") -> DataFrame:
+    """Rows with a flag that is true for the given share of each class, to the nearest row
+    (halves up): the rows whose md5(key|seed) comes first. Ranks within classes are positions in one
+    range-partitioned order by class and digest, less the class's first position, so that no
+    class is one task's work. A null label is a class; rows of one key and label take any order."""
+    order = df.withColumns({"_class": F.col(label).cast("string"), "_digest": F.md5(F.concat(F.coalesce(F.col(key_col).cast("string"), F.lit("")), F.lit(f"|{seed}")))})
+    indexed = cut_lineage(global_index(order, ["_class", "_digest", key_col], range_partitions(df.sparkSession, df.count())))
+    classes = indexed.groupBy("_class").agg(F.min("_idx").alias("_first"), F.count(F.lit(1)).alias("_n")).limit(MAX_CLASSES + 1)
+    classes = cut_lineage(classes)
+    if classes.count() > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    c = F.broadcast(classes.withColumnRenamed("_class", "_of"))
+    test = F.col("_idx") - F.col("_first") < F.floor(F.col("_n") * F.lit(test_fraction) + 0.5)
+    return indexed.join(c, F.col("_class").eqNullSafe(F.col("_of"))).withColumn(out, test).select(*df.columns, out)
+
+
 def input_stages(features: list[str], out: str = "features") -> list:
     """Pipeline stages from raw columns to a vector: missing, NaN and infinite
     values become 0 in copies of the columns, at fitting and at scoring."""

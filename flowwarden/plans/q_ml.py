@@ -160,6 +160,14 @@ def train_test_split_q(spark, sf):
     return read_flows(spark, sf).select("flow_id", G.split_flag("flow_id", 42, 0.2).alias("is_test"))
 
 
+@register("stratified_split", with_flows("""
+SELECT flow_id, label_raw, row_number() OVER (PARTITION BY label_raw ORDER BY md5(CAST(flow_id AS VARCHAR) || '|42'), flow_id)
+ <= floor(count(*) OVER (PARTITION BY label_raw) * CAST(0.2 AS DOUBLE) + 0.5) AS is_test FROM flows"""))
+def stratified_split_q(spark, sf):
+    """Exactly a fifth of each class, to the nearest row, is held out."""
+    return G.stratified_split(read_flows(spark, sf).select("flow_id", "label_raw"), "flow_id", "label_raw")
+
+
 @register("class_weights", with_flows(f"""
 , c AS (SELECT {label_sql('label_raw')} AS label, count(*) AS nc FROM flows GROUP BY 1)
 SELECT label, {rnd('(SELECT sum(nc) FROM c) / ((SELECT count(*) FROM c) * nc)', 6)} AS weight,

@@ -161,3 +161,18 @@ def test_chain_with_held_out_rows(spark):
     again = T.score_flows(T.load_detector(spark, path), f)
     a = T.score_flows(models, f).select("flow_id", *T.SCORES)
     assert a.exceptAll(again.select("flow_id", *T.SCORES)).count() == 0
+
+
+def test_stratified_split_is_exact_per_class(spark):
+    from pyspark.sql import functions as F
+
+    from flowwarden.operators.models import stratified_split
+    sizes = {"hot": 4000, "a": 13, "b": 12, "one": 1, "two": 2, "three": 3, None: 8}
+    rows = [(None if i == 5 else f"{c}{i}", c, i) for c, n in sizes.items() for i in range(n)] + [("a1", "a", 1)]  # a repeated row
+    df = spark.createDataFrame(rows, "k string, label string, _of_row int").repartition(7)
+    split = stratified_split(df, "k")
+    got = {r.label: (r.n, r.t) for r in split.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("t")).collect()}
+    assert got == {c: (n + (c == "a"), int((n + (c == "a")) * 0.2 + 0.5)) for c, n in sizes.items()}
+    again = stratified_split(df.repartition(3), "k")
+    assert split.where("is_test").select("k", "label").exceptAll(again.where("is_test").select("k", "label")).count() == 0
+    assert stratified_split(df.limit(0), "k").count() == 0
