@@ -14,6 +14,8 @@ from ..oracle import ALERTS_CTE, FLOWS_SQL, with_flows, with_scored
 from ..sources.tables import read_flows, read_table
 from ..streaming import jobs as J
 from ..streaming import windows as W
+from ..streaming.alert_log import AlertLog, logged_batch_writer
+from ..streaming.progress import ProgressLog, progress_summary
 from .catalog import register
 from .detection import SCORE_COLS, alerts_from_flows, flat_alerts, with_model_scores
 
@@ -161,6 +163,50 @@ def stream_alerts(spark, sf):
     return flat_alerts(spark.read.parquet(sink).drop(*J.SINK_KEYS))
 
 
+@register("stream_alert_log", f"WITH {ALERTS_CTE}\n" + """
+SELECT alert_id, strftime("timestamp", '%Y-%m-%d %H:%M:%S.%f') AS alert_time, severity, alert_type, description,
+ source_ip, destination_ip, round(confidence, 6) AS confidence, status FROM alerts""")
+def stream_alert_log(spark, sf):
+    """Four files of flows, one micro-batch each, into the alert log, which is
+    compacted after every second batch; after a fifth batch that repeats the last one's id, the log is read."""
+    folder, schema = _land_parts(spark, sf, 4)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    path, ck = J.scratch_path(spark, "alert-log"), J.scratch_path(spark, "alert-log-ckpt")
+    writer = logged_batch_writer(path, J.run_id(ck), compact_every=2)
+    _await(alerts_from_flows(stream).writeStream.foreachBatch(writer).option("checkpointLocation", ck).trigger(availableNow=True).start())
+    flows = spark.read.schema(schema).parquet(folder)
+    writer(alerts_from_flows(flows), 3)
+    return flat_alerts(AlertLog(spark, path).read(alerts_from_flows(flows).schema))
+
+
+@register("stream_progress", with_flows("""
+SELECT CAST(4 AS BIGINT) AS batches, CAST(2 AS BIGINT) AS runs, CAST(count(*) AS BIGINT) AS rows_processed FROM flows"""))
+def stream_progress(spark, sf):
+    """Landed progress of one checkpoint's two runs, of two files each."""
+    path, sink, ck = (J.scratch_path(spark, n) for n in ("progress", "progress-alerts", "progress-ckpt"))
+    log = ProgressLog(spark, path)
+    spark.streams.addListener(log)
+    try:
+        folder = None
+        for half in (0, 1):
+            folder, schema = _land_parts(spark, sf, 2, f"flow_id % 2 = {half}", folder)
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+            q = J.score_stream(stream, alerts_from_flows, sink, ck, trigger={"availableNow": True})
+            _await(q)
+            log.wait(q.runId)
+    finally:
+        spark.streams.removeListener(log)
+    return progress_summary(spark, path).select("batches", "runs", "rows_processed")
+
+
+def _land_parts(spark, sf, files: int, where: str = "true", folder: str | None = None):
+    """The flows in ``files`` files; the folder and the schema."""
+    flows = read_flows(spark, sf)
+    folder = folder or J.scratch_path(spark, "flow-parts")
+    flows.where(where).repartition(files).write.mode("append").parquet(folder)
+    return folder, flows.schema
+
+
 @register("stream_flow_events", with_flows("""
 SELECT flow_id, CAST(0 AS DOUBLE) AS duration, CAST(packet_size AS DOUBLE) AS src_bytes, CAST(0 AS DOUBLE) AS dst_bytes,
  CASE WHEN protocol_type = 'icmp' THEN 'unknown' ELSE protocol_type END AS protocol_type,
