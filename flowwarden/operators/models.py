@@ -194,20 +194,26 @@ def sequence_scores(model, length: int, df: DataFrame, features: list[str], labe
     return df.drop(out).join(s, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit(0.0)))
 
 
-def classification_metrics(df: DataFrame, label: str = "label", pred: str = "prediction", by=()) -> DataFrame:
-    """Accuracy, precision, recall, F1 of class 1 (0 on a zero divisor) and
-    the confusion counts, in one aggregate (per ``by`` group)."""
-    y, p = F.col(label).cast("int"), F.col(pred).cast("int")
-    agg = [F.sum(((y == 1) & (p == 1)).cast("long")).alias("tp"), F.sum(((y == 0) & (p == 1)).cast("long")).alias("fp"),
-           F.sum(((y == 0) & (p == 0)).cast("long")).alias("tn"), F.sum(((y == 1) & (p == 0)).cast("long")).alias("fn")]
-    m = df.groupBy(*by).agg(*agg) if by else df.agg(*agg)
+def _metric_columns() -> list:
+    """Metrics from the columns tp, fp, tn, fn; 0 on a zero divisor."""
     tp, fp, tn, fn = (F.col(c).cast("double") for c in ("tp", "fp", "tn", "fn"))
     prec = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(F.lit(0.0))
     rec = F.when(tp + fn > 0, tp / (tp + fn)).otherwise(F.lit(0.0))
-    return m.select(*by, "tp", "fp", "tn", "fn",
-                    F.when(tp + fp + tn + fn > 0, (tp + tn) / (tp + fp + tn + fn)).otherwise(F.lit(0.0)).alias("accuracy"),
-                    prec.alias("precision"), rec.alias("recall"),
-                    F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0)).alias("f1_score"))
+    return ["tp", "fp", "tn", "fn", F.when(tp + fp + tn + fn > 0, (tp + tn) / (tp + fp + tn + fn)).otherwise(F.lit(0.0)).alias("accuracy"),
+            prec.alias("precision"), rec.alias("recall"), F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0)).alias("f1_score")]
+
+
+def _confusion(label: str, pred: str) -> list:
+    y, p = F.col(label).cast("int"), F.col(pred).cast("int")
+    cells = {"tp": (1, 1), "fp": (0, 1), "tn": (0, 0), "fn": (1, 0)}
+    return [F.sum(((y == a) & (p == b)).cast("long")).alias(c) for c, (a, b) in cells.items()]
+
+
+def classification_metrics(df: DataFrame, label: str = "label", pred: str = "prediction", by=()) -> DataFrame:
+    """Accuracy, precision, recall, F1 of class 1 (0 on a zero divisor) and
+    the confusion counts, in one aggregate (per ``by`` group)."""
+    m = df.groupBy(*by).agg(*_confusion(label, pred)) if by else df.agg(*_confusion(label, pred))
+    return m.select(*by, *_metric_columns())
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by=()) -> DataFrame:
@@ -226,10 +232,17 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by=()) ->
 
 
 def evaluate_models(long: DataFrame) -> DataFrame:
-    """Long (model, label, prediction, score) rows -> per-model metrics."""
-    m = classification_metrics(long, "label", "prediction", by=["model"])
-    a = roc_auc(long, "label", "score", by=["model"])
-    return m.join(a, "model", "left")
+    """Long (model, label, prediction, score) rows -> per-model metrics: the rows
+    are read once into counts per model and score, which give the confusion counts
+    (summed) and the AUC (by the negatives below each score)."""
+    y = F.col("label").cast("int")
+    per_score = long.groupBy("model", F.col("score").cast("double").alias("_s")).agg(
+        F.sum((y == 1).cast("long")).alias("_pos"), F.sum((y == 0).cast("long")).alias("_neg"), *_confusion("label", "prediction"))
+    below = prefix_sums(per_score, ["_s"], ["_neg"], partition_by=["model"], inclusive=False)
+    t = below.groupBy("model").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn")], F.sum("_pos").cast("double").alias("_P"),
+                                   F.sum("_neg").cast("double").alias("_N"), F.sum(F.col("_pos") * (F.col("_neg_cum") + F.col("_neg") / 2.0)).alias("_u"))
+    auc = F.when((F.col("_P") > 0) & (F.col("_N") > 0), F.col("_u") / (F.col("_P") * F.col("_N"))).otherwise(F.lit(0.5))
+    return t.select("model", *_metric_columns(), auc.alias("roc_auc"))
 
 
 def save_models(spark, models: dict, path: str, side_info: dict | None = None) -> None:

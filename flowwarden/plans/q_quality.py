@@ -42,6 +42,16 @@ def duplicate_rows(spark, sf):
     return C.duplicate_rows(f)
 
 
+@register("duplicate_rows_all", with_gaps("""
+SELECT CAST(COALESCE(sum(n - 1), 0) AS BIGINT) AS duplicate_records
+FROM (SELECT count(*) AS n FROM (SELECT * FROM gaps UNION ALL SELECT * FROM gaps WHERE flow_id % 7 = 0) GROUP BY ALL)""".replace(
+    "GROUP BY ALL", f"GROUP BY {', '.join(_GAP_COLS)}")))
+def duplicate_rows_all(spark, sf):
+    """Every seventh row twice, over all columns, nulls included."""
+    f = flows_with_gaps(read_flows(spark, sf))
+    return C.duplicate_rows(f.unionByName(f.where("flow_id % 7 = 0")))
+
+
 @register("label_distribution", with_flows(f"""
 SELECT {label_sql('label_raw')} AS label, CAST(count(*) AS BIGINT) AS label_count FROM flows GROUP BY 1"""))
 def label_distribution(spark, sf):

@@ -60,6 +60,16 @@ def traffic_windows(spark, sf):
                     F.round("total_bytes", 4).alias("total_bytes"))
 
 
+@register("traffic_windows_sliding", with_flows(f"""
+SELECT 'half_hour' AS window_name, strftime(to_timestamp((floor(epoch(ts) / 600) - k) * 600), {TS_SQL}) AS window_start,
+ CAST(count(*) AS BIGINT) AS flows, round(sum(src_bytes + dst_bytes), 4) AS total_bytes FROM flows, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 2
+UNION ALL SELECT 'ten', {_bucket_sql(600)}, CAST(count(*) AS BIGINT), round(sum(src_bytes + dst_bytes), 4) FROM flows GROUP BY 2"""))
+def traffic_windows_sliding(spark, sf):
+    """Half hours that start every ten minutes, rolled up from tens of minutes."""
+    t = W.traffic_windows(read_flows(spark, sf), windows={"half_hour": "30 minutes", "ten": "10 minutes"}, slide={"half_hour": "10 minutes"})
+    return t.select("window_name", _fmt("window_start").alias("window_start"), "flows", F.round("total_bytes", 4).alias("total_bytes"))
+
+
 @register("port_scan_windows", with_flows(f"""
 SELECT src_ip, {_bucket_sql(3600)} AS window_start, CAST(count(*) AS BIGINT) AS packets,
  CAST(count(DISTINCT dst_port) AS INTEGER) AS unique_ports, count(DISTINCT dst_port) > 1 AND count(*) >= 2 AS is_port_scan

@@ -10,6 +10,7 @@ set per (window, source) is bounded by the 65,536 possible ports.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,16 +69,24 @@ def packets_in_last_second(df: DataFrame, as_of, ts: str = "ts") -> DataFrame:
 
 def traffic_windows(df: DataFrame, ts: str = "ts", windows: dict | None = None, bytes_cols=("src_bytes", "dst_bytes"),
                     slide: dict | None = None) -> DataFrame:
-    """Flows and bytes per tumbling (or sliding) window for each named size."""
+    """Flows and bytes per tumbling (or sliding) window for each named size. In a
+    batch, windows are rolled up from the largest smaller tumbling ones that divide
+    their size and slide: the rows are read and shuffled once, for the smallest."""
     windows = windows or TRAFFIC_WINDOWS
-    parts = []
-    for name, size in windows.items():
-        w = F.window(as_ltz(F.col(ts)), size, (slide or {}).get(name, size))
-        total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in bytes_cols), F.lit(0.0))
-        parts.append(df.groupBy(w.alias("w")).agg(F.count(F.lit(1)).cast("bigint").alias("flows"),
-                                                  F.sum(total).alias("total_bytes"))
-                       .select(F.lit(name).alias("window_name"), F.col("w.start").alias("window_start"),
-                               F.col("w.end").alias("window_end"), "flows", "total_bytes"))
+    slide = slide or {}
+    seconds = lambda size: pd.Timedelta(size).total_seconds()
+    total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in bytes_cols), F.lit(0.0))
+    rows = df.select(as_ltz(F.col(ts)).alias("_at"), F.lit(1).cast("bigint").alias("flows"), total.alias("total_bytes"))
+    made, parts = {}, []
+    for name, size in sorted(windows.items(), key=lambda w: seconds(w[1])):
+        step = slide.get(name, size)
+        base = [n for n in made if not seconds(size) % seconds(windows[n]) and not seconds(step) % seconds(windows[n])] if not df.isStreaming else []
+        source = made[base[-1]].select(F.col("window_start").alias("_at"), "flows", "total_bytes") if base else rows
+        part = (source.groupBy(F.window("_at", size, step).alias("w")).agg(F.sum("flows").alias("flows"), F.sum("total_bytes").alias("total_bytes"))
+                .select(F.lit(name).alias("window_name"), F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "flows", "total_bytes"))
+        if step == size:
+            made[name] = part
+        parts.append(part)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -201,3 +201,24 @@ def test_exact_percentile_equals_interpolation(spark):
         want = ordered[lo] + (ordered[min(lo + 1, len(values) - 1)] - ordered[lo]) * (pos - lo)
         for accuracy in (50, 100_000):
             assert math.isclose(exact_percentile(df, "x", q, accuracy=accuracy).first()[0], want, abs_tol=1e-9)
+
+
+def test_hashed_duplicates_tell_nulls_apart(spark):
+    from flowwarden.operators.quality import duplicate_rows
+    rows = [(None, "a", "b", 1.0), ("a", None, "b", 1.0), ("a", "b", None, 1.0), ("a", "b", None, 1.0), ("a", "b", None, None), (None, None, None, None),
+            (None, None, None, None), ("", "a", "b", 1.0), ("a", "b", "", float("nan")), ("a", "b", "", float("nan")), ("ab", "", "", 0.0), ("a", "b", "", 0.0)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d double")
+    assert duplicate_rows(df).first()[0] == 3 and duplicate_rows(df.limit(0)).first()[0] == 0
+    assert duplicate_rows(df.select("a")).first()[0] == df.count() - df.select("a").distinct().count()
+    assert "_h1" in df.transform(duplicate_rows)._jdf.queryExecution().toString()
+
+
+def test_rolled_up_windows_equal_each_alone(spark):
+    from conftest import SMALL
+    from flowwarden.sources.tables import read_flows
+    from flowwarden.streaming import windows as W
+    f = read_flows(spark, SMALL)
+    sizes = {"long": "2 hours", "odd": "7 minutes", "short": "5 minutes", "medium": "30 minutes"}
+    whole = lambda d: {(r.window_name, r.window_start): (r.flows, round(r.total_bytes, 4)) for r in d.collect()}
+    alone = {k: v for name, size in sizes.items() for k, v in whole(W.traffic_windows(f, windows={name: size})).items()}
+    assert whole(W.traffic_windows(f, windows=sizes)) == alone
