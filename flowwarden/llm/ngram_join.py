@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .firstseen import CHUNK_BYTES, Keys, chunked, in_order, in_steps, top_bits
 from .mixing import WORD
-from .tables import written
+from .tables import trimmed, written
 from .text import LOWER, WORDS, Slice, column_bytes, mix, windows_in_rows, word_hashes
 
 NGRAM = 3
@@ -38,8 +38,8 @@ PERCENT = 90
 SPARE = 0.3
 #: Cost of one chance partner in signatures.
 PARTNER = 4.0
-#: Pairs of one centre that are verified in a task.
-VERIFY_ROWS = 2000
+#: Mean bytes of the sets that meet their centre in one group.
+GROUP_BYTES = 4 << 20
 _OTHER = np.uint64(0x8CB92BA72F3D8DD7)
 
 
@@ -197,65 +197,113 @@ class _Sets:
 SETS = "doc_id long, n int, key long, key2 long, signatures array<struct<signature:long,scheme:int,spare:int,need:int>>, members binary"
 
 
-def _at_centre(pairs: DataFrame, sets: DataFrame, run, schema: str) -> DataFrame:
-    """``run(own, ids, parts, table)`` for each centre a of ``pairs`` (a, b, ...):
-    the sets of all b travel to a, in salted groups that each hold a's set once."""
-    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / VERIFY_ROWS).cast("long").alias("parts"))
-    salted = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("parts"))).drop("parts")
-    centre = salted.select("a", "salt", F.col("a").alias("b")).distinct()
+def _at_centre(pairs: DataFrame, sets: DataFrame, run, schema: str, orders: DataFrame | None = None) -> DataFrame:
+    """``run(own, ids, parts, table)`` for each centre a of ``pairs`` (a, b, n, ...):
+    the sets of all b, n members each, travel to a in salted groups of about
+    ``GROUP_BYTES`` that each hold a's set (and its row of ``orders``) once."""
+    many = pairs.groupBy("a").agg(F.ceil(F.sum("n") * 8 / GROUP_BYTES).cast("int").alias("groups"))
+    salted = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("groups")))
+    centre = salted.select("a", "salt", "groups", F.col("a").alias("b")).distinct()
+    if orders is not None:
+        centre = centre.join(orders, "a", "left")
     rows = salted.unionByName(centre, allowMissingColumns=True).join(sets.select(F.col("doc_id").alias("b"), "members"), "b")
 
     def group(t: pa.Table) -> pa.Table:
         a, ids = t.column("a")[0].as_py(), t.column("b").to_numpy()
-        parts = [np.frombuffer(x, "<u8") for x in t.column("members").to_pylist()]
-        return run(a, next(p for p, i in zip(parts, ids) if i == a), ids, parts, t)
+        parts = [np.frombuffer(x.as_buffer(), "<u8") for x in t.column("members")]
+        out = run(a, next(p for p, i in zip(parts, ids) if i == a), ids, parts, t)
+        del parts, t
+        return trimmed(out)
 
     return rows.groupBy("a", "salt").applyInArrow(group, schema)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that link, with their whole sets compared."""
+def _slots(members: np.ndarray, size: int) -> np.ndarray:
+    """Places of members in a centre's table of counts of a size, a power of two."""
+    return (mix(members) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def _apart(own: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Members in which each part differs from ``own``, and how many each has."""
+    found, n = [], np.zeros(len(parts), np.int64)
+    for i, x in enumerate(parts):
+        place = np.minimum(np.searchsorted(own, x), len(own) - 1)
+        common = own[place] == x
+        lost = np.ones(len(own), bool)
+        lost[place[common]] = False
+        found += [x[~common], own[lost]]
+        n[i] = len(found[-1]) + len(found[-2])
+    return np.concatenate(found), n
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int, count: bool = False) -> DataFrame:
+    """Pairs (a, b) that link, with their whole sets compared. With ``count``, a row
+    (a, null, counts) for each group of a centre that has several: how many of the
+    group's documents differ from the centre in the members of each slot."""
     def run(a: int, own: np.ndarray, ids: np.ndarray, parts: list[np.ndarray], t: pa.Table) -> pa.Table:
         n = np.array([len(p) for p in parts])
-        every = np.concatenate(parts)
-        hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
-        both = np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n)
+        both = np.array([np.count_nonzero(own[np.minimum(np.searchsorted(own, x), len(own) - 1)] == x) for x in parts])
         good = (100 * both >= percent * (n + len(own) - both)) & (ids != a)
-        return pa.table({"a": pa.array(np.full(good.sum(), a), pa.int64()), "b": pa.array(ids[good], pa.int64())})
+        b, counts, groups = ids[good].tolist(), [None] * int(good.sum()), t.column("groups")[0].as_py()
+        if count and groups > 1:
+            size = 1 << min(18, 12 + (groups - 1).bit_length())
+            b, counts = [*b, None], [*counts, np.bincount(_slots(_apart(own, parts)[0], size), minlength=size)]
+        return pa.table({"a": pa.array([a] * len(b), pa.int64()), "b": pa.array(b, pa.int64()), "counts": pa.array(counts, pa.list_(pa.int64()))})
+
+    return _at_centre(pairs, sets, run, "a long, b long, counts array<long>")
+
 
-    return _at_centre(pairs, sets, run, "a long, b long")
+def _orders(verified: DataFrame) -> DataFrame:
+    """(a, size, slots, counts): the counts of all groups of a centre, by slot."""
+    slots = verified.filter("b IS NULL").select("a", F.size("counts").alias("size"), F.posexplode("counts").alias("slot", "rows")).filter("rows > 0")
+    slots = slots.groupBy("a", "size", "slot").agg(F.sum("rows").alias("rows"))
+    return (slots.groupBy("a", "size").agg(F.collect_list(F.struct("slot", "rows")).alias("o"))
+            .select("a", "size", F.col("o.slot").alias("slots"), F.col("o.rows").alias("counts")))
 
 
-def _differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, component, probe) -> also ``index`` and ``probes``: members by which b
-    is found, and by which it finds, among the documents of centre a.
+def _differences(pairs: DataFrame, sets: DataFrame, orders: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n, component, probe) -> (a, b, n, component, d, place, member, finds):
+    members by which b is found, and if ``finds`` also finds, among the documents
+    of centre a; b differs from a in ``d`` members, of which it is the one at ``place``.
 
     Let D be the members in which a document differs from the centre. Two documents
     of different components have one that doesn't link with the centre. If their D
     were disjoint, both would be near enough to link with it; so the D of linked
     ones share members: at least half of what their sizes exceed the allowed
     difference by, and all but the allowed difference. A document thus is found by
-    a prefix of its D in any fixed order; what the centre lacks goes first, which
-    few other documents share."""
+    a prefix of its D in any order that all documents of a centre have in common.
+    The order is by the number of them that differ in a member: those that no other
+    differs in are not written, and those that the centre alone has, or a common
+    passage, come last."""
     def run(a: int, own: np.ndarray, ids: np.ndarray, parts: list[np.ndarray], t: pa.Table) -> pa.Table:
-        probe = t.column("probe").to_pylist()
-        found, finds = [], []
-        for i, x in zip(range(len(ids)), parts):
-            place = np.minimum(np.searchsorted(own, x), len(own) - 1)
-            common = own[place] == x
-            lost = np.ones(len(own), bool)
-            lost[place[common]] = False
-            d = np.concatenate([x[~common], own[lost]]).view(np.int64)
-            longer = max(0, len(x) - len(own))
-            give = -(-longer * (100 - percent) // (100 + percent)) + 1 if longer else 0
-            apart = (len(x) + len(x) * 100 // percent) * (100 - percent) // (100 + percent)  # most that a linked one differs in
-            shared = max(1, len(d) - apart, -(-(len(d) + 1 - give) // 2))  # least overlap with a document that doesn't link with a
-            found.append(d[:max(0, len(d) - shared + 1)])
-            finds.append(d[:len(d) - max(1, len(d) - apart) + 1] if probe[i] and len(d) else d[:0])
-        return pa.table({"a": t.column("a"), "b": t.column("b"), "index": pa.array(found, pa.list_(pa.int64())),
-                         "probes": pa.array(finds, pa.list_(pa.int64()))}).filter(pa.array(ids != a))
-
-    return _at_centre(pairs, sets, run, "a long, b long, index array<long>, probes array<long>")
+        member, d = _apart(own, parts)
+        of = np.repeat(np.arange(len(ids)), d)
+        at = int(np.flatnonzero(ids == a)[0])
+        if t.column("slots")[at].is_valid:
+            counts = np.zeros(t.column("size")[at].as_py(), np.int64)
+            counts[t.column("slots")[at].values.to_numpy()] = t.column("counts")[at].values.to_numpy()
+            rows = counts[_slots(member, len(counts))]
+        else:
+            _, which, counts = np.unique(member, return_inverse=True, return_counts=True)
+            rows = counts[which]
+        order = np.lexsort((member, rows, of))
+        member, rows = member[order], rows[order]
+        place = np.arange(len(member)) - (np.cumsum(d) - d)[of]
+        n = np.array([len(x) for x in parts])
+        longer = np.maximum(0, n - len(own))
+        give = np.where(longer > 0, -(-longer * (100 - percent) // (100 + percent)) + 1, 0)
+        near = (n + n * 100 // percent) * (100 - percent) // (100 + percent)  # most that a linked one differs in
+        least = np.maximum(1, d - near)
+        shared = np.maximum(least, -(-(d + 1 - give) // 2))  # least overlap with a document that doesn't link with a
+        probe = t.column("probe").combine_chunks().fill_null(False).to_numpy(zero_copy_only=False)
+        index, finds = place <= (d - shared)[of], probe[of] & (place <= (d - least)[of])
+        keep = np.flatnonzero((rows > 1) & (index | finds))
+        of = of[keep]
+        return pa.table({"a": pa.array(np.full(len(keep), a), pa.int64()), "b": pa.array(ids[of], pa.int64()), "n": pa.array(n[of], pa.int64()),
+                         "component": t.column("component").take(pa.array(of)), "d": pa.array(d[of], pa.int64()), "place": pa.array(place[keep], pa.int64()),
+                         "member": pa.array(member[keep].view(np.int64), pa.int64()), "index": pa.array(index[keep]), "finds": pa.array(finds[keep])})
+
+    return _at_centre(pairs, sets, run, "a long, b long, n long, component long, d long, place long, member long, index boolean, finds boolean", orders)
 
 
 def _may_link(n: str, m: str, percent: int):
@@ -329,23 +377,25 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = written(shared.join(popular, "doc_id"), "ngram-groups")
     centre = members.groupBy("signature").agg(F.max(F.struct("popular", (-F.col("doc_id")).alias("id"))).alias("c"))
     pairs = written(members.join(centre.select("signature", (-F.col("c.id")).alias("a")), "signature").filter(F.col("a") != F.col("doc_id"))
-                    .groupBy("a", F.col("doc_id").alias("b")).agg(F.max("rows").alias("rows")), "ngram-pairs")
-    links = written(_verify(pairs.select("a", "b"), sets, percent), "ngram-links")
+                    .groupBy("a", F.col("doc_id").alias("b")).agg(F.max("rows").alias("rows"), F.max("n").alias("n")), "ngram-pairs")
+    verified = written(_verify(pairs.select("a", "b", "n"), sets, percent, count=True), "ngram-links")
+    links = verified.filter("b IS NOT NULL").select("a", "b")
     group = connected_components(links)
     # centres whose documents are in several components: partners may have been missed there
     of = group.select(F.col("node").alias("b"), F.col("component").alias("own"))
     to = group.select(F.col("node").alias("a"), F.col("component").alias("theirs"))
-    labelled = pairs.filter("rows > 2").join(of, "b", "left").join(to, "a", "left").select("a", "b", F.coalesce("own", "b").alias("component"), F.coalesce("theirs", "a").alias("theirs"))
-    labelled = labelled.select("a", "b", "component", (F.col("component") != F.col("theirs")).alias("probe"))
+    labelled = (pairs.filter("rows > 2").join(of, "b", "left").join(to, "a", "left")
+                .select("a", "b", "n", F.coalesce("own", "b").alias("component"), (F.coalesce("own", "b") != F.coalesce("theirs", "a")).alias("probe")))
     open_centres = labelled.filter("probe").select("a").distinct()
     labelled = written(labelled.join(open_centres, "a"), "ngram-open")
-    apart = written(_differences(labelled.select("a", "b", "probe"), sets, percent).join(labelled.select("a", "b", "component"), ["a", "b"])
-                    .join(sets.select(F.col("doc_id").alias("b"), "n"), "b"), "ngram-apart")
-    index = apart.select("a", "b", "n", "component", F.explode("index").alias("member"))
-    probes = apart.select("a", F.col("b").alias("c"), F.col("n").alias("m"), F.col("component").alias("other"), F.explode("probes").alias("member"))
-    rest = (index.join(probes, ["a", "member"]).filter((F.col("b") != F.col("c")) & (F.col("component") != F.col("other")) & _may_link("n", "m", percent))
-            .select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct())
-    more = written(_verify(rest, sets, percent), "ngram-more")
+    apart = written(_differences(labelled, sets, _orders(verified), percent), "ngram-apart")
+    index = apart.filter("index").select("a", "b", "n", "component", "d", "place", "member")
+    probes = apart.filter("finds").select("a", F.col("b").alias("c"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("d").alias("e"), F.col("place").alias("at"), "member")
+    # at the first member that both share, enough follow for the overlap they need
+    enough = 2 * F.least(F.col("d") - F.col("place"), F.col("e") - F.col("at")) >= F.col("d") + F.col("e") - F.floor((F.col("n") + F.col("m")) * (100 - percent) / (100 + percent))
+    rest = (index.join(probes, ["a", "member"]).filter((F.col("b") != F.col("c")) & (F.col("component") != F.col("other")) & _may_link("n", "m", percent) & enough)
+            .select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b"), F.when(F.col("b") > F.col("c"), F.col("n")).otherwise(F.col("m")).alias("n")).distinct())
+    more = written(_verify(rest, sets, percent).select("a", "b"), "ngram-more")
     if not more.isEmpty():
         group = connected_components(links.union(more))
     first = found.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "key", "key2").agg(F.min("doc_id").alias("rep"))

@@ -82,11 +82,13 @@ def test_null_ids_link_with_nothing(make, rows):
     assert {r.component_id for r in ngram_join.components(make(rows)).filter("doc_id IS NULL").collect()} == {None}
 
 
-@pytest.mark.parametrize("edits,shared", [(5, 0), (6, 2)])
-def test_families_around_no_original(make, edits, shared):
+@pytest.mark.parametrize("edits,shared,group_bytes", [(5, 0, 1 << 22), (6, 2, 1 << 22), (5, 0, 9000), (6, 2, 9000)])
+def test_families_around_no_original(make, edits, shared, group_bytes, monkeypatch):
     """Many edits of one text, most too far from each other and from any centre;
-    some pairs of them share edits and link across components."""
+    some pairs of them share edits and link across components. A centre's documents
+    are one group, or several with one order of differences."""
     import random
+    monkeypatch.setattr(ngram_join, "GROUP_BYTES", group_bytes)
     r = random.Random(edits)
     base = [f"v{i}" for i in range(260)]
     rows = []
