@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import trimmed
+
 #: Mean bytes of text in a chunk, and of text for each bucket of keys.
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 6 << 20
@@ -146,7 +148,7 @@ def answers(sent: DataFrame, step: int, dtype: np.dtype | str, where: str) -> Da
         out = pa.table({"step": pa.array([step] * len(parts), pa.int32()), "chunk": t.column("chunk"), "bucket": t.column("bucket"), **bits})
         return out.filter(pc.or_(out.column("seen").is_valid(), out.column("mixed").is_valid()))
 
-    return sent.groupBy("bucket").applyInArrow(run, ANSWER)
+    return sent.groupBy("bucket").applyInArrow(lambda t: trimmed(run(t)), ANSWER)
 
 
 def in_steps(chunks: DataFrame, steps: list[tuple[Callable, np.dtype | str, str]], finish: Callable, schema: str | T.StructType) -> DataFrame:
@@ -158,10 +160,10 @@ def in_steps(chunks: DataFrame, steps: list[tuple[Callable, np.dtype | str, str]
     nothing = pa.table({"bucket": pa.array([], pa.int32()), "chunk": pa.array([], pa.int32()), "keys": pa.array([], pa.binary())})
 
     def alone(keys: Callable) -> Callable:  # Spark calls by the number of parameters
-        return lambda t: keys(t, none).sent(t.column("chunk")[0].as_py())
+        return lambda t: trimmed(keys(t, none).sent(t.column("chunk")[0].as_py()))
 
     def told(keys: Callable) -> Callable:
-        return lambda t, a: keys(t, a if a.num_rows else none).sent(t.column("chunk")[0].as_py()) if t.num_rows else nothing
+        return lambda t, a: trimmed(keys(t, a if a.num_rows else none).sent(t.column("chunk")[0].as_py()) if t.num_rows else nothing)
 
     got = None
     for n, (keys, dtype, where) in enumerate(steps, 1):
@@ -170,7 +172,7 @@ def in_steps(chunks: DataFrame, steps: list[tuple[Callable, np.dtype | str, str]
         new = answers(sent, n, dtype, where)
         got = new if got is None else got.unionByName(new)
     return chunks.groupBy("chunk").cogroup(got.groupBy("chunk")).applyInArrow(
-        lambda t, a: finish(t, a if a.num_rows else none), schema)
+        lambda t, a: trimmed(finish(t, a if a.num_rows else none)), schema)
 
 
 def with_rest(chunks: DataFrame, ddl: str) -> T.StructType:

@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import trimmed
+
 SIZE = 1024
 END_ID = 2
 CELL_PIECES = 40_000
-#: Spans between spaces whose ids a Python worker keeps (about 250 bytes each).
+#: Spans between spaces whose ids a task keeps (about 250 bytes each).
 KEPT_SPANS = 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -84,6 +86,11 @@ class TokenIds:
             return self.first[head] * bool(head) + b"".join(map(self.later.__getitem__, tail)) + self.later[""]
         return self.first[head] * bool(head) + b"".join(map(self.later.__getitem__, tail))
 
+    def forget(self) -> None:
+        """Drop what was kept: the worker may run other tasks next."""
+        self.first.clear()
+        self.later.clear()
+
 
 def _shown_bytes() -> dict[str, int]:
     """The byte that each character of the vocabulary file stands for: printable
@@ -123,6 +130,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
                 cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        encode.forget()
+        trimmed()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
 

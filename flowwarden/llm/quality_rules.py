@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import trimmed, written
 from .text import BYTES, IS_SPACE, LOWER, SYMBOL, WORDS, covered, mix, slices, windows_in_rows, word_hashes
 
 MIN_WORDS = 20
@@ -76,6 +76,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     n_words, p.per_row(inside), p.per_row(SYMBOLS[p.data]), dup, run[bounds[1:]] - run[bounds[:-1]])]
                 + [pa.array(sets, pa.string()), pa.array(lines, line_type)],
                 ["doc_id", "host", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_set", "lines"])
+    trimmed()
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",

@@ -24,7 +24,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def trimmed(out: pa.Table) -> pa.Table:
+def trimmed(out: pa.Table | None = None) -> pa.Table | None:
     """``out``, after memory that the worker has freed went back to the system: a
     worker that is used again doesn't keep the most that any group needed."""
     pa.default_memory_pool().release_unused()
