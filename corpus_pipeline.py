@@ -17,6 +17,8 @@ from flowwarden.llm.tables import table, written  # noqa: E402
 #: Near duplicates in the pipeline: words in a shingle and least similarity.
 NGRAM = 5
 PERCENT = 80
+#: Mean bytes of text that a task of the suffix stage sorts at once; results don't depend on it.
+SUFFIX_CHUNK_BYTES = 1 << 20
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings that repeat a smaller doc_id, with n_chars
     counted again. A document of nothing else stays, with an empty text."""
-    out = suffix_dedup.deduplicate(docs)
+    out = suffix_dedup.deduplicate(docs, chunk_bytes=SUFFIX_CHUNK_BYTES)
     new = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
     return out.select(*[new.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
 
