@@ -45,8 +45,8 @@ ROWS_PER_BATCH = 20_000
 #: Bytes of a file that one row of the work table stands for.
 RANGE_BYTES = 64 << 20
 PIECE = 4 << 20
-#: Plausible frames and blocks have at most so many bytes, and follow each other so many times. Wrong guesses cost a further scan.
-MAX_FRAME, MAX_BLOCK, RUN = 262_144, 16 << 20, 6
+#: Plausible frames and blocks have at most so many bytes, and follow each other so many times and for so many bytes. Wrong guesses cost a further scan.
+MAX_FRAME, MAX_BLOCK, RUN, VERIFIED = 262_144, 16 << 20, 6, 262_144
 _EXTENSIONS = (0, 43, 60, 135)  # IPv6 extension headers whose length is in units of 8 bytes
 
 
@@ -55,11 +55,10 @@ class CaptureError(ValueError):
 
 
 class _File:
-    """Bytes of a file by their offset, read forward in pieces."""
+    """Bytes of a file by their offset, read forward in pieces; ``span`` is what is wanted in all, about."""
 
-    def __init__(self, path: str, at: int = 0):
-        self.stream, self.at, self.data = _open(path), at, b""
-        self.stream.seek(at)
+    def __init__(self, path: str, span: int = PIECE):
+        self.stream, self.at, self.data, self.piece = _open(path), 0, b"", max(1 << 16, min(span, PIECE))
 
     def get(self, at: int, n: int) -> bytes:
         """Up to ``n`` bytes from ``at``, which never goes back by more than a piece."""
@@ -68,8 +67,8 @@ class _File:
             self.at, self.data = at, b""
         have = self.at + len(self.data) - at
         if have < n:
-            keep = max(0, at - self.at - PIECE)
-            self.data = self.data[keep:] + self.stream.read(max(n - have, PIECE))
+            keep = max(0, at - self.at - self.piece)
+            self.data = self.data[keep:] + self.stream.read(max(n - have, self.piece))
             self.at += keep
         return self.data[at - self.at:at - self.at + n]
 
@@ -99,9 +98,9 @@ class _Classic:
         self.unit, self.rec, self.start = 1e9 if magic == _MAGIC_NS else 1e6, self.endian + _REC, struct.calcsize(_GLOBAL)
 
     def plausible(self, at: int) -> int | None:
-        """End of the record at ``at`` if it looks like one."""
+        """End of the record at ``at`` if it looks like one. Padding doesn't: a header has a time."""
         head = self.file.get(at, 16)
-        if len(head) < 16:
+        if len(head) < 16 or not any(head):
             return None
         _, sub, incl, size = struct.unpack(self.rec, head)
         return at + 16 + incl if sub < self.unit and incl <= size <= MAX_FRAME and at + 16 + incl <= self.size else None
@@ -167,16 +166,21 @@ def _capture(name: str, file: _File, size: int) -> _Classic | _NextGeneration:
 
 
 def _resync(capture: _Classic | _NextGeneration, start: int, end: int) -> int | None:
-    """The first place of a range at which ``RUN`` plausible records follow each
-    other (or fewer, up to the file's end)."""
+    """The first place of a range from which ``RUN`` plausible records and ``VERIFIED`` bytes of
+    them follow each other (or fewer, up to the file's end); if there is none, the place from
+    which they reach farthest. What looks like records within a frame ends with that frame."""
     step = 4 if isinstance(capture, _NextGeneration) else 1
+    failed, farthest, best = set(), start, None
     for at in range(start + -start % step, end, step):
         then, n = at, 0
-        while n < RUN and then < capture.size and (after := capture.plausible(then)) is not None:
+        while (n < RUN or then < at + VERIFIED) and then not in failed and (after := capture.plausible(then)) is not None:
+            failed.add(then)  # a chain that comes here ends where this one does
             then, n = after, n + 1
-        if n == RUN or n and then == capture.size:
+        if n >= RUN and then >= at + VERIFIED or n and then == capture.size:
             return at
-    return None
+        if then > farthest and then not in failed:
+            farthest, best = then, at
+    return best
 
 
 _SCAN = ("path string, size long, start long, stop long, first long, last long, packets long, "
@@ -186,7 +190,7 @@ _SCAN = ("path string, size long, start long, stop long, first long, last long,
 def _scan(path: str, size: int, start: int, stop: int, first: int | None, endian: str | None) -> dict:
     """What a range holds, read from ``first`` (found out if null): the place after its last record, the number
     of packets, and the byte order and interfaces that later ranges go on with."""
-    with _File(path) as file:
+    with _File(path, stop - start) as file:
         capture = _capture(path, file, size)
         if first is None:
             first = capture.start if start == 0 else _resync(capture, start, stop)
@@ -313,7 +317,7 @@ def capture_ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFram
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     section = scanned.withColumns({"part": F.sum(F.col("section").cast("int")).over(order), "index": F.coalesce(F.sum("packets").over(earlier), F.lit(0))})
     seen = Window.partitionBy("path", "part").orderBy("start")  # the interfaces of a section, so far
-    return whole.unionByName(section.withColumn("so_far", F.flatten(F.collect_list("units").over(seen)))
+    return whole.unionByName(section.withColumn("so_far", F.flatten(F.collect_list(F.when(F.size("units") > 0, F.col("units"))).over(seen)))
             .select("path", "size", "start", "stop", "first", "index", F.coalesce(F.lag("endian").over(order), F.lit("<")).alias("endian"),
                     F.coalesce(F.lag("so_far").over(order), F.array().cast("array<double>")).alias("units")))
 
@@ -334,7 +338,7 @@ def read_packets(spark: SparkSession, path_glob: str, max_packets: int | None =
     cols = PACKET_SCHEMA.fieldNames()
 
     def packets(r):
-        with _File(r.path) as file:
+        with _File(r.path, int(r.stop) - int(r.start)) as file:
             capture = _capture(r.path, file, int(r.size_))
             state = {"endian": r.endian, "units": [float(u) for u in r.units]}
             try:

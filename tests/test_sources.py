@@ -124,6 +124,26 @@ def test_any_range_size_gives_the_same_packets(spark, tmp_path):
     assert read_packets(spark, str(tmp_path / "*"), max_packets=10, range_bytes=8_000).count() == 30
 
 
+def test_ranges_find_their_first_record_behind_padding(tmp_path):
+    """Frames padded with zeros, and frames that carry a capture: a wrong place costs a pass over the file for each range."""
+    import struct
+
+    from flowwarden.sources.pcap import _scan
+    inner = b"".join(struct.pack("<IIII", 1_700_000_000, 5, 64, 64) + b"\1" * 64 for _ in range(15))
+    frames = [_frame_bytes() + (inner + b"\1" * 7 if i % 3 == 0 else bytes(i * 31 % 1_400)) for i in range(600)]
+    out, starts = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1), []
+    for i, f in enumerate(frames):
+        starts.append(len(out))
+        out += struct.pack("<IIII", 1_700_000_000 + i, i, len(f), len(f)) + f
+    path = tmp_path / "padded.pcap"
+    path.write_bytes(out)
+    for start in range(0, len(out), 10_000):
+        stop = min(start + 10_000, len(out))
+        got = _scan(str(path), len(out), start, stop, None, None)
+        held = [s for s in starts if start <= s < stop]
+        assert (got["first"], got["packets"]) == (held[0], len(held))
+
+
 def test_cut_off_captures(spark, tmp_path):
     import pytest
     _mixed_captures(tmp_path)
