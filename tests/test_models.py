@@ -176,3 +176,30 @@ def test_stratified_split_is_exact_per_class(spark):
     again = stratified_split(df.repartition(3), "k")
     assert split.where("is_test").select("k", "label").exceptAll(again.where("is_test").select("k", "label")).count() == 0
     assert stratified_split(df.limit(0), "k").count() == 0
+
+
+def test_sequence_windows_need_their_columns_alone(spark):
+    """Scores of other models beside a sequence's columns are neither computed nor kept."""
+    from pyspark.sql import functions as F
+
+    from flowwarden.operators.rolling import sequence_windows
+    d = spark.range(50).select(F.col("id").alias("flow_id"), F.col("id").alias("ts"), (F.col("id") % 2).alias("label"), (F.col("id") * 1.0).alias("x"),
+                               F.raise_error(F.lit("computed")).alias("other"))
+    rows = {r.flow_id: r for r in sequence_windows(d, ["x"], length=3).collect()}
+    assert sorted(rows) == list(range(3, 50)) and rows[9].sequence == [[6.0], [7.0], [8.0]] and rows[9].target == 1
+
+
+def test_scratch_ends_with_its_rows(spark):
+    """What is settled stays, what it was made from is deleted."""
+    import glob
+
+    from flowwarden.session import checkpoint_dir, cut_lineage, scratch, settled
+    left = lambda: glob.glob(checkpoint_dir(spark).removeprefix("file:") + "/scratch/*")
+    before = set(left())
+    with scratch():
+        out = settled(lambda: cut_lineage(spark.range(100)).where("id % 2 = 0"))
+        assert len(set(left()) - before) == 1 and out.count() == 50
+        kept = cut_lineage(out.where("id > 50"), lasting=True)
+        done = settled(lambda: out)
+        assert done.count() == 50
+    assert set(left()) == before and kept.count() == 24
