@@ -203,3 +203,22 @@ def test_scratch_ends_with_its_rows(spark):
         done = settled(lambda: out)
         assert done.count() == 50
     assert set(left()) == before and kept.count() == 24
+
+
+def test_scratch_ends_with_its_shuffles(spark):
+    """Shuffle files of a step inside go with its query, not with the session."""
+    import time
+
+    from flowwarden.session import SHUFFLE_CLEANUP, cut_lineage, scratch
+    files = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+                     if "/shuffle_" in f}
+    before, was = files(), spark.conf.get(SHUFFLE_CLEANUP)
+    with scratch():
+        kept = cut_lineage(spark.range(20_000).repartitionByRange(4, "id"))
+        end = time.time() + 15
+        while files() - before and time.time() < end:
+            time.sleep(0.2)  # files are deleted in the background
+        assert not files() - before
+        counts = kept.groupBy((F.col("id") % 10).alias("k")).count()
+        assert len(counts.collect()) == len(counts.collect()) == 10  # a frame that is read again shuffles again
+    assert spark.conf.get(SHUFFLE_CLEANUP) == was
