@@ -222,3 +222,40 @@ def test_scratch_ends_with_its_shuffles(spark):
         counts = kept.groupBy((F.col("id") % 10).alias("k")).count()
         assert len(counts.collect()) == len(counts.collect()) == 10  # a frame that is read again shuffles again
     assert spark.conf.get(SHUFFLE_CLEANUP) == was
+
+
+def test_limited_forest_is_the_one_fitted_with_the_limits(spark, tmp_path):
+    """Trees cut at a depth or a least gain are those that MLlib grows with it (all features at every node,
+    as drawn ones depend on the order of nodes); all points of a fold share a fit."""
+    import numpy as np
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from flowwarden.operators import grid
+    d = _frame(spark)
+    x = G.drop_inputs(G.Pipeline(stages=G.input_stages(FEATS)).fit(d).transform(d)).select(
+        F.when(F.xxhash64("flow_id") % 4 == 0, F.lit(1.0)).otherwise(F.col("label").cast("double")).alias("label"), "features")
+
+    def nodes(depth, gain):
+        path = f"{tmp_path}/{depth}-{gain}"
+        RandomForestClassifier(numTrees=3, maxDepth=depth, minInfoGain=gain, minInstancesPerNode=20, featureSubsetStrategy="all", seed=5).fit(x).write().save(path)
+        return grid.Nodes(spark.read.parquet(f"{path}/data").collect())
+
+    whole = nodes(10, 0.0)
+    rows = np.array([r.features.toArray() for r in x.limit(500).collect()])
+    seen = set()
+    for depth, gain in [(10, 0.002), (4, 0.0), (7, 0.001), (0, 0.0), (10, 0.4), (9, 0.0)]:
+        cut, fitted = whole.limited(depth, gain), nodes(depth, gain)
+        assert cut.depth() == fitted.depth() <= depth
+        assert np.allclose(cut.votes(rows, [1, 3])[3], fitted.votes(rows, [3])[3])
+        assert np.allclose(whole.votes(rows, [3], [whole.shares(cut), whole.share])[3], [cut.votes(rows, [3])[3], whole.votes(rows, [3])[3]])
+        seen.add(cut.depth())
+    assert len(seen) > 2 and whole.depth() == 10
+
+    fits = []
+    fit = RandomForestClassifier.fit
+    RandomForestClassifier.fit = lambda self, *a: fits.append(self) or fit(self, *a)
+    try:
+        got = grid.grid_search_forest(d, FEATS, grid={"numTrees": [2, 4], "maxDepth": [2, 5], "minInstancesPerNode": [1, 9], "minInfoGain": [0.0, 0.3]}, folds=2).collect()
+    finally:
+        RandomForestClassifier.fit = fit
+    assert len(fits) == 4 and len(got) == 16 and all(0 <= r.mean_f1 <= 1 for r in got)
