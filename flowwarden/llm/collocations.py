@@ -269,38 +269,45 @@ def three_way(suffix: np.ndarray, weight: np.ndarray, depth: np.ndarray, least:
     A round splits every open partition by a pivot of its own into smaller, equal and
     larger; equal ones go on with the next column. A partition of less than ``least``
     is abandoned, unless some row of it was dealt out by more words (``depth``), so
-    that this is but a part of the phrase's count."""
+    that this is but a part of the phrase's count. Pointers of a partition lie
+    together: a round moves them in order, and sums over them are sums of slices."""
     rows, sizes, counts = [], [], []
-    pointer = np.arange(len(suffix))
-    part = np.zeros(len(suffix), np.int64)
-    column = np.zeros(1, np.int64)
-    last = suffix.shape[1] - 1
+    width = suffix.shape[1]
+    flat = np.ascontiguousarray(suffix).ravel()
+    pointer = np.arange(len(suffix)) * width  # where a row begins
+    deep = depth if depth.max(initial=1) > 1 else None
+    size, column = np.array([len(suffix)]), np.zeros(1, np.int64)
+    whole, weight = np.array([weight.sum()]), weight.astype(np.int64)
     while len(pointer):
-        at = column[part]
-        key = suffix[pointer, at].astype(np.int64)
-        pivot = np.zeros((3, len(column)), np.int64)
-        pivot[0, part], pivot[1, part[::-1]] = key, key[::-1]
-        middle = len(part) // 2
-        pivot[2, np.roll(part, middle)] = np.roll(key, middle)
-        pivot = np.median(pivot, 0).astype(np.int64)
-        child = 3 * part + 1 + np.sign(key - pivot[part])
-        total = np.bincount(child, weight[pointer], 3 * len(column)).astype(np.int64)
-        equal = np.arange(3 * len(column)) % 3 == 1
-        words = np.repeat(column, 3)  # of the phrase that an equal child is
-        partial = np.bincount(child, depth[pointer] > at, 3 * len(column)) > 0
-        over = equal & (np.repeat(pivot, 3) == 0)  # suffixes that end here
-        found = equal & ~over & (words > 0) & ((total >= least) | partial)
-        one = np.zeros(3 * len(column), np.int64)
-        one[child] = pointer
-        rows.append(one[found])
-        sizes.append(words[found])
-        counts.append(total[found])
-        later = np.bincount(child, depth[pointer] > at + 1, 3 * len(column)) > 0
-        stays = (total > 0) & np.where(equal, ~over & (words < last) & ((total >= least) | later), (total >= least) | partial)
-        number = np.cumsum(stays) - 1
-        kept = stays[child]
-        pointer, part = pointer[kept], number[child[kept]]
-        column = (words + equal)[stays]
+        begin = np.cumsum(size) - size
+        key = flat[pointer + np.repeat(column, size)]
+        first, middle, last = key[begin], key[begin + size // 2], key[begin + size - 1]
+        pivot = np.maximum(np.minimum(first, middle), np.minimum(np.maximum(first, middle), last))
+        mine = np.repeat(pivot, size)
+        sides = [key < mine, key == mine, key > mine]
+        total = [np.add.reduceat(weight * side, begin) for side in sides[:2]]
+        total.append(whole - total[0] - total[1])
+        partial, later = [column < 1] * 3, np.zeros(len(column), bool)
+        if deep is not None:
+            deepest = [np.maximum.reduceat(deep * side, begin) for side in sides]
+            partial, later = [d > column for d in deepest], deepest[1] > column + 1
+        over = pivot == 0  # suffixes that end here
+        found = ~over & (column > 0) & ((total[1] >= least) | partial[1])
+        one = begin + np.where(first == pivot, 0, np.where(middle == pivot, size // 2, size - 1))
+        rows.append(pointer[one[found]] // width)
+        sizes.append(column[found])
+        counts.append(total[1][found])
+        # column 0 holds no word, so that nothing is abandoned there
+        equal = ~over & (column < width - 1) & ((total[1] >= least) | later)
+        stays = [(t > 0) & ((t >= least) | p) for t, p in zip(total, partial)]
+        stays[1] = (total[1] > 0) & equal
+        kept = [np.flatnonzero(side & np.repeat(s, size)) for side, s in zip(sides, stays)]
+        size = np.concatenate([np.add.reduceat(side, begin, dtype=np.int64)[s] for side, s in zip(sides, stays)])
+        column = np.concatenate([column[stays[0]], column[stays[1]] + 1, column[stays[2]]])
+        whole = np.concatenate([t[s] for t, s in zip(total, stays)])
+        kept = np.concatenate(kept)
+        pointer, weight = pointer[kept], weight[kept]
+        deep = deep[kept] if deep is not None else None
     return np.concatenate(rows), np.concatenate(sizes), np.concatenate(counts)
 
 

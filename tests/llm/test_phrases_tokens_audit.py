@@ -236,3 +236,34 @@ def test_trie_keeps_only_its_last_path():
     trie.finish()
     assert Counter(trie.closed) == Counter((min(ids), filter_audit.md5(t).digest()) for t, ids in held.items()) and most <= 13
     assert [filter_audit.common(a, b) for a, b in ((b"", b""), (b"a", b""), (b"abc", b"abd"), (b"ab", b"abc"), (b"x", b"y"))] == [0, 0, 2, 2, 0]
+
+
+def test_three_way_costs_about_a_sort():
+    """Rows in order within each chunk, as they come: counts as by counting every prefix, in a few times the CPU time
+    of a sort of the rows (a pivot at the end of such a partition would take off one word in a round)."""
+    import time
+    from collections import Counter
+
+    import numpy as np
+
+    from flowwarden.llm.collocations import three_way
+    rng = np.random.default_rng(5)
+    n = 200_000
+    words = np.where(np.arange(5) < rng.integers(1, 6, n)[:, None], (rng.pareto(0.7, (n, 5)) * 20).clip(0, 5000).astype(np.int32) + 1, 0)
+    rows = np.concatenate([rng.integers(1, 4, (n, 1)), words], 1).astype(np.int32)
+    weight, depth = rng.integers(1, 4, n), np.ones(n, np.int64)
+    began = time.process_time()
+    np.lexsort(rows.T[::-1])
+    sort = time.process_time() - began
+    rows = np.concatenate([rows[i::4][np.lexsort(rows[i::4].T[::-1])] for i in range(4)])
+    began = time.process_time()
+    row, size, count = three_way(rows, weight, depth, 20)
+    took = time.process_time() - began
+    want = Counter()
+    for k in range(1, 6):
+        long = rows[:, k] > 0
+        prefixes, at = np.unique(rows[long, :k + 1], axis=0, return_inverse=True)
+        sums = np.bincount(at.ravel(), weight[long]).astype(int)
+        want.update({tuple(p): int(c) for p, c in zip(prefixes[sums >= 20].tolist(), sums[sums >= 20])})
+    assert {tuple(rows[r, :k + 1].tolist()): int(c) for r, k, c in zip(row, size, count)} == dict(want)
+    assert took < 40 * sort, (took, sort)
