@@ -2,6 +2,7 @@
 save -> load gives identical scores, metrics on edge cases."""
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import MEDIUM
@@ -259,3 +260,46 @@ def test_limited_forest_is_the_one_fitted_with_the_limits(spark, tmp_path):
     finally:
         RandomForestClassifier.fit = fit
     assert len(fits) == 4 and len(got) == 16 and all(0 <= r.mean_f1 <= 1 for r in got)
+
+
+def test_sequence_model_is_the_logistic_regression_of_its_windows(spark, monkeypatch):
+    """The model of the chunks is MLlib's of whole windows (which keeps all windows, so it is no longer fitted on them), also over
+    partitions of one row, and a score doesn't depend on where a chunk begins."""
+    import numpy as np
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from flowwarden.operators.rolling import sequence_windows
+    from flowwarden.operators.sequence import Chunks
+    feats = ["duration", "packet_size", "count", "is_udp", "zero"]
+    d = _frame(spark).withColumn("zero", F.lit(0.0)).withColumn("duration", F.when(F.col("flow_id") % 9 > 0, F.col("duration")))
+    d = d.withColumn("label", F.when(F.lag("count").over(Window.orderBy("ts", "flow_id")) > 90, 1).otherwise(F.col("label")))
+    test = G.split_flag("flow_id")
+    windows = sequence_windows(d.fillna(0, feats), feats).withColumn("v", array_to_vector(F.flatten("sequence"))).withColumn("y", F.col("target").cast("double"))
+    ml = Pipeline(stages=[StandardScaler(inputCol="v", outputCol="z", withMean=True),
+                          LogisticRegression(featuresCol="z", labelCol="y", weightCol="weight", regParam=0.01, maxIter=500, tol=1e-12)]).fit(
+        G.balanced_class_weights(windows.where(~test), "y"))
+    want = {r.flow_id: r.p for r in ml.transform(windows).select("flow_id", vector_to_array("probability")[1].alias("p")).collect()}
+
+    def no(*a):
+        raise AssertionError("keeps all windows")
+
+    monkeypatch.setattr(LogisticRegression, "_fit", no)
+    model, length = G.train_sequence(d, feats, "label", targets=~test, regParam=0.01)
+    got = {r.flow_id: r.lstm_score for r in G.sequence_scores(model, length, d, feats).collect()}
+    assert length == 5 and len(want) == len(got) - 5 and sum(got[k] == 0 for k in set(got) - set(want)) == 5
+    assert max(abs(got[k] - p) for k, p in want.items()) < 1e-5
+    assert np.std(list(want.values())) > 0.05
+    few = d.orderBy("ts", "flow_id").limit(40)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    margins = []
+    try:
+        for partitions, rows in (("40", 1024), ("1", 3), ("3", 7)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            c = Chunks(few.fillna(0, feats), feats, ["ts", "flow_id"], 5, chunk_rows=rows)
+            margins.append({r.flow_id: r.m for r in model.margins(c, ["ts", "flow_id"], "m").collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(margins[0]) == 35 and margins[0] == margins[1] == margins[2]
