@@ -26,6 +26,41 @@ def test_manifest_matches_files(spark):
     assert m["events.parquet"] == (os.path.getsize(p), hashlib.md5(open(p, "rb").read()).hexdigest())
 
 
+def test_manifest_of_files_in_pieces(spark, tmp_path, monkeypatch):
+    """Digests are those of whole files, and no task reads more than a piece (a file was one task's before)."""
+    import hashlib
+    piece, sizes = 1000, [1, 999, 1000, 1001, 2000, 3077, 64_000]
+    for n in sizes:
+        (tmp_path / f"{n}.bin").write_bytes(os.urandom(n))
+    want = {f"{n}.bin": (n, hashlib.md5((tmp_path / f"{n}.bin").read_bytes()).hexdigest()) for n in sizes}
+    m = A.file_manifest(spark, str(tmp_path / "*.bin"), piece_bytes=piece)
+    assert {os.path.basename(r.path): (r.size_bytes, r.md5) for r in m.collect()} == want
+    read = []
+    monkeypatch.setattr(A, "_pieces", lambda path, a, b, f=A._pieces: read.append(b - a) or f(path, a, b))
+    f = (str(tmp_path / "3077.bin"), 3077, 0, b"")
+    for k in range(1, 5):
+        f = A._hashed_on(f, k * piece, A._crypto())
+    assert f[3] == want["3077.bin"][1] and A._crypto() and read == [1000, 1000, 1000, 77]
+    # where the library is missing in some tasks, the digest is the same
+    for libs in ([None] * 4, [A._crypto(), None, None, A._crypto()], [None, A._crypto(), A._crypto(), None]):
+        f = (str(tmp_path / "3077.bin"), 3077, 0, b"")
+        for k, lib in enumerate(libs, 1):
+            f = A._hashed_on(f, k * piece, lib)
+        assert f[3] == want["3077.bin"][1]
+
+
+def test_manifest_of_a_file_over_2_gb(spark, tmp_path):
+    import hashlib
+    size = (1 << 31) + 12_345
+    with open(tmp_path / "big.bin", "wb") as fh:  # takes no room
+        fh.truncate(size - 1)
+        fh.seek(size - 1)
+        fh.write(b"x")
+    with open(tmp_path / "big.bin", "rb") as fh:
+        want = hashlib.file_digest(fh, "md5").hexdigest()
+    assert [(r.size_bytes, r.md5) for r in A.file_manifest(spark, str(tmp_path / "*.bin")).collect()] == [(size, want)]
+
+
 def test_report_formats_agree(spark):
     rep = read_flows(spark, SMALL).groupBy("protocol_type").agg(F.count(F.lit(1)).alias("n"))
     base = scratch_path(spark, "rep")
