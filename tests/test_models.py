@@ -303,3 +303,16 @@ def test_sequence_model_is_the_logistic_regression_of_its_windows(spark, monkeyp
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(margins[0]) == 35 and margins[0] == margins[1] == margins[2]
+
+
+def test_raw_columns_pass_through_the_chain_without_a_join(spark):
+    """Each flow stays one row with its raw values, also where an id occurs twice (a join by id made more rows, and moved all columns)."""
+    from flowwarden.plans import training as T
+    f = _gaps(spark).where(F.col("ts") < "2024-01-03")
+    models, prepared = T._train(f, window=20, k=20, forest_params={"numTrees": 3, "maxDepth": 3})
+    raw = ["flow_id", "label", *T.CONTEXT]
+    assert prepared.select(raw).exceptAll(f.select(raw)).count() == 0 and prepared.count() == f.count()
+    twice = f.withColumn("flow_id", F.when(F.col("flow_id") == 3, F.lit(2)).otherwise(F.col("flow_id")).cast("long"))
+    s = T.score_flows(models, twice)
+    assert s.count() == f.count() and s.select(f.columns).exceptAll(twice).count() == 0
+    assert s.where(F.greatest(*T.SCORES).between(0, 1)).count() == f.count()
