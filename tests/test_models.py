@@ -1,6 +1,7 @@
 """Model invariants: split fraction, AUC agreement and above chance,
 save -> load gives identical scores, metrics on edge cases."""
 
+import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -316,3 +317,50 @@ def test_raw_columns_pass_through_the_chain_without_a_join(spark):
     s = T.score_flows(models, twice)
     assert s.count() == f.count() and s.select(f.columns).exceptAll(twice).count() == 0
     assert s.where(F.greatest(*T.SCORES).between(0, 1)).count() == f.count()
+
+
+def test_rolling_columns_of_ordered_rows_are_those_of_the_operator(spark, monkeypatch):
+    """Read from rows kept in order, whatever the chunks, partitions and slices; values don't depend on where chunks begin."""
+    from flowwarden.operators import ordered as O
+    from flowwarden.operators.rolling import rolling_features
+    d = spark.range(3000).select(F.col("id").alias("k"), F.floor(F.col("id") / 7).alias("t"), (F.sin(F.col("id") * 1.7) * 100 + F.when(F.col("id") == 900, 1e9).otherwise(0.0)).alias("x"),
+                                 (F.col("id") * 37 % 11).cast("int").alias("y"), F.col("id").cast("string").alias("s")).orderBy(F.rand(3))
+    d = d.withColumn("t", F.when(F.col("k") >= 14, F.col("t")))  # a key without a value comes first
+    names = [f"{c}_{s}" for c in "xy" for s in ("rolling_mean", "rolling_std", "deviation")]
+    want = {r.k: r for r in rolling_features(d, key=("t", "k"), window=20, cols=["x", "y"]).collect()}
+    got = []
+    for chunk, slice_rows, parts in ((100, 10_000, 4), (256, 700, 3), (2000, 100, 16)):
+        with monkeypatch.context() as m:
+            m.setattr(O, "range_partitions", lambda *a, parts=parts: parts)
+            o = O.OrderedRows(d, ["t", "k"], 24, chunk, slice_rows)
+            x = o.rolling({"x": "x", "y": "y"}, 20, 5)
+            assert o.n == 3000
+            rows = {r.k: r for r in x.where(f"NOT {O.HISTORY}").collect()}
+            assert len(rows) == 3000 and x.count() >= 3000 and all(rows[k].s == str(k) for k in rows)
+            got.append([[rows[k][n] for n in names] for k in sorted(rows)])
+    assert got[0] == got[1] == got[2]
+    for k, row in enumerate(got[0]):
+        assert row == pytest.approx([want[k][n] for n in names], rel=1e-6, abs=1e-6), k
+
+
+def test_training_and_scoring_keep_rows_as_they_came(spark):
+    """Wide rows (features, rolling columns) are neither kept nor shuffled: what a step keeps is a few bytes a row
+    (features and their rolling columns were kept, and moved again for the sequence model)."""
+    import glob
+    import os
+    from flowwarden.plans import training as T
+    from flowwarden.session import checkpoint_dir, scratch
+    f = _gaps(spark).where(F.col("ts") < "2024-01-08")
+    n = f.count()
+    with scratch():
+        models, prepared = T._train_in_order(f, window=20, k=20, forest_params={"numTrees": 3, "maxDepth": 3})
+        s = T.score_flows(models, f)
+        assert s.count() == n and prepared.where("NOT _history").count() == n
+        plan = s._jdf.queryExecution().executedPlan().toString()
+        assert "RangePartitioning" not in plan and "hashpartitioning" not in plan and "Window" not in plan
+        kept = sum(os.path.getsize(p) for p in glob.glob(checkpoint_dir(spark).removeprefix("file:") + "/scratch/*/*.parquet"))
+        assert kept < 2 * 60 * n  # two orders of 17 columns; features alone are 20 doubles
+    # scores in order equal those by a join
+    general = T.score_prepared(models, T._own(T.prepare(f, window=20, k=20, history=5)[1])).select("flow_id", "lstm_score").collect()
+    in_order = {r.flow_id: r.lstm_score for r in T.score_flows(models, f).select("flow_id", "lstm_score").collect()}
+    assert all(abs(in_order[r.flow_id] - r.lstm_score) < 1e-9 for r in general) and len(general) == n
