@@ -364,3 +364,54 @@ def test_training_and_scoring_keep_rows_as_they_came(spark):
     general = T.score_prepared(models, T._own(T.prepare(f, window=20, k=20, history=5)[1])).select("flow_id", "lstm_score").collect()
     in_order = {r.flow_id: r.lstm_score for r in T.score_flows(models, f).select("flow_id", "lstm_score").collect()}
     assert all(abs(in_order[r.flow_id] - r.lstm_score) < 1e-9 for r in general) and len(general) == n
+
+
+def test_models_are_fitted_on_kept_features(spark, monkeypatch):
+    """Features are worked out once for all fits (each step of the sequence model, each reading of the forest and of the
+    reconstruction worked them out again), and the sequence model is the same."""
+    from flowwarden.operators import ordered as O
+    from flowwarden.operators import sequence as Q
+    from flowwarden.plans import training as T
+    from flowwarden.session import scratch
+    f = _gaps(spark).where(F.col("ts") < "2024-01-03")
+    with scratch():
+        pipe, x = T.prepare(f, window=20, k=20, history=5)
+        feats = T.feature_columns(pipe)
+        monkeypatch.setattr(O, "CHUNK_ROWS", 64)
+        kept = T._kept(x, feats, "flow_id")
+        own = T._own(x).select("flow_id", "label", "is_test", *feats)
+        assert kept.n == own.count() and kept.rows(own.columns).exceptAll(own).count() == 0
+        (a, n), (b, m) = G.train_sequence(x, feats, targets=~G.split_flag("flow_id")), G.train_sequence(kept, feats, "_target", targets="_use")
+        assert n == m and a.coefficients == pytest.approx(b.coefficients, rel=1e-6, abs=1e-9) and a.intercept == pytest.approx(b.intercept, rel=1e-6)
+
+        def no(*a):
+            raise AssertionError("works features out at each step")
+
+        monkeypatch.setattr(Q.OrderedChunks, "map", no)
+        T.fit_models(x, feats, forest_params={"numTrees": 2, "maxDepth": 2})
+
+
+def test_moments_and_bins_are_those_of_the_aggregates(spark):
+    """Without values, constant, with gaps and infinite values; no row per column and value is made."""
+    from flowwarden.functions.scalars import finite
+    from flowwarden.operators.moments import bin_counts, column_moments
+    from flowwarden.operators.select import mutual_info_scores
+    i = F.col("id")
+    x = spark.range(5000).select("id", F.sin("id").alias("a"), F.when(i % 7 > 0, i % 11).alias("b"), F.lit(0.1).alias("k"), F.lit(None).cast("double").alias("n"),
+                                 F.when(i % 13 == 0, float("inf")).when(i % 17 == 0, float("nan")).otherwise(F.sqrt("id")).alias("c"), F.when(i % 5 > 0, F.concat(F.lit("y"), i % 300)).alias("y"))
+    cols = ["a", "b", "k", "n", "c"]
+    got = column_moments(x, cols)
+    for c, (n, mean, squares, low, high) in zip(cols, got):
+        want = x.agg(F.count(finite(c)), F.avg(finite(c)), F.var_pop(finite(c)), F.min(finite(c)), F.max(finite(c))).first()
+        assert n == want[0]
+        if n:
+            assert [mean, squares / n, low, high] == pytest.approx(want[1:], rel=1e-9, abs=1e-12)
+    assert got[2][2] == 0
+    assert column_moments(x.where("id < 0"), ["a"])[0][0] == 0
+    bounds = [(None, None) if not m[0] else (m[3], m[4]) for m in got]
+    n = {(r.feature, r.bin, r._y): r.nxy for r in bin_counts(x, cols, "y", bounds, 10).collect()}
+    width = (bounds[4][1] - bounds[4][0]) / 10
+    at = F.least(F.floor((F.col("c") - F.lit(bounds[4][0])) / F.lit(width)), F.lit(9))
+    want = {("c", r.bin, r.y): r["count"] for r in x.where(finite("c").isNotNull()).groupBy(at.alias("bin"), "y").count().collect()}
+    assert {k: v for k, v in n.items() if k[0] == "c"} == want
+    assert "Expand" not in mutual_info_scores(x, "y", cols)._jdf.queryExecution().executedPlan().toString()
