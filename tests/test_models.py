@@ -384,6 +384,12 @@ def test_models_are_fitted_on_kept_features(spark, monkeypatch):
         (a, n), (b, m) = G.train_sequence(x, feats, targets=~G.split_flag("flow_id")), G.train_sequence(kept, feats, "_target", targets="_use")
         assert n == m and a.coefficients == pytest.approx(b.coefficients, rel=1e-6, abs=1e-9) and a.intercept == pytest.approx(b.intercept, rel=1e-6)
 
+        v = {r.flow_id: r.features.toArray().tolist() for r in kept.vectors(feats, ["flow_id"]).collect()}
+        assert v == {r.flow_id: [float(r[c]) for c in feats] for r in own.collect()}
+        train = own.where("NOT is_test")
+        rec = [G.ReconstructionModel.fit(d, feats, key="flow_id", assembled=made) for d, made in ((train, False), (kept.vectors(feats, ["is_test", "flow_id"], "_raw").where("NOT is_test"), True))]
+        assert rec[0].threshold == pytest.approx(rec[1].threshold, rel=1e-9) and len(rec[0].model.stages) == len(rec[1].model.stages)
+
         def no(*a):
             raise AssertionError("works features out at each step")
 
